@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ringlake.llm import source_mixing
 from ringlake.llm.common import table
 from ringlake.llm.simhash_dedup import near_duplicates
 
@@ -10,8 +11,15 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark, sf_dir):
+    return source_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_source_mixing": op5_source_mixing,
 }
 
-ORACLE = {}
+ORACLE = {
+    "op5_source_mixing": source_mixing.ORACLE,
+}
