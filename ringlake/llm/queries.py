@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from ringlake.llm import source_mixing
+from ringlake.llm import chat_format, source_mixing
 from ringlake.llm.common import table
 from ringlake.llm.simhash_dedup import near_duplicates
 
 
+def op3_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return chat_format.preference_examples(turns, chat_format.neighbour_pairs(turns))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -16,10 +21,12 @@ def op5_source_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_chat_format": op3_chat_format,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
 }
 
 ORACLE = {
+    "op3_chat_format": chat_format.ORACLE,
     "op5_source_mixing": source_mixing.ORACLE,
 }
