@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ringlake.llm import chat_format, source_mixing
+from ringlake.llm import chat_format, quality_rules, source_mixing
 from ringlake.llm.common import table
 from ringlake.llm.simhash_dedup import near_duplicates
 
@@ -20,10 +20,15 @@ def op5_source_mixing(spark, sf_dir):
     return source_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE = {
