@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from ringlake.llm import chat_format, quality_rules, source_mixing
+from pyspark.sql import functions as F
+
+from ringlake.llm import chat_format, language_id, quality_rules, source_mixing
 from ringlake.llm.common import table
 from ringlake.llm.simhash_dedup import near_duplicates
 
 
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     return chat_format.preference_examples(turns, chat_format.neighbour_pairs(turns))
@@ -25,6 +33,7 @@ def op9_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_chat_format": op3_chat_format,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
