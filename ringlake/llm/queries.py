@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringlake.llm import chat_format, language_id, quality_rules, source_mixing
+from ringlake.llm import chat_format, language_id, quality_rules, source_mixing, toxicity
 from ringlake.llm.common import table
 from ringlake.llm.simhash_dedup import near_duplicates
 
@@ -28,6 +28,12 @@ def op5_source_mixing(spark, sf_dir):
     return source_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +43,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_toxicity": op6_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
 
