@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringlake.llm import chat_format, language_id, quality_rules, source_mixing, toxicity
+from ringlake.llm import chat_format, doc_fingerprints, language_id, quality_rules, source_mixing, toxicity
 from ringlake.llm.common import table
 from ringlake.llm.simhash_dedup import near_duplicates
 
@@ -38,6 +38,10 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_doc_fingerprints(spark, sf_dir):
+    return doc_fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_chat_format": op3_chat_format,
@@ -45,6 +49,7 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_toxicity": op6_toxicity,
     "op9_quality_rules": op9_quality_rules,
+    "op10_doc_fingerprints": op10_doc_fingerprints,
 }
 
 ORACLE = {
