@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringlake.llm import chat_format, doc_fingerprints, language_id, quality_rules, source_mixing, toxicity
+from ringlake.llm import chat_format, doc_fingerprints, language_id, lm_scoring, quality_rules, source_mixing, toxicity
 from ringlake.llm.common import table
 from ringlake.llm.simhash_dedup import near_duplicates
 
@@ -15,6 +15,10 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     return chat_format.preference_examples(turns, chat_format.neighbour_pairs(turns))
@@ -44,6 +48,7 @@ def op10_doc_fingerprints(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_chat_format": op3_chat_format,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
