@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringlake.llm import chat_format, doc_fingerprints, language_id, lm_scoring, quality_rules, sentencepiece_codec, source_mixing, toxicity
+from ringlake.llm import chat_format, doc_fingerprints, language_id, lm_scoring, quality_rules, sentencepiece_codec, source_mixing, token_counts, toxicity
 from ringlake.llm.common import table
 from ringlake.llm.simhash_dedup import near_duplicates
 
@@ -38,6 +38,10 @@ def op6_toxicity(spark, sf_dir):
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(token_counts.revision(table(spark, sf_dir, "documents")))
+
+
 def op8_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_doc_fingerprints": op10_doc_fingerprints,
