@@ -122,7 +122,9 @@ def train(docs: DataFrame, target_ids: DataFrame) -> Models:
     non-zero cells, Spark adds them up, and the driver gets one row a cell at most. Counts of
     the target are scaled to the background's total, so that both models trust their counts alike.
     """
-    flagged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(target_ids.select(F.col("doc_id").alias("__t")).distinct(), F.col("doc_id") == F.col("__t"), "left")
+    ids = target_ids.select(F.col("doc_id").alias("__t")).distinct()
+    # the ids have no bound, so they are never broadcast: the same plan at every size
+    flagged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids.hint("merge"), F.col("doc_id") == F.col("__t"), "left")
     counts = _count(flagged.select("text", F.col("__t").isNotNull().cast("int").alias("is_target")), "is_target")
     rows = counts.select(F.col("cell").cast("int"), "target", "background").toArrow()
     cell = rows.column("cell").to_numpy()

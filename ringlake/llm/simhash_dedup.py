@@ -81,4 +81,4 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, blocks: in
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The documents of which no other document of the same group has a smaller doc_id; all columns."""
     gone = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

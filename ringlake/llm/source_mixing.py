@@ -129,7 +129,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken; all columns. doc_id is the key."""
     copies = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__n"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
+    joined = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["__id"]))
     names = [F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).select(*names)
 
