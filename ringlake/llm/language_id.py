@@ -108,9 +108,10 @@ def train(docs: DataFrame, per_language: int = 3000) -> LanguageModel:
     language. Feature counts are added up in tasks before they are shuffled.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    share = usable.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    sizes = usable.groupBy("lang").count().collect()  # a row for each language
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], per_language / r["count"])])[F.col("lang")] if sizes else F.lit(0.0)
     spread = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.join(share, "lang").where(spread < F.col("share")).select("lang", "text")
+    sample = usable.where(spread < share).select("lang", "text")
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
