@@ -146,6 +146,9 @@ def edges(model: PieceModel, codes: np.ndarray) -> np.ndarray:
     keys = [k[order] for k in keys]
     pieces = local[model.symbols]
     usable = np.flatnonzero(((pieces > 0) | (model.symbols == 0)).all(axis=1))
+    table = np.full((len(codes), longest + 1), NONE, dtype=np.int32)
+    if not len(usable):
+        return table
     pieces, length = pieces[usable], model.lengths[usable]
     first = _bisect(keys, _packed(pieces, wide), right=False)
     beyond = np.arange(longest) >= length[:, None]
@@ -153,7 +156,6 @@ def edges(model: PieceModel, codes: np.ndarray) -> np.ndarray:
     count = np.maximum(last - first, 0)
     offsets = starts_of(count)
     rank = np.repeat(first - offsets[:-1], count) + np.arange(offsets[-1])
-    table = np.full((len(codes), longest + 1), NONE, dtype=np.int32)
     table[order[rank], np.repeat(length, count)] = np.repeat(usable, count)
     return table
 
