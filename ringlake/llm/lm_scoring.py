@@ -83,7 +83,7 @@ class Models:
         context = _context_cells(cells, starts)
         out = []
         for n in (self.target, self.background):
-            total = n[:CODE_POINTS].sum(dtype=np.float64)
+            total = n[:START].sum(dtype=np.float64)
             p = ((n[cells[0]] + 1.0 / self.vocabulary) / (total + 1.0)).astype(np.float32)
             for k in range(1, ORDER):
                 p = (n[cells[k]] + SMOOTHING * p) / (n[context[k - 1]] + SMOOTHING)
