@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringlake.llm.common import checkpoint, crc_mod, map_texts, slices, starts_of
+from ringlake.llm.common import checkpoint, crc_mod, labelled_sample, map_texts, slices, starts_of
 
 TOKENS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 WINDOW = 32
@@ -200,12 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Toxicity
     counts and calibrates the score, at equal weight of both classes.
     """
     spark = docs.sparkSession
-    marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    wanted = min(per_class, *(sizes.get(k, 0) for k in (0, 1)))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, wanted / max(sizes.get(1, 0), 1)).otherwise(wanted / max(sizes.get(0, 0), 1))
-    sample = checkpoint(docs.where("text IS NOT NULL").select("doc_id", "text").join(marks.where(spread < share), "doc_id"))
+    sample = checkpoint(labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", per_class, "toxicity sample", matched=True))
     counted = sample.where(fold(F.col("doc_id")) != CALIBRATION_FOLD).select("text", "toxic")
 
     def characters(batches):
