@@ -9,7 +9,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringlake.llm.common import checkpoint, crc_mod
+from ringlake.llm.common import checkpoint, crc_mod, labelled_sample
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -175,7 +175,7 @@ def learn_rules(labelled: DataFrame, max_rules: int = 6, max_literals: int = 3,
     pruned on the others: its last literals go while (bad - good) / (bad + good) doesn't
     fall. It enters the list if its precision there reaches ``precision``; the rows it covers
     leave both sets. Learning ends at the first rule that fails or when no bad rows remain.
-    Rows never leave Spark: each step reads one table of counts. All labelled rows count.
+    Rows never leave Spark: each step reads one table of counts.
     """
     rows = checkpoint(labelled)
     points = [i / bins for i in range(1, bins)]
@@ -215,10 +215,16 @@ def rules_column(rules: Sequence[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def labelled_statistics(statistics: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of the rows that have a quality label and pass the base rule; ``bad`` is quality 0."""
-    marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
-    return statistics.where(~base_failed()).join(marks, "doc_id").withColumn("grow", crc_mod(F.col("doc_id"), 3) != 0)
+def labelled_statistics(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -> DataFrame:
+    """Statistics of a sample of the labelled documents that pass the base rule, with ``bad`` and ``grow``.
+
+    About ``per_class`` documents of quality 0 and as many of quality 1, chosen by the hash
+    of their id; all of a class that has fewer.
+    """
+    sample = labelled_sample(docs, labels, "quality", per_class, "quality sample", matched=False)
+    passed = text_statistics(sample, carry=("doc_id", "quality")).withColumn("__row", F.monotonically_increasing_id())
+    passed = passed.where(~base_failed() & (F.col("__row") >= 0)).drop("__row")
+    return passed.withColumn("bad", 1 - F.col("quality")).withColumn("grow", crc_mod(F.col("doc_id"), 3) != 0)
 
 
 def judge(statistics: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -226,19 +232,23 @@ def judge(statistics: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return statistics.withColumn("base_failed", base_failed()).withColumn("rule", rules_column(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
-def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """One row per document with its statistics, base_failed, kept and rule.
+def quality(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ("doc_id",), per_class: int = 10_000, **options) -> DataFrame:
+    """One row per document: ``carry`` columns, its statistics, base_failed, rule and kept.
 
-    The statistics of all texts are computed once and written; the list is learned from the
-    labelled ones and applied to all. Null texts count as empty (and fail the base rule);
-    repeated rows each return a row; rows of a null doc_id are judged but never learned
-    from; without labels the list is empty. Other columns are ignored.
+    The list is learned from a bounded sample of the labelled documents and then applied to
+    all in one pass over the texts, without a shuffle. Null texts count as empty (and fail
+    the base rule); repeated rows each return a row; rows of a null doc_id are judged but
+    never learned from; without labels the list is empty. Other columns are ignored.
     """
-    statistics = checkpoint(text_statistics(docs))
-    return judge(statistics, learn_rules(labelled_statistics(statistics, labels), **options))
+    rules = learn_rules(labelled_statistics(docs, labels, per_class), **options)
+    return judge(text_statistics(docs, carry), rules)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the base rule and the learned list keep; all columns. doc_id is the key."""
-    kept = quality(docs, labels, **options).where("NOT kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_anti").select(*docs.columns)
+    """The documents that the base rule and the learned list keep; all columns.
+
+    The row number keeps the filter above the statistics: pushed below them, each use of a
+    statistic would compute it again.
+    """
+    judged = quality(docs, labels, carry=docs.columns, **options).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
