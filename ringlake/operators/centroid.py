@@ -104,8 +104,9 @@ def centroid_trace(frames: DataFrame, guess: tuple[float, float], inner: float =
         return F.when(state["done"], state).otherwise(moved)
 
     first = F.struct(F.array(start).alias("path"), F.lit(False).alias("done"))
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(max_iterations)), first, step, lambda s: s["path"])
-    return frames.withColumn("path", path).withColumn("trace", F.concat("path", F.array(around(F.element_at("path", -1))))).drop("path")
+    # the last centroid is part of the fold's end, where the path is bound: a column would be computed again for each pixel
+    trace = F.aggregate(F.sequence(F.lit(1), F.lit(max_iterations)), first, step, lambda s: F.concat(s["path"], F.array(around(F.element_at(s["path"], -1)))))
+    return frames.withColumn("trace", trace)
 
 
 def iterative_centroid(frames: DataFrame, guess: tuple[float, float], **options) -> DataFrame:

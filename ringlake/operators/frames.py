@@ -9,10 +9,13 @@ and windows and aggregates over (frame_id, ...) then need no shuffle of pixels.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-FRAME = Window.partitionBy("frame_id")
+
+def of_frame() -> WindowSpec:
+    """The window of a frame's pixels."""
+    return Window.partitionBy("frame_id")
 
 
 def missing_as_null(frames: DataFrame) -> DataFrame:
@@ -60,8 +63,8 @@ def shift(pixels: DataFrame, dx: Column | int, dy: Column | int, height: int, wi
 
 def normalise(pixels: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
     """v clamped to [low, high] (a frame's own range where not given) and scaled to 0..1; 0 for a constant frame."""
-    lo = F.lit(low) if low is not None else F.min("v").over(FRAME)
-    hi = F.lit(high) if high is not None else F.max("v").over(FRAME)
+    lo = F.lit(low) if low is not None else F.min("v").over(of_frame())
+    hi = F.lit(high) if high is not None else F.max("v").over(of_frame())
     known = pixels.withColumn("lo", lo).withColumn("hi", hi)
     scaled = (F.least(F.greatest("v", "lo"), "hi") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     return known.withColumn("v", F.when(F.col("v").isNull(), F.lit(None)).otherwise(F.coalesce(scaled, F.lit(0.0)))).drop("lo", "hi")

@@ -103,8 +103,9 @@ def _taps(pixels: Column, height: Column, width: Column, weights: list[float], a
 
 def _separable(frames: DataFrame, weights: list[float]) -> DataFrame:
     h, w = F.col("height"), F.col("width")
-    half = frames.withColumn("pixels", _taps(F.col("pixels"), h, w, weights, True))
-    return half.withColumn("pixels", _taps(F.col("pixels"), h, w, weights, False))
+    # the array of one element holds the first pass: named by a column, it would be computed again for each tap
+    once = F.array(_taps(F.col("pixels"), h, w, weights, True))
+    return frames.withColumn("pixels", F.element_at(F.transform(once, lambda half: _taps(half, h, w, weights, False)), 1))
 
 
 def gaussian_blur(frames: DataFrame, sigma: float = 1.0) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ringlake.functions import geometry, naming
 from ringlake.operators import background as bg
 from ringlake.operators import centroid, grouping, lookups, morphology, outliers, radial, summary
-from ringlake.operators.frames import FRAME, normalise, shift, subtract, to_frames, to_pixels
+from ringlake.operators.frames import normalise, of_frame, shift, subtract, to_frames, to_pixels
 from ringlake.operators.masking import apply_masks
 from ringlake.plans.pipeline import Settings, process_frames, process_pixels, screening_image
 from ringlake.sources.results import parse_configs
@@ -653,4 +653,4 @@ def s8(spark, sf_dir):
 @query("a2_frame_drift", f"{PX_SQL} SELECT DISTINCT frame_id, round(avg(CASE WHEN (r < 2 OR r >= 6) AND (c < 2 OR c >= 6) THEN v END) OVER (PARTITION BY frame_id), 6) + 0.0 AS drift FROM px")
 def drift(spark, sf_dir):
     known = pixels(spark, sf_dir).join(F.broadcast(lookups.corner_masks(spark, SIDE, SIDE, 2)), ["r", "c"])
-    return known.select("frame_id", r6(F.avg(F.when(F.col("bkg") == 0, F.col("v"))).over(FRAME)).alias("drift")).distinct()
+    return known.select("frame_id", r6(F.avg(F.when(F.col("bkg") == 0, F.col("v"))).over(of_frame())).alias("drift")).distinct()
