@@ -54,7 +54,7 @@ def nearest_cluster(small: DataFrame, clusters: DataFrame) -> DataFrame:
 
     The nearest centre is the last one at or below, or the first one above: both come from
     running windows over the union in order of position, with no pair of all with all. Both
-    tables have a row per group of files.
+    tables have a row per group of files. Without clusters no group remains.
     """
     both = small.select("xps_value", F.lit(None).cast("int").alias("cluster")).unionByName(clusters.select(F.col("center").alias("xps_value"), "cluster"))
     at = F.when(F.col("cluster").isNotNull(), F.struct(F.col("xps_value").alias("x"), "cluster"))
@@ -64,7 +64,7 @@ def nearest_cluster(small: DataFrame, clusters: DataFrame) -> DataFrame:
     seen = both.withColumn("a", below).withColumn("b", above).where("cluster IS NULL")
     da, db = F.abs(F.col("xps_value") - F.col("a.x")), F.abs(F.col("b.x") - F.col("xps_value"))
     pick = F.when(F.col("b").isNull() | (da < db), F.col("a.cluster")).when(F.col("a").isNull() | (db < da), F.col("b.cluster")).otherwise(F.least("a.cluster", "b.cluster"))
-    return seen.select("xps_value", pick.alias("cluster"))
+    return seen.select("xps_value", pick.alias("cluster")).where("cluster IS NOT NULL")
 
 
 def merge_groups(groups: DataFrame, large: int = LARGE, gap: float = GAP, keep_small: bool = False) -> DataFrame:
