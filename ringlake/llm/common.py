@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The word of all contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,8 +84,8 @@ def map_texts(
     """
     names = list(carry)
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("__text"))
-    out = source.select(*[F.col(f"`{c}`") for c in names]).schema
-    made = [part.strip().split()[0] for part in _fields(schema)]
+    made = StructType.fromDDL(schema)
+    fields = [StructField(f.name, f.dataType) for f in (*source.schema.fields[:-1], *made.fields)]
 
     def run(batches):
         for batch in batches:
@@ -92,22 +93,10 @@ def map_texts(
             for a, b in slices(texts):
                 arrays = work(texts.slice(a, b - a).to_pylist())
                 columns = [batch.column(c).slice(a, b - a) for c in names] + list(arrays)
-                result = pa.RecordBatch.from_arrays(columns, names=names + made)
+                result = pa.RecordBatch.from_arrays(columns, names=names + made.names)
                 yield result if keep is None else result.filter(keep(arrays))
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.fields)
-    return source.mapInArrow(run, f"{ddl}, {schema}" if ddl else schema)
-
-
-def _fields(schema: str) -> list[str]:
-    """The fields of a DDL schema, split at commas outside of < >."""
-    parts, depth, last = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            parts.append(schema[last:i])
-            last = i + 1
-    return [*parts, schema[last:]]
+    return source.mapInArrow(run, StructType(fields))
 
 
 def starts_of(counts: Sequence[int]) -> np.ndarray:

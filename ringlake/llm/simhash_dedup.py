@@ -56,7 +56,7 @@ def fingerprint(docs: DataFrame, words: int = 3, carry=("doc_id",)) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, blocks: int = 6) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id.
+    """One row per document: doc_id, fingerprint (hex), component_id (and root, the least fingerprint reached).
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is the smallest
     doc_id that links reach. Copies count once: blocks hold distinct fingerprints only, so
@@ -74,11 +74,25 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, blocks: in
     roots = components(close_pairs(classes.select("fp"), classes.select("fp"), radius, blocks, ordered=True))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = checkpoint(rooted.select("fp", "root").join(groups, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    named = checkpoint(rooted.select("fp", "root").join(groups, "root").select("fp", "root", "component_id"))
+    return marked.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", hex16(F.col("root")).alias("root"))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which no other document of the same group has a smaller doc_id; all columns."""
-    gone = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+def deduplicate(docs: DataFrame, words: int = 3, **options) -> DataFrame:
+    """One document of each group: that of the smallest doc_id; all columns.
+
+    A document is its doc_id and fingerprint, so texts that share an id are told apart and
+    repeated rows count once: they are aggregated in tasks before the shuffle, a group of
+    copies under one id therefore sends a row a task. Of rows with equal id and fingerprint
+    that of the least text hash stays. A null doc_id comes after all others: its row stays only
+    where no row of the group has an id. An empty table gives no rows.
+    """
+    named = near_duplicates(docs, words=words, **options)
+    least = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
+    first = named.groupBy("root").agg(F.min(least).alias("m"))
+    stays = first.select(F.struct("m.doc_id", "m.fingerprint").alias("stays"))
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    marked = fingerprint(rows, words, carry=("row",))
+    key = F.struct(F.col("row.doc_id").alias("doc_id"), hex16(F.col("fp")).alias("fingerprint"))
+    distinct = marked.groupBy(key.alias("key")).agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return distinct.join(stays.hint("merge"), F.col("key") == F.col("stays"), "left_semi").select("row.*")

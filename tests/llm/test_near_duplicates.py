@@ -66,6 +66,15 @@ def test_deduplicate_keeps_one_of_each_group(docs_of):
     assert simhash_dedup.near_duplicates(docs_of([])).count() == 0
 
 
+def test_deduplicate_tells_rows_of_one_id_apart(docs_of):
+    x, y, z = "a b c d", "q r s t u v w x y z", "one other text of eight words in all"
+    rows = [(1, x), (5, x), (5, y), (5, y), (7, y), (None, x), (None, z), (None, z)]
+    docs = docs_of(rows).withColumnRenamed("score", "a.b c").withColumnRenamed("size", "row")
+    kept = simhash_dedup.deduplicate(docs)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, x), (5, y), (None, z)]
+    assert kept.columns == docs.columns and simhash_dedup.deduplicate(docs_of([])).count() == 0
+
+
 @pytest.mark.parametrize("radius,blocks", [(0, 1), (3, 4), (3, 5), (3, 6), (5, 8)])
 def test_close_pairs_miss_nothing(spark, radius, blocks):
     rng = random.Random(radius * 10 + blocks)
