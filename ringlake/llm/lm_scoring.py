@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.dataset as ds
+from pyarrow.fs import FileSystem, FileType
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringlake.llm.common import map_texts, segment_sum, slices, starts_of
 
-#: Tokens are characters; an n-gram of order k > 1 is counted in one of 2^BUCKET_BITS cells of its order.
-ORDER, BUCKET_BITS = 5, 20
+#: Tokens are characters; an n-gram of order k > 1 is counted under a 64-bit key of its own.
+ORDER = 5
 SMOOTHING = 4.0
-#: Cells of order 1: a code point (or the start of a text) is its own cell.
+#: Order 1: a code point (or the start of a text) is its own key.
 CODE_POINTS = 0x110000
 START = CODE_POINTS - 1
-CELLS = CODE_POINTS + (ORDER - 1) * (1 << BUCKET_BITS)
-LOOK_CHARS = 250_000
+LOOK_CHARS = 100_000
+#: Distinct n-grams that a counting task holds before it sends them on.
+HELD_GRAMS = 2_000_000
+#: Distinct n-grams that a scoring task holds at once, about.
+SHARD_GRAMS = 2_000_000
+#: Characters of texts that are scored together, so that each shard is read once for all of them.
+SCORE_CHARS = 500_000
 
 
-def _cells(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, starts): for each character of each text its cell of each order, orders in rows.
+def _mixed(code: np.ndarray) -> np.ndarray:
+    return code * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _longer(mixed: np.ndarray, earlier) -> np.ndarray:
+    """The key of each n-gram with one more character before it; one to one for each character."""
+    mixed = (mixed ^ (mixed >> np.uint64(29)) ^ earlier) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def _grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, keys, starts): for each character its code point and the keys of orders 2 to ORDER, orders in rows.
 
     Contexts don't reach over the start of a text: there they see START.
     """
@@ -31,110 +50,216 @@ def _cells(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     starts = starts_of([len(t) for t in given])
     codes = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     place = np.arange(len(codes)) - np.repeat(starts[:-1], np.diff(starts))
-    cells = np.empty((ORDER, len(codes)), dtype=np.int64)
-    cells[0] = codes
-    mixed = codes * np.uint64(0x9E3779B97F4A7C15)
+    keys = np.empty((ORDER - 1, len(codes)), dtype=np.uint64)
+    mixed = _mixed(codes)
     for k in range(1, ORDER):
         earlier = np.full(len(codes), START, dtype=np.uint64)
         earlier[k:] = codes[: len(codes) - k]
         earlier[place < k] = START
-        mixed = (mixed ^ (mixed >> np.uint64(29)) ^ earlier) * np.uint64(0xBF58476D1CE4E5B9)
-        cells[k] = (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) + (CODE_POINTS + (k - 1) * (1 << BUCKET_BITS))
-    return cells, starts
+        keys[k - 1] = mixed = _longer(mixed, earlier + np.uint64(k << 32))
+    return codes.astype(np.int64), keys, starts
 
 
-def _context_cells(cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each character and order k > 1 the cell of its context: the n-gram of order k - 1 that ends before it."""
-    out = np.empty((ORDER - 1, cells.shape[1]), dtype=np.int64)
-    out[:, 1:] = cells[:-1, :-1]
-    first = starts[:-1][np.diff(starts) > 0]
-    out[:, first] = START_CELLS[:, None]
-    return out
+def _start_keys() -> np.ndarray:
+    """The keys, of orders 2 to ORDER - 1, of contexts that lie wholly before a text."""
+    mixed, out = _mixed(np.array([START], dtype=np.uint64)), []
+    for k in range(1, ORDER - 1):
+        mixed = _longer(mixed, np.uint64(START + (k << 32)))
+        out.append(mixed[0])
+    return np.array(out, dtype=np.uint64)
 
 
-def _start_cells() -> np.ndarray:
-    """The cells of contexts that lie wholly before a text."""
-    mixed = np.array([START], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    out = [START]
-    for k in range(1, ORDER - 1):
-        mixed = (mixed ^ (mixed >> np.uint64(29)) ^ np.uint64(START)) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(int((mixed >> np.uint64(64 - BUCKET_BITS))[0]) + CODE_POINTS + (k - 1) * (1 << BUCKET_BITS))
-    return np.array(out)
+START_KEYS = _start_keys()
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their rows of counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], segment_sum(counts[order], np.append(first, len(keys)))
+
 
+class Lookup:
+    """Finds keys in an ascending array of distinct ones, in slots by their highest bits, the next free one if taken."""
 
-START_CELLS = _start_cells()
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(1, int(2 * len(keys)).bit_length())
+        home = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = np.maximum.accumulate(home - np.arange(len(keys))) + np.arange(len(keys)) if len(keys) else home
+        self.reach = int((at - home).max(initial=0))
+        self.row = np.full((1 << self.bits) + len(keys) + 1, -1, dtype=np.int32)
+        self.row[at] = np.arange(len(keys))
+        self.key = np.zeros(len(self.row), dtype=np.uint64)
+        self.key[at] = keys
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if there is none."""
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.where(self.key[slot] == keys, self.row[slot], -1)
+        left = np.flatnonzero(out < 0)
+        for step in range(1, self.reach + 1):
+            if not len(left):
+                break
+            at = slot[left] + step
+            hit = self.key[at] == keys[left]
+            out[left[hit]] = self.row[at[hit]]
+            left = left[~hit & (self.row[at] >= 0)]
+        return out
+
+
+#: The shard that this Python worker read last.
+_last: dict[tuple[str, int], tuple[Lookup, list[np.ndarray]]] = {}
 
 
 @dataclass(frozen=True)
 class Models:
-    """Counts of all cells in the target and in the background, brought to the same total.
+    """Counts of all n-grams in the target and in the background, brought to the same total.
+
+    Orders over 1 are a table of files in the shared folder, in ``shards`` parts by the
+    highest bits of the key; order 1 has a row a code point. ``scale`` is what a count of the
+    target counts.
 
     p_k(c | context) = (n(context c) + SMOOTHING * p_{k-1}(c)) / (n(context) + SMOOTHING), p_1
     with one count spread over the shared vocabulary, which is every character of the corpus.
     """
 
-    target: np.ndarray
-    background: np.ndarray
+    folder: str
+    shards: int
+    single: np.ndarray
+    totals: tuple[float, float]
     vocabulary: int
+    scale: float
+
+    def shard(self, i: int) -> tuple[Lookup, list[np.ndarray]]:
+        if (self.folder, i) not in _last:
+            _last.clear()
+            system, path = FileSystem.from_uri(self.folder)
+            fields = pa.schema([("key", pa.int64()), ("target", pa.int64()), ("background", pa.int64())])
+            there = system.get_file_info(f"{path}/shard={i}").type == FileType.Directory
+            made = ds.dataset(f"{path}/shard={i}", fields, filesystem=system, format="parquet").to_table(use_threads=False) if there else fields.empty_table()
+            key = made.column("key").to_numpy().view(np.uint64)
+            order = np.argsort(key)
+            # the last one, at -1, is that of keys that aren't there
+            counts = [np.append(made.column(c).to_numpy()[order], 0).astype(np.float64) for c in ("target", "background")]
+            _last[self.folder, i] = Lookup(key[order]), counts
+        return _last[self.folder, i]
+
+    def counts(self, keys: np.ndarray) -> list[np.ndarray]:
+        """Counts in the target and in the background of each key; zeros if the corpus has no such n-gram."""
+        if self.shards == 1:
+            look, counts = self.shard(0)
+            at = look(keys)
+            return [n[at] for n in counts]
+        out = [np.zeros(len(keys)) for _ in range(2)]
+        of = (keys >> np.uint64(32)).astype(np.int64) * self.shards >> 32
+        for i in np.unique(of).tolist():
+            look, counts = self.shard(i)
+            mine = np.flatnonzero(of == i)
+            at = look(keys[mine])
+            for x, n in zip(out, counts):
+                x[mine] = n[at]
+        return out
 
     def losses(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(target loss, background loss, starts) of each character, in nats."""
-        cells, starts = _cells(texts)
-        context = _context_cells(cells, starts)
+        codes, keys, starts = _grams(texts)
+        begin = starts[:-1][np.diff(starts) > 0]
+        every = self.counts(np.concatenate([keys.ravel(), START_KEYS]))  # shards are read once for both
         out = []
-        for n in (self.target, self.background):
-            total = n[:START].sum(dtype=np.float64)
-            p = ((n[cells[0]] + 1.0 / self.vocabulary) / (total + 1.0)).astype(np.float32)
+        for m, scale in ((0, self.scale), (1, 1.0)):
+            n = every[m] * scale
+            n, before = n[: keys.size].reshape(keys.shape), n[keys.size :]
+            own, start = self.single[m][codes] * scale, self.single[m][START] * scale
+            p = (own + 1.0 / self.vocabulary) / (self.totals[m] * scale + 1.0)
             for k in range(1, ORDER):
-                p = (n[cells[k]] + SMOOTHING * p) / (n[context[k - 1]] + SMOOTHING)
-                np.minimum(p, 1, out=p)  # cells that share a bucket can exceed their context's count
+                context = np.empty(len(codes))
+                context[1:] = own[:-1]
+                context[begin] = start
+                own = n[k - 1]
+                p = (own + SMOOTHING * p) / (context + SMOOTHING)
+                if k < ORDER - 1:
+                    start = before[k - 1]
             out.append(-np.log(p))
         return out[0], out[1], starts
 
 
 def _count(docs: DataFrame, flag: str) -> DataFrame:
-    """(cell, target, background): counts of all characters' n-grams over all rows, added up in tasks first."""
+    """(several, key, target, background): counts of all n-grams over all rows, added up in tasks first.
 
-    def work(batches):
-        held = np.zeros((2, CELLS), dtype=np.int64)
+    ``several`` is false for order 1, whose keys are code points. A task that holds
+    HELD_GRAMS sends them on and begins anew.
+    """
+
+    def rows(several, keys, counts):
+        for a in range(0, len(keys), 100_000):
+            k, n = keys[a : a + 100_000].view(np.int64), counts[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), several)), pa.array(k), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["several", "key", "target", "background"])
+
+    def work(batches) -> Iterator[pa.RecordBatch]:
+        single = np.zeros((CODE_POINTS, 2), dtype=np.int64)
+        begun = np.zeros(2, dtype=np.int64)
+        held, fresh, size = (np.zeros(0, dtype=np.uint64), np.zeros((0, 2), dtype=np.int64)), [], 0
         for batch in batches:
             marks = batch.column(flag).to_numpy(zero_copy_only=False)
             for a, b in slices(batch.column("text"), LOOK_CHARS):
+                given = batch.column("text").slice(a, b - a).to_pylist()
                 for mark in (0, 1):
-                    texts = [t for t, m in zip(batch.column("text").slice(a, b - a).to_pylist(), marks[a:b]) if m == mark]
-                    cells, starts = _cells(texts)
-                    np.add.at(held[mark], cells.ravel(), 1)
-                    begun = int((np.diff(starts) > 0).sum())
-                    held[mark][START_CELLS] += begun  # contexts of first characters
-        held[0] += held[1]  # the background is the whole corpus
-        at = np.flatnonzero(held[0])
-        for a in range(0, len(at), 100_000):
-            part = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[1][part]), pa.array(held[0][part])], names=["cell", "target", "background"])
-
-    return docs.mapInArrow(work, "cell long, target long, background long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+                    codes, keys, starts = _grams([t for t, m in zip(given, marks[a:b]) if m == mark])
+                    to = np.array([mark, 1])  # the background is the whole corpus
+                    at, n = np.unique(codes, return_counts=True)
+                    single[at] += n[:, None] * to
+                    begun += int((np.diff(starts) > 0).sum()) * to  # contexts of first characters
+                    key, n = np.unique(keys.ravel(), return_counts=True)
+                    fresh.append((key, n[:, None] * to))
+                    size += len(key)
+                if size > HELD_GRAMS:
+                    held = _summed(*map(np.concatenate, zip(held, *fresh)))
+                    fresh, size = [], 0
+                    if len(held[0]) > HELD_GRAMS:
+                        yield from rows(True, *held)
+                        held = held[0][:0], held[1][:0]
+        single[START] += begun
+        fresh.append((START_KEYS, np.tile(begun, (len(START_KEYS), 1))))
+        yield from rows(True, *_summed(*map(np.concatenate, zip(held, *fresh))))
+        at = np.flatnonzero(single[:, 1])
+        yield from rows(False, at, single[at])
+
+    made = docs.mapInArrow(work, "several boolean, key long, target long, background long")
+    return made.groupBy("several", "key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def _new_folder(spark: SparkSession) -> str:
+    """A folder that isn't there yet, in the cluster's shared checkpoint folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+    top = top if ":" in top else f"file://{top}"
+    return f"{top.replace('file:///', 'file:/').replace('file:/', 'file:///')}/lm-{uuid.uuid4().hex}"
 
 
 def train(docs: DataFrame, target_ids: DataFrame) -> Models:
     """Models of all characters of all texts; the target is the documents in ``target_ids`` (doc_id).
 
-    Nothing is sampled. CELLS bounds the counts whatever the corpus holds: tasks send their
-    non-zero cells, Spark adds them up, and the driver gets one row a cell at most. Counts of
+    Nothing is sampled and no n-grams share a count. Tasks send their distinct n-grams, Spark
+    adds them up, and executors write them to the shared folder in shards of about
+    SHARD_GRAMS; the driver gets one row a code point and the number of n-grams. Counts of
     the target are scaled to the background's total, so that both models trust their counts alike.
     """
     ids = target_ids.select(F.col("doc_id").alias("__t")).distinct()
     # the ids have no bound, so they are never broadcast: the same plan at every size
     flagged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids.hint("merge"), F.col("doc_id") == F.col("__t"), "left")
-    counts = _count(flagged.select("text", F.col("__t").isNotNull().cast("int").alias("is_target")), "is_target")
-    rows = counts.select(F.col("cell").cast("int"), "target", "background").toArrow()
-    cell = rows.column("cell").to_numpy()
-    target, background = np.zeros(CELLS), np.zeros(CELLS)
-    target[cell], background[cell] = rows.column("target").to_numpy(), rows.column("background").to_numpy()
-    vocabulary = max(int((background[:START] > 0).sum()), 1)
-    of = [x[:START].sum() for x in (target, background)]
-    if of[0]:
-        target *= of[1] / of[0]
-    return Models(target.astype(np.float32), background.astype(np.float32), vocabulary)
+    folder = _new_folder(docs.sparkSession)
+    _count(flagged.select("text", F.col("__t").isNotNull().cast("int").alias("is_target")), "is_target").write.parquet(f"{folder}/all")
+    counts = docs.sparkSession.read.parquet(f"{folder}/all")
+    rows = counts.where("NOT several").select(F.col("key").cast("int"), "target", "background").toArrow()
+    single = np.zeros((2, CODE_POINTS))
+    for m, c in enumerate(("target", "background")):
+        single[m, rows.column("key").to_numpy()] = rows.column(c).to_numpy()
+    grams = counts.where("several")
+    shards = max(1, -(-grams.count() // SHARD_GRAMS))
+    shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(shards), 32).cast("int")
+    grams.select("key", "target", "background", shard.alias("shard")).repartition(shards, "shard").write.partitionBy("shard").parquet(f"{folder}/shards")
+    of = single[:, :START].sum(axis=1).tolist()
+    return Models(f"{folder}/shards", shards, single, tuple(of), max(int((single[1, :START] > 0).sum()), 1), of[1] / of[0] if of[0] else 1.0)
 
 
 def score(docs: DataFrame, models: Models, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -144,18 +269,22 @@ def score(docs: DataFrame, models: Models, carry: Sequence[str] = ("doc_id",)) -
     target_loss: above 0 where the target model fits better. Null and empty texts have no
     tokens and score 0. Without target rows target_loss is that of a uniform model. Repeated
     rows each return a row; an empty table gives none; other columns never count.
+
+    A task looks its n-grams up shard by shard, so that it holds one of them whatever the
+    corpus has.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    together = SCORE_CHARS if models.shards > 1 else LOOK_CHARS
 
     def work(texts):
         out = []
         sizes = starts_of([len(t or "") for t in texts])
         a = 0
         while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + LOOK_CHARS, side="right")) - 1)
+            b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + together, side="right")) - 1)
             t, g, starts = shared.value.losses(texts[a:b])
             n = np.diff(starts)
-            out.append([n, *(segment_sum(x.astype(np.float64), starts) / np.maximum(n, 1) for x in (t, g))])
+            out.append([n, *(segment_sum(x, starts) / np.maximum(n, 1) for x in (t, g))])
             a = b
         n, t, g = (np.concatenate(x) for x in zip(*out))
         return [pa.array(n.astype(np.int64)), pa.array(t), pa.array(g), pa.array(g - t)]
