@@ -91,8 +91,14 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
     take nothing. Rows with equal or null ids are ordered by size too; equal rows are
     interchangeable. An empty table gives no rows. Other columns are ignored.
     """
+    return _mix(docs, seed, weights, most).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def _mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, row: Column | None = None) -> DataFrame:
+    """`mix` with a column ``row`` if one is given; rows of equal id and size come in its order."""
+    more = [] if row is None else ["row"]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = checkpoint(docs.select("doc_id", "source", size.alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key")))
+    sized = checkpoint(docs.select("doc_id", "source", size.alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key"), *([] if row is None else [row.alias("row")])))
     sources = checkpoint(source_targets(sized, weights, most))
     stats = sources.agg(F.max("n"), F.sum("source_size")).first()
     largest, total = stats[0] or 0, stats[1] or 0
@@ -103,7 +109,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
     offsets = sums.select(F.col("source").alias("o_source"), F.col("part").alias("o_part"), before.alias("before"))
     placed = sources.select(F.col("source").alias("s_source"), "rank", "source_size", "target")
     offsets = offsets.join(placed, F.col("o_source").eqNullSafe(F.col("s_source"))).drop("s_source")
-    inside = Window.partitionBy("o_source", "part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("o_source", "part").orderBy("key", "id", "size", *more).rowsBetween(Window.unboundedPreceding, 0)
     queue = checkpoint(
         ranged.withColumn("id", F.coalesce("doc_id", F.lit(LEAST_ID)))
         .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("part") == F.col("o_part")))
@@ -123,15 +129,20 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
         taken = [F.struct(finish(i), *map(F.col, fields), F.lit(i)) < limit for i in range(most)]
         copies = sum((t.cast("int") for t in taken[1:]), taken[0].cast("int"))
     copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("long")
-    return queue.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return queue.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *more)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken; all columns. doc_id is the key."""
-    copies = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__n"))
-    joined = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["__id"]))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).select(*names)
+    """The mix itself: each document as often as it is taken; all columns.
+
+    The key is the whole row (doc_id and a hash of all columns), so each row takes its own
+    copies where ids are null or repeated; of equal rows one stands for all their copies.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = _mix(docs, **options, row=row).where("copies > 0").groupBy(F.struct("doc_id", "row").alias("id")).agg(F.sum("copies").alias("n"))
+    rows = docs.select(F.struct("doc_id", row.alias("row")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    joined = rows.groupBy("key").agg(F.first("r").alias("r")).join(copies.hint("merge"), F.col("key").eqNullSafe(F.col("id")))
+    return joined.select("r", F.explode(F.sequence(F.lit(1), F.col("n")))).select("r.*")
 
 
 ORACLE = f"""
