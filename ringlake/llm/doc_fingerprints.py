@@ -88,15 +88,28 @@ def fingerprint(docs: DataFrame, carry=("doc_id",)) -> DataFrame:
     return map_texts(docs, work, "fp long", carry)
 
 
-def within(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(fp, n_within): for each distinct query fingerprint the number of rows within the radius.
+def found_pairs(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """(fp, found_fp, distance): all fingerprints within the radius of each distinct query fingerprint, its own too.
 
-    Blocks hold distinct fingerprints with the number of their rows, so copies add nothing;
-    each row counts, the query's own too. Exact: the block tables miss no fingerprint within the radius.
+    Blocks hold distinct fingerprints, so copies add nothing. Exact: the block tables miss
+    no fingerprint within the radius.
     """
-    sizes = fingerprints.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("n"))
-    pairs = close_pairs(queries.where("fp IS NOT NULL").select("fp").distinct(), sizes.select("fp"), radius, blocks, ordered=False)
-    return pairs.join(sizes.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_within"))
+    distinct = [x.where("fp IS NOT NULL").select("fp").distinct() for x in (queries, fingerprints)]
+    pairs = close_pairs(*distinct, radius, blocks, ordered=False)
+    return pairs.select(F.col("a").alias("fp"), F.col("b").alias("found_fp"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"))
+
+
+def found_documents(pairs: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """(fp, found_fp, distance, doc_id): the rows of ``fingerprints`` (doc_id, fp) behind `found_pairs`."""
+    rows = fingerprints.select("doc_id", F.col("fp").alias("found_fp"))
+    return pairs.join(rows, "found_fp").select("fp", "found_fp", "distance", "doc_id")
+
+
+def within(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """(fp, n_within): for each distinct query fingerprint the number of rows behind its `found_pairs`; each row counts."""
+    sizes = fingerprints.where("fp IS NOT NULL").groupBy(F.col("fp").alias("found_fp")).agg(F.count("*").alias("n"))
+    pairs = found_pairs(queries, fingerprints, radius, blocks)
+    return pairs.join(sizes, "found_fp").groupBy("fp").agg(F.sum("n").alias("n_within"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
