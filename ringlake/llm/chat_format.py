@@ -51,7 +51,13 @@ def preference_examples(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         return F.array_sort(F.collect_list(F.when(F.col("is_chosen") == chosen, F.col("t"))), _order)
 
     both = joined.groupBy("pair_id").agg(side(True).alias("c"), side(False).alias("r")).where("size(c) > 0 AND size(r) > 0")
-    shared = F.zip_with(F.slice("c", 1, F.least(F.size("c"), F.size("r"))), F.slice("r", 1, F.least(F.size("c"), F.size("r"))), lambda x, y: x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
+    return _rendered(both)
+
+
+def _rendered(both: DataFrame) -> DataFrame:
+    """Examples from (pair_id, c, r): the turns of both sides in order; their common prefix is rendered once."""
+    least = F.least(F.size("c"), F.size("r"))
+    shared = F.zip_with(F.slice("c", 1, least), F.slice("r", 1, least), lambda x, y: x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
     both = both.withColumn("n", F.coalesce(F.nullif(F.array_position(shared, False), F.lit(0)) - 1, F.size(shared)).cast("int"))
     rest = {x: F.slice(x, F.col("n") + 1, F.size(x)) for x in "cr"}
     return both.select(
@@ -67,30 +73,58 @@ def _order(x: Column, y: Column) -> Column:
 
 
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """Conversation 2k as chosen, 2k + 1 as rejected: pairs for tables that have no preferences."""
-    ids = turns.where("conv_id IS NOT NULL").select(F.floor(F.col("conv_id") / 2).alias("pair_id")).distinct()
-    return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
+    """Conversation 2k as chosen, 2k + 1 as rejected, for tables that hold both sides of each preference."""
+    ids = turns.where("conv_id IS NOT NULL").select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id")).distinct()
+    return ids.select("pair_id", F.shiftleft("pair_id", 1).alias("chosen_id"), (F.shiftleft("pair_id", 1) + 1).alias("rejected_id"))
+
+
+def swapped_replies(turns: DataFrame) -> DataFrame:
+    """One example for each conversation with an assistant turn, for tables that have no preferences.
+
+    Chosen is the conversation up to its last assistant turn; rejected is what comes before
+    that turn, answered by the last assistant turn of conversation ``conv_id`` XOR 1, so both
+    share all but the reply. Where that conversation has no such turn, or a null one, the
+    rejected reply is empty. pair_id is conv_id; turns are ordered as in `preference_examples`.
+
+    Turns after the last reply have no other side and are left out; conversations without an
+    assistant turn, and null ids, have no reply to prefer and give no row. If both replies are
+    equal, the whole is prompt and completions are empty. Other columns are ignored; an empty
+    table gives no rows.
+    """
+    own = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("pair_id"), F.struct("turn", "role", "text").alias("t"))
+    replies = own.where(F.col("t.role") == "assistant").groupBy("pair_id").agg(F.max("t").alias("m"))
+    others = replies.select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("of"), F.col("m.text").alias("other"))
+    whole = own.groupBy("pair_id").agg(F.array_sort(F.collect_list("t"), _order).alias("a"))
+    from_end = F.array_position(F.transform(F.reverse("a"), lambda x: x["role"].eqNullSafe(F.lit("assistant"))), True)
+    cut = whole.withColumn("last", (F.size("a") + 1 - from_end).cast("int")).where(from_end > 0)
+    joined = cut.join(others, F.col("pair_id") == F.col("of"), "left")
+    reply = F.struct(F.lit(None).cast(turns.schema["turn"].dataType).alias("turn"), F.lit("assistant").alias("role"), F.coalesce("other", F.lit("")).alias("text"))
+    return _rendered(joined.select("pair_id", F.slice("a", 1, F.col("last")).alias("c"), F.concat(F.slice("a", 1, F.col("last") - 1), F.array(reply)).alias("r")))
 
 
 ORACLE = f"""
 WITH turns AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS is_chosen, role, text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
-    '{OPEN}' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS line,
-    length(coalesce(text, '')) + {len(CLOSE)} AS body
+  SELECT conv_id AS pair_id, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
-full_pairs AS (
-  SELECT pair_id FROM turns GROUP BY pair_id HAVING bool_or(is_chosen) AND bool_or(NOT is_chosen)),
-places AS (
-  SELECT pair_id, pos,
-    coalesce(c.pair_id IS NOT NULL AND r.pair_id IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text, false) AS same
-  FROM (SELECT * FROM turns WHERE is_chosen) c FULL JOIN (SELECT * FROM turns WHERE NOT is_chosen) r USING (pair_id, pos)),
+lasts AS (SELECT pair_id, max(pos) AS stop FROM turns WHERE role = 'assistant' GROUP BY pair_id),
+replies AS (SELECT pair_id, stop, text FROM turns JOIN lasts USING (pair_id) WHERE pos = stop),
+sides AS (
+  SELECT pair_id, true AS is_chosen, pos, role, text FROM turns JOIN lasts USING (pair_id) WHERE pos <= stop
+  UNION ALL SELECT pair_id, false, pos, role, text FROM turns JOIN lasts USING (pair_id) WHERE pos < stop
+  UNION ALL SELECT o.pair_id, false, o.stop, 'assistant', coalesce(x.text, '')
+  FROM replies o LEFT JOIN replies x ON x.pair_id = xor(o.pair_id, 1)),
+lines AS (
+  SELECT *, '{OPEN}' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS line,
+    length(coalesce(text, '')) + {len(CLOSE)} AS body
+  FROM sides),
 prefixes AS (
-  SELECT pair_id, coalesce(min(pos) FILTER (NOT same) - 1, max(pos))::BIGINT AS n_prefix FROM places GROUP BY pair_id),
+  SELECT pair_id, coalesce(min(c.pos) FILTER (c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) - 1, max(c.pos))::BIGINT AS n_prefix
+  FROM (SELECT * FROM sides WHERE is_chosen) c JOIN (SELECT * FROM sides WHERE NOT is_chosen) r USING (pair_id, pos) GROUP BY pair_id),
 rest AS (
-  SELECT t.*, n_prefix, pos > n_prefix AS after,
+  SELECT l.*, n_prefix, pos > n_prefix AS after,
     sum(CASE WHEN pos > n_prefix THEN length(line) ELSE 0 END) OVER (PARTITION BY pair_id, is_chosen ORDER BY pos)::BIGINT AS stop
-  FROM turns t JOIN prefixes USING (pair_id) JOIN full_pairs USING (pair_id))
+  FROM lines l JOIN prefixes USING (pair_id))
 SELECT pair_id::BIGINT AS pair_id, n_prefix,
   coalesce(string_agg(line, '' ORDER BY pos) FILTER (is_chosen AND NOT after), '') AS prompt,
   coalesce(string_agg(line, '' ORDER BY pos) FILTER (is_chosen AND after), '') AS chosen,

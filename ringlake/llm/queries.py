@@ -20,8 +20,7 @@ def op2_lm_scoring(spark, sf_dir):
 
 
 def op3_chat_format(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    return chat_format.preference_examples(turns, chat_format.neighbour_pairs(turns))
+    return chat_format.swapped_replies(table(spark, sf_dir, "conversations"))
 
 
 def op4_simhash_near_dedup(spark, sf_dir):

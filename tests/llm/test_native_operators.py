@@ -51,6 +51,46 @@ def test_chat_edge_cases(spark):
 
 def test_chat_empty_table(spark):
     assert examples(spark, [], []) == {}
+    assert chat_format.swapped_replies(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_neighbours_of_large_ids(spark):
+    rows = [(2**60 + 2, 0, "user", "a"), (2**60 + 3, 0, "user", "a"), (-1, 0, "user", "b"), (-2, 0, "user", "b"), (None, 0, "user", "c")]
+    pairs = chat_format.neighbour_pairs(spark.createDataFrame([(*r, 1, "x") for r in rows], TURNS))
+    assert sorted(tuple(r) for r in pairs.collect()) == [(-1, -2, -1), (2**59 + 1, 2**60 + 2, 2**60 + 3)]
+
+
+def swapped_by_hand(rows):
+    """(prompt, chosen, rejected) of each conversation by plain loops."""
+    first = lambda x: (x is not None, x if x is not None else 0)
+    text = lambda x: (x is not None, x or "")
+    own = defaultdict(list)
+    for i, *t in rows:
+        if i is not None:
+            own[i].append(tuple(t))
+    for t in own.values():
+        t.sort(key=lambda x: (first(x[0]), text(x[1]), text(x[2])))
+    reply = {i: [k for k, x in enumerate(t) if x[1] == "assistant"][-1:] for i, t in own.items()}
+    out = {}
+    for i, t in own.items():
+        if not reply[i]:
+            continue
+        stop = reply[i][0]
+        partner = own.get(i ^ 1, [])
+        other = partner[reply[i ^ 1][0]][2] if partner and reply[i ^ 1] else ""
+        c, r = [x[1:] for x in t[: stop + 1]], [x[1:] for x in t[:stop]] + [("assistant", other or "")]
+        n = next((k for k, (x, y) in enumerate(zip(c, r)) if x != y), len(c))
+        render = lambda turns: "".join(f"<|im_start|>{a or 'unknown'}\n{b or ''}<|im_end|>\n" for a, b in turns)
+        out[i] = (n, render(c[:n]), render(c[n:]), render(r[n:]))
+    return out
+
+
+def test_swapped_replies_against_a_loop(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([*range(40), 2**60, None]), rng.choice([None, 0, 1, 2, 3]), rng.choice(["user", "assistant", None, "system"]), rng.choice([None, "", "a", "日b", "c"])) for _ in range(200)]
+    rows += rows[:5]
+    got = chat_format.swapped_replies(spark.createDataFrame([(*r, 1, "x") for r in rows], TURNS)).collect()
+    assert {r.pair_id: (r.n_prefix, r.prompt, r.chosen, r.rejected) for r in got} == swapped_by_hand(rows) and len(got) > 20
 
 
 # mixing
