@@ -17,11 +17,13 @@ WINDOW = 32
 CALIBRATION_FOLD = 4
 CACHE = 300_000
 
-#: An n-gram holds ORDER characters of SYMBOL_BITS bits; below SHARED_ORDER classes share all counts.
-ORDER, SYMBOL_BITS, SHARED_ORDER = 6, 10, 4
+#: An n-gram holds ORDER symbols; below SHARED_ORDER classes share all counts.
+ORDER, SHARED_ORDER = 6, 4
+#: A symbol is a code point and 2, so that every character is its own; 3 of them fill each of a gram's two numbers.
+SYMBOL_BITS, HALF = 21, 3
 #: Absolute discount: what a class must have seen beyond this count to depart from the backoff.
 DISCOUNT = 1.5
-PAD, UNKNOWN, EDGE = 0, 1, 2
+PAD, EDGE = 0, 1
 
 
 def fold(doc_id: Column) -> Column:
@@ -37,23 +39,52 @@ def words_of(text: str | None) -> list[str]:
     return TOKENS.findall(text.lower()) if text else []
 
 
-def ngrams(words: Sequence[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, word number): for each character of each word and its end, that and the ORDER - 1 symbols before it.
+def ngrams(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, word number): for each character of each word and its end, that and the ORDER - 1 symbols before it.
 
-    ``alphabet`` maps code points to symbols. Before a word stand an edge and padding.
+    A gram is a row of two numbers, the earlier HALF symbols and the later ones. Before a
+    word stand an edge and padding.
     """
     codes = np.frombuffer((" ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     owner = np.repeat(np.arange(len(words)), lengths)
     place = np.arange(len(codes)) - begin[owner]
-    symbols = alphabet[codes].astype(np.int64)
+    symbols = codes.astype(np.int64) + 2
     symbols[begin + lengths - 1] = EDGE
-    key = np.zeros(len(codes), dtype=np.int64)
+    grams = np.zeros((len(codes), 2), dtype=np.int64)
     for back in range(ORDER - 1, -1, -1):
         inside = np.where(place >= back, symbols[np.maximum(np.arange(len(codes)) - back, 0)], np.where(place == back - 1, EDGE, PAD))
-        key = (key << SYMBOL_BITS) | inside
-    return key, owner
+        half = 0 if back >= HALF else 1
+        grams[:, half] = (grams[:, half] << SYMBOL_BITS) | inside
+    return grams, owner
+
+
+def suffix(grams: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` symbols of each gram."""
+    keep = [(1 << (min(max(n, 0), HALF) * SYMBOL_BITS)) - 1 for n in (order - HALF, order)]
+    return grams & np.array(keep, dtype=np.int64)
+
+
+def context(grams: np.ndarray) -> np.ndarray:
+    """All but the last symbol of each gram."""
+    carried = (grams[:, 0] & ((1 << SYMBOL_BITS) - 1)) << ((HALF - 1) * SYMBOL_BITS)
+    return np.column_stack([grams[:, 0] >> SYMBOL_BITS, carried | (grams[:, 1] >> SYMBOL_BITS)])
+
+
+def keys_of(grams: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each gram. Among n grams two share one with probability about n^2 / 2^65: 3e-6 for ten million."""
+    early, late = grams.astype(np.uint64).T
+    h = (early ^ (early >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29)) ^ late) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, grams, group): the distinct grams by ascending key, and the number of each row's gram."""
+    keys, first, group = np.unique(keys_of(grams), return_index=True, return_inverse=True)
+    return keys, grams[first], group
 
 
 @dataclass(frozen=True)
@@ -81,56 +112,55 @@ class KneserNey:
     have the same counts, those of all texts, so a word that no class knows has ratio near 0.
     """
 
-    alphabet: np.ndarray
     levels: tuple[Level, ...]  # from ORDER down to SHARED_ORDER
 
     def ratios(self, words: Sequence[str]) -> np.ndarray:
         """Log-ratio of each word: the sum over its characters and its end."""
         if not len(words):
             return np.zeros(0)
-        key, owner = ngrams(words, self.alphabet)
-        out = np.zeros(len(key))
-        open_ = np.arange(len(key))
+        grams, owner = ngrams(words)
+        out = np.zeros(len(grams))
+        open_ = np.arange(len(grams))
         for order, level in zip(range(ORDER, SHARED_ORDER - 1, -1), self.levels):
-            k = key[open_] & ((1 << (order * SYMBOL_BITS)) - 1)
-            at, known = _find(level.keys, k)
+            g = suffix(grams[open_], order)
+            at, known = _find(level.keys, keys_of(g))
             out[open_[known]] += level.ratio[at[known]]
-            open_, k = open_[~known], k[~known]
-            at, known = _find(level.contexts, k >> SYMBOL_BITS)
+            open_, g = open_[~known], g[~known]
+            at, known = _find(level.contexts, keys_of(context(g)))
             out[open_[known]] += level.backoff[at[known]]
         return np.bincount(owner, weights=out, minlength=len(words))
 
 
-def fit(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, alphabet: np.ndarray) -> KneserNey:
-    """The models from the counts of the grams of ORDER symbols by class."""
-    counts = {ORDER: (keys, toxic.astype(np.float64), ordinary.astype(np.float64))}
+def fit(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> KneserNey:
+    """The models from the counts of distinct grams of ORDER symbols by class."""
+    keys, grams, group = _distinct(grams)
+    counts = {ORDER: (keys, grams, *(np.bincount(group, weights=n, minlength=len(keys)) for n in (toxic, ordinary)))}
     for order in range(ORDER - 1, 0, -1):
-        above, t, o = counts[order + 1]
-        short, at = np.unique(above & ((1 << (order * SYMBOL_BITS)) - 1), return_inverse=True)
-        pooled = np.bincount(at, minlength=len(short)).astype(np.float64)
-        own = [np.bincount(at, weights=n > 0, minlength=len(short)) for n in (t, o)]
-        counts[order] = (short, *(own if order >= SHARED_ORDER else (pooled, pooled)))
+        _, above, t, o = counts[order + 1]
+        keys, short, at = _distinct(suffix(above, order))
+        pooled = np.bincount(at, minlength=len(keys)).astype(np.float64)
+        own = [np.bincount(at, weights=n > 0, minlength=len(keys)) for n in (t, o)]
+        counts[order] = (keys, short, *(own if order >= SHARED_ORDER else (pooled, pooled)))
+    uniform = 1.0 / (len(counts[1][0]) + 1)  # the symbols seen, and one for all others
     levels = []
-    below: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    below: tuple[np.ndarray, list[np.ndarray]] | None = None
     for order in range(1, ORDER + 1):
-        k, *classes = counts[order]
-        sort = np.argsort(k)
-        k = k[sort]
-        contexts, at = np.unique(k >> SYMBOL_BITS, return_inverse=True)
-        logs = []
+        keys, grams, *classes = counts[order]
+        contexts, _, at = _distinct(context(grams))
+        shorter = None if below is None else np.searchsorted(below[0], keys_of(suffix(grams, order - 1)))
+        estimates, weights = [], []
         for c, n in enumerate(classes):
-            n = n[sort]
             total = np.bincount(at, weights=n, minlength=len(contexts))
             held = np.bincount(at, weights=np.minimum(n, DISCOUNT), minlength=len(contexts))
             b = np.where(total > 0, held / np.maximum(total, 1), 1.0)
-            q = 1.0 / (1 << SYMBOL_BITS) if below is None else below[1 + c][np.searchsorted(below[0], k & ((1 << ((order - 1) * SYMBOL_BITS)) - 1))]
-            p = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[at] + b[at] * q
-            logs.append((p, np.log(b)))
-        below = (k, logs[0][0], logs[1][0])
+            q = uniform if below is None else below[1][c][shorter]
+            estimates.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[at] + b[at] * q)
+            weights.append(b)
+        below = (keys, estimates)
         if order >= SHARED_ORDER:
-            ratio = np.log(logs[0][0]) - np.log(logs[1][0])
-            levels.append(Level(k, ratio.astype(np.float32), contexts, (logs[0][1] - logs[1][1]).astype(np.float32)))
-    return KneserNey(alphabet, tuple(reversed(levels)))
+            ratio, backoff = (np.log(x[0]) - np.log(x[1]) for x in (estimates, weights))
+            levels.append(Level(keys, ratio.astype(np.float32), contexts, backoff.astype(np.float32)))
+    return KneserNey(tuple(reversed(levels)))
 
 
 class Scorer:
@@ -195,38 +225,27 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Toxicity
 
     ``per_class`` bounds the sample: about so many documents of each class, chosen by the
     hash of their id, and no more than the smaller class has, so that the counts of both
-    classes are matched. The sample's characters form the alphabet, the 1,000 most frequent
-    ones at most; others are one unknown symbol. One fold of the sample is kept from the
-    counts and calibrates the score, at equal weight of both classes.
+    classes are matched. Every character is a symbol of its own. One fold of the sample is
+    kept from the counts and calibrates the score, at equal weight of both classes.
     """
     spark = docs.sparkSession
     sample = checkpoint(labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", per_class, "toxicity sample", matched=True))
     counted = sample.where(fold(F.col("doc_id")) != CALIBRATION_FOLD).select("text", "toxic")
 
-    def characters(batches):
-        for batch in batches:
-            codes, n = np.unique(np.frombuffer("".join(t.lower() for t in batch.column("text").to_pylist()).encode("utf-32-le"), dtype=np.uint32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], names=["code", "n"])
-
-    most = counted.mapInArrow(characters, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(1000).toPandas()["code"]
-    alphabet = np.full(0x110000, UNKNOWN, dtype=np.int16)
-    alphabet[most.to_numpy(np.int64)] = np.arange(EDGE + 1, EDGE + 1 + len(most))
-    letters = spark.sparkContext.broadcast(alphabet)
-
-    def grams(batches):
+    def count(batches):
         for batch in batches:
             for a, b in slices(batch.column("text"), 500_000):
-                lists = [words_of(t) for t in batch.column("text").slice(a, b - a).to_pylist()]
-                words = [w for x in lists for w in x]
-                if not words:
-                    continue
-                key, owner = ngrams(words, letters.value)
-                mark = np.repeat(batch.column("toxic").slice(a, b - a).to_numpy(zero_copy_only=False), [len(x) for x in lists])[owner]
-                both, n = np.unique(key * 2 + mark, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(n * (both & 1)), pa.array(n * (1 - (both & 1)))], names=["key", "toxic", "ordinary"])
-
-    sums = counted.mapInArrow(grams, "key long, toxic long, ordinary long").groupBy("key").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("ordinary").cast("int").alias("ordinary")).toPandas()
-    words = fit(sums["key"].to_numpy(np.int64), sums["toxic"].to_numpy(), sums["ordinary"].to_numpy(), alphabet)
+                marks = batch.column("toxic").slice(a, b - a).to_pylist()
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                for mark in (0, 1):
+                    words = [w for t, m in zip(texts, marks) if m == mark for w in words_of(t)]
+                    if words:
+                        _, grams, group = _distinct(ngrams(words)[0])
+                        n = np.bincount(group)
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, grams.T.copy()), pa.array(n * mark), pa.array(n * (1 - mark))], names=["early", "late", "toxic", "ordinary"])
+
+    sums = counted.mapInArrow(count, "early long, late long, toxic long, ordinary long").groupBy("early", "late").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
+    words = fit(sums[["early", "late"]].to_numpy(np.int64), sums["toxic"].to_numpy(), sums["ordinary"].to_numpy())
     given = spark.sparkContext.broadcast(words)
 
     def seen(texts):

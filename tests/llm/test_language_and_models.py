@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from ringlake.llm import language_id, lm_scoring, toxicity
+from ringlake.llm.common import labelled_sample
 
 SYLLABLES = {"xx": ["ba", "bo", "ti", "ta"], "yy": ["kur", "vem", "zol", "ba"], "zz": ["да", "не", "то", "ки"]}
 
@@ -167,17 +168,66 @@ def test_toxicity_of_held_out_rows(docs_of, labels_of):
     assert (toxicity.train(docs_of(docs), labels_of(other)).weights == model.weights).all()
 
 
-def test_kneser_ney_sums_to_one():
-    """Of each class: exp(ratio) is p_toxic / p_ordinary, so check the estimates behind it on one context."""
-    words = ["aab", "ab", "ba", "abb"] * 3
-    alphabet = np.full(0x110000, toxicity.UNKNOWN, dtype=np.int16)
-    alphabet[[ord("a"), ord("b")]] = [3, 4]
-    key, _ = toxicity.ngrams(words, alphabet)
-    keys, n = np.unique(key, return_counts=True)
-    model = toxicity.fit(keys, n, n, alphabet)
-    assert np.allclose(model.ratios(["aab", "zzz", "b"]), 0)
-    more = toxicity.fit(keys, n * 10, n * (keys % 2), alphabet)
-    assert np.isfinite(more.ratios(["aab", "zzz", "b"])).all()
+def kneser_ney_by_hand(toxic, ordinary, word):
+    """log p_toxic - log p_ordinary of a word and its end, by dicts of plain tuples."""
+    order, shared, d = toxicity.ORDER, toxicity.SHARED_ORDER, toxicity.DISCOUNT
+
+    def grams(w):
+        s = [None] * (order - 2) + ["^", *w, "^"]
+        return [tuple(s[i - order + 1 : i + 1]) for i in range(order - 1, len(s))]
+
+    def counts(words):
+        return Counter(g for w in words for g in grams(w))
+
+    def shorter(n):
+        return Counter(g[1:] for g in n)
+
+    tables = [{order: counts(toxic)}, {order: counts(ordinary)}]
+    for k in range(order - 1, 0, -1):
+        if k >= shared:
+            for t in tables:
+                t[k] = shorter(t[k + 1])
+        else:
+            both = shorter(set(tables[0][k + 1]) | set(tables[1][k + 1]))
+            tables[0][k] = tables[1][k] = both
+
+    seen = len(tables[0][1])
+
+    def p(t, g):
+        if not g:
+            return 1 / (seen + 1)
+        own = {x: n for x, n in t[len(g)].items() if x[:-1] == g[:-1]}
+        total = sum(own.values())
+        if not total:
+            return p(t, g[1:])
+        return max(own.get(g, 0) - d, 0) / total + sum(min(n, d) for n in own.values()) / total * p(t, g[1:])
+
+    return sum(math.log(p(tables[0], g)) - math.log(p(tables[1], g)) for g in grams(word))
+
+
+def fitted(toxic, ordinary):
+    parts = [toxicity.ngrams(w)[0] for w in (toxic, ordinary)]
+    mark = np.repeat([1, 0], [len(x) for x in parts])
+    return toxicity.fit(np.concatenate(parts), mark, 1 - mark)
+
+
+def test_kneser_ney_against_a_loop():
+    """Each word's ratio is that of a loop over dicts, with characters far beyond any alphabet of a thousand."""
+    rng = random.Random(21)
+    letters = [chr(c) for c in rng.sample(range(0x4E00, 0x9FFF), 1500)]
+    draw = lambda chars, n: ["".join(rng.choice(chars) for _ in range(rng.randint(1, 7))) for _ in range(n)]
+    toxic, ordinary = draw("abc", 60) + draw(letters, 40) + ["grumf"] * 5, draw("abcd", 60) + draw(letters, 40)
+    model = fitted(toxic, ordinary)
+    words = ["abc", "grumf", "grumble", "zzz", "a", "😀", *toxic[:10], *toxic[60:70], *ordinary[60:70], letters[0] * 3]
+    assert model.ratios(words) == pytest.approx([kneser_ney_by_hand(toxic, ordinary, w) for w in words], abs=1e-4)
+    assert model.ratios(["grumf"])[0] > 3 and abs(model.ratios(["zzzzz"])[0]) < 1
+    assert np.allclose(fitted(toxic, toxic).ratios(words), 0) and len(model.ratios([])) == 0
+
+
+def test_sample_has_one_row_of_each_id(docs_of, labels_of):
+    rows = [(1, "b"), (1, "a"), (1, None), (2, "x"), (None, "y")] * 50
+    found = labelled_sample(docs_of(rows), labels_of([(1, 0, 1), (1, 0, 0), (2, 0, 0), (None, 0, 1)]), "toxic", 100, "s", matched=False)
+    assert sorted((r.doc_id, r.text, r.toxic) for r in found.collect()) == [(1, "a", 1), (2, "x", 0)]
 
 
 def test_toxicity_edge_cases(docs_of, labels_of):
