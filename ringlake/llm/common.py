@@ -40,11 +40,11 @@ def crc_mod(column, modulus: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, salt: str, matched: bool) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, salt: str) -> DataFrame:
     """(doc_id, text, label) of a sample of the documents with label 0 or 1.
 
     About ``per_class`` documents of each class, chosen by the hash of their id, or all of a
-    class that has fewer; if ``matched``, no more than the smaller class has. The ids are
+    class that has fewer. The ids are
     about 2 * ``per_class`` at most, whatever the tables hold, and so are broadcast: the
     texts stay where they are. Rows of null doc_id or null text are not in the sample; a
     document labelled both ways counts as 1; of rows that share an id the least text is in
@@ -52,9 +52,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """
     marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     sizes = {r[label]: r["count"] for r in marks.groupBy(label).count().collect()}
-    most = {k: min(per_class, *sizes.values()) if matched and len(sizes) == 2 else per_class for k in (0, 1)}
     spread = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col(label) == 1, most[1] / max(sizes.get(1, 0), 1)).otherwise(most[0] / max(sizes.get(0, 0), 1))
+    share = F.when(F.col(label) == 1, per_class / max(sizes.get(1, 0), 1)).otherwise(per_class / max(sizes.get(0, 0), 1))
     found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(marks.where(spread < share)), "doc_id")
     return found.groupBy("doc_id", label).agg(F.min("text").alias("text"))
 

@@ -221,7 +221,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, per_class: int = 10_
     About ``per_class`` documents of quality 0 and as many of quality 1, chosen by the hash
     of their id; all of a class that has fewer.
     """
-    sample = labelled_sample(docs, labels, "quality", per_class, "quality sample", matched=False)
+    sample = labelled_sample(docs, labels, "quality", per_class, "quality sample")
     passed = text_statistics(sample, carry=("doc_id", "quality")).withColumn("__row", F.monotonically_increasing_id())
     passed = passed.where(~base_failed() & (F.col("__row") >= 0)).drop("__row")
     return passed.withColumn("bad", 1 - F.col("quality")).withColumn("grow", crc_mod(F.col("doc_id"), 3) != 0)

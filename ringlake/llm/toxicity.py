@@ -163,46 +163,71 @@ def fit(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> KneserNey
     return KneserNey(tuple(reversed(levels)))
 
 
+FEATURES = 4
+
+
 class Scorer:
     """Features of texts under a model; ratios of words are kept between slices, CACHE words at most."""
 
     def __init__(self, model: KneserNey):
-        self.model, self.known = model, {}
+        self.model, self.known, self.values = model, {}, np.zeros(0)
 
-    def ratios(self, words: list[str]) -> np.ndarray:
+    def ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number, ratio) of each word; equal words have equal numbers within a call."""
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.values = {}, np.zeros(0)
         missing = list(dict.fromkeys(w for w in words if w not in self.known))
-        for a in range(0, len(missing), 50_000):
-            part = missing[a : a + 50_000]
-            self.known.update(zip(part, self.model.ratios(part).tolist()))
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.float64, count=len(words))
+        parts = [self.model.ratios(missing[a : a + 50_000]) for a in range(0, len(missing), 50_000)]
+        self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing))))
+        self.values = np.concatenate([self.values, *parts])
+        number = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        return number, self.values[number]
 
     def features(self, texts: Sequence[str | None]) -> np.ndarray:
-        """(mean log-ratio of the words, largest sum over WINDOW words in a row / WINDOW) per text; zeros without words."""
+        """FEATURES numbers a text, zeros without words: mean log-ratio of the words, largest sum over WINDOW words in
+        a row / WINDOW, log-ratio of the most toxic word, and mean of the three most toxic ones.
+
+        A word that comes again within WINDOW words counts once for the first two, so that
+        a phrase repeated many times is no evidence.
+        """
         lists = [words_of(t) for t in texts]
         starts = starts_of([len(x) for x in lists])
-        total = np.concatenate([[0.0], np.cumsum(self.ratios([w for x in lists for w in x]))])
+        number, ratio = self.ratios([w for x in lists for w in x])
+        out = np.zeros((len(texts), FEATURES))
+        if not len(ratio):
+            return out
         counts = np.diff(starts)
-        out = np.zeros((len(texts), 2))
         full = counts > 0
-        out[full, 0] = (total[starts[1:]] - total[starts[:-1]])[full] / counts[full]
-        # a window for each word: the WINDOW words up to it, fewer at the start of a text
+        begins = starts[:-1][full]
         owner = np.repeat(np.arange(len(texts)), counts)
+        key = owner * (int(number.max()) + 1) + number
+        order = np.argsort(key, kind="stable")
+        same = np.append(False, key[order][1:] == key[order][:-1])
+        again = order[same & (np.diff(order, prepend=0) < WINDOW)]
+        fresh = np.ones(len(ratio))
+        fresh[again] = 0
+        total = np.concatenate([[0.0], np.cumsum(ratio * fresh)])
+        out[full, 0] = (total[starts[1:]] - total[starts[:-1]])[full] / np.add.reduceat(fresh, begins)
+        # a window for each word: the WINDOW words up to it, fewer at the start of a text
         end = np.arange(1, len(total))
-        begin = np.maximum(end - WINDOW, starts[owner])
-        if len(end):
-            out[full, 1] = np.maximum.reduceat((total[end] - total[begin]) / WINDOW, starts[:-1][full])
+        out[full, 1] = np.maximum.reduceat((total[end] - total[np.maximum(end - WINDOW, starts[owner])]) / WINDOW, begins)
+        distinct = order[~same]
+        distinct = distinct[np.lexsort((-ratio[distinct], owner[distinct]))]
+        heads = np.searchsorted(owner[distinct], np.flatnonzero(full))
+        place = np.arange(len(distinct)) - np.repeat(heads, np.diff(np.append(heads, len(distinct))))
+        above = np.maximum(ratio[distinct], 0)
+        out[full, 2] = above[heads]
+        out[:, 3] = np.bincount(owner[distinct], weights=above * (place < 3), minlength=len(texts)) / 3
         return out
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     words: KneserNey
-    weights: np.ndarray  # of the two features, then the constant
+    weights: np.ndarray  # of the features, then the constant
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:2] + self.weights[2], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -210,26 +235,27 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    b = np.zeros(3)
+    ridge = np.array([1.0] * x.shape[1] + [0.0])
+    b = np.zeros(len(ridge))
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        g = z.T @ (balance * (p - y)) + np.array([1, 1, 0]) * b
-        hess = (z * (balance * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag([1, 1, 1e-6])
+        g = z.T @ (balance * (p - y)) + ridge * b
+        hess = (z * (balance * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(ridge + 1e-6)
         b = b - np.linalg.solve(hess, g)
-    w = b[:2] / scale
-    return np.array([*w, b[2] - w @ mean])
+    w = b[:-1] / scale
+    return np.array([*w, b[-1] - w @ mean])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> ToxicityModel:
     """A model from labelled rows that aren't held out.
 
     ``per_class`` bounds the sample: about so many documents of each class, chosen by the
-    hash of their id, and no more than the smaller class has, so that the counts of both
-    classes are matched. Every character is a symbol of its own. One fold of the sample is
-    kept from the counts and calibrates the score, at equal weight of both classes.
+    hash of their id, or all of a class that has fewer. Every character is a symbol of its
+    own. One fold of the sample is kept from the counts and calibrates the score, at equal
+    weight of both classes, which also evens out what classes of different sizes know.
     """
     spark = docs.sparkSession
-    sample = checkpoint(labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", per_class, "toxicity sample", matched=True))
+    sample = checkpoint(labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", per_class, "toxicity sample"))
     counted = sample.where(fold(F.col("doc_id")) != CALIBRATION_FOLD).select("text", "toxic")
 
     def count(batches):
@@ -250,20 +276,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> Toxicity
 
     def seen(texts):
         x = Scorer(given.value).features(texts)
-        return [pa.array(x[:, 0]), pa.array(x[:, 1])]
+        return [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))]
 
-    points = map_texts(sample.where(fold(F.col("doc_id")) == CALIBRATION_FOLD), seen, "mean double, peak double", carry=("toxic",)).toPandas()
+    points = map_texts(sample.where(fold(F.col("doc_id")) == CALIBRATION_FOLD), seen, "x array<double>", carry=("toxic",)).toPandas()
     y = points["toxic"].to_numpy(np.float64)
-    weights = _logistic(points[["mean", "peak"]].to_numpy(), y) if 0 < y.sum() < len(y) else np.array([1.0, 1.0, 0.0])
+    weights = _logistic(np.stack(points["x"].to_numpy()), y) if 0 < y.sum() < len(y) else np.array([1.0] * FEATURES + [0.0])
     return ToxicityModel(words, weights)
 
 
 def predict(docs: DataFrame, model: ToxicityModel, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``carry`` columns, score (0 to 1) and predicted of each whole text.
 
-    The score compares the two models' log-likelihoods per word, over the whole text and
-    over its most toxic passage of 32 words, so that one passage shows in a text of any
-    length. Null texts and texts without letters have ratio zero and get the score of that.
+    The score compares the two models' log-likelihoods per word, over the whole text, over
+    its most toxic passage of 32 words, and of its most toxic words, so that one passage or
+    word shows in a text of any length. Null texts and texts without letters have ratio zero and get the score of that.
     Repeated rows each return a row; an empty table gives none; other columns never count.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -224,9 +224,28 @@ def test_kneser_ney_against_a_loop():
     assert np.allclose(fitted(toxic, toxic).ratios(words), 0) and len(model.ratios([])) == 0
 
 
+def test_features_against_a_loop():
+    rng = random.Random(3)
+    model = fitted(["grumf", "ab"] * 9, ["ba", "ab", "aa"] * 9)
+    draw = ["ab", "ba", "aa", "grumf", "zz"]
+    texts = [None, "", "1 2", *(" ".join(rng.choice(draw) for _ in range(rng.choice([1, 2, 31, 33, 200]))) for _ in range(12)), "", "ab"]
+    got = toxicity.Scorer(model).features(texts)
+    for t, x in zip(texts, got):
+        w = (t or "").split() if t and t[0].isalpha() else []
+        if not w:
+            assert (x == 0).all()
+            continue
+        v = [float(model.ratios([a])[0]) for a in w]
+        new = [a not in w[max(0, k - toxicity.WINDOW + 1) : k] for k, a in enumerate(w)]
+        u = [p if n else 0.0 for p, n in zip(v, new)]
+        top = sorted((max(0.0, p) for p in dict(zip(w, v)).values()), reverse=True)
+        peak = max(sum(u[max(0, k - toxicity.WINDOW) : k]) / toxicity.WINDOW for k in range(1, len(u) + 1))
+        assert x == pytest.approx([sum(u) / sum(new), peak, top[0], sum(top[:3]) / 3], abs=1e-5)
+
+
 def test_sample_has_one_row_of_each_id(docs_of, labels_of):
     rows = [(1, "b"), (1, "a"), (1, None), (2, "x"), (None, "y")] * 50
-    found = labelled_sample(docs_of(rows), labels_of([(1, 0, 1), (1, 0, 0), (2, 0, 0), (None, 0, 1)]), "toxic", 100, "s", matched=False)
+    found = labelled_sample(docs_of(rows), labels_of([(1, 0, 1), (1, 0, 0), (2, 0, 0), (None, 0, 1)]), "toxic", 100, "s")
     assert sorted((r.doc_id, r.text, r.toxic) for r in found.collect()) == [(1, "a", 1), (2, "x", 0)]
 
 
