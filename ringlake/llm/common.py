@@ -23,15 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, as a URI, which the whole cluster shares.
+
+    Where that is unset and driver and executors are one process (tests, a single machine), a
+    temporary folder is set; on a cluster, whose executors couldn't see it, that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    folder = folder if ":" in folder else f"file://{folder}"
+    return folder.replace("file:///", "file:/").replace("file:/", "file:///")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write the rows to the cluster's shared checkpoint folder and cut the lineage there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests,
-    a single machine) a temporary folder is set.
+    Spark deletes a checkpoint when its rows can no longer be used, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
-from pyarrow.fs import FileSystem, FileType
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringlake.llm.common import map_texts, segment_sum, slices, starts_of
+from ringlake.llm.common import segment_sum, shared_folder, slices, starts_of
 
-#: Tokens are characters; an n-gram of order k > 1 is counted under a 64-bit key of its own.
+#: Tokens are characters; an n-gram of any order is counted under a 64-bit key of its own.
 ORDER = 5
 SMOOTHING = 4.0
-#: Order 1: a code point (or the start of a text) is its own key.
-CODE_POINTS = 0x110000
-START = CODE_POINTS - 1
+#: Stands before the start of a text; no character has this code.
+START = 0x110000
 LOOK_CHARS = 100_000
 #: Distinct n-grams that a counting task holds before it sends them on.
 HELD_GRAMS = 2_000_000
-#: Distinct n-grams that a scoring task holds at once, about.
-SHARD_GRAMS = 2_000_000
-#: Characters of texts that are scored together, so that each shard is read once for all of them.
-SCORE_CHARS = 500_000
+#: Distinct n-grams of a slice that a scoring task holds at once.
+PART_GRAMS = 4_000_000
+#: (longest text, texts together) in a slice, so that a slice is about 10 MB of common texts and 64 MB at most; a longer text is a slice.
+SLICE_SIZES = ((16_384, 4096), (1_048_576, 64))
 
 
 def _mixed(code: np.ndarray) -> np.ndarray:
@@ -41,8 +39,8 @@ def _longer(mixed: np.ndarray, earlier) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
-def _grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, keys, starts): for each character its code point and the keys of orders 2 to ORDER, orders in rows.
+def _grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, starts): for each character the keys of the n-grams that end there, orders 1 to ORDER in rows.
 
     Contexts don't reach over the start of a text: there they see START.
     """
@@ -50,23 +48,22 @@ def _grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     starts = starts_of([len(t) for t in given])
     codes = np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     place = np.arange(len(codes)) - np.repeat(starts[:-1], np.diff(starts))
-    keys = np.empty((ORDER - 1, len(codes)), dtype=np.uint64)
-    mixed = _mixed(codes)
+    keys = np.empty((ORDER, len(codes)), dtype=np.uint64)
+    keys[0] = _mixed(codes)
     for k in range(1, ORDER):
         earlier = np.full(len(codes), START, dtype=np.uint64)
-        earlier[k:] = codes[: len(codes) - k]
+        earlier[k:] = codes[: max(len(codes) - k, 0)]
         earlier[place < k] = START
-        keys[k - 1] = mixed = _longer(mixed, earlier + np.uint64(k << 32))
-    return codes.astype(np.int64), keys, starts
+        keys[k] = _longer(keys[k - 1], earlier + np.uint64(k << 32))
+    return keys, starts
 
 
 def _start_keys() -> np.ndarray:
-    """The keys, of orders 2 to ORDER - 1, of contexts that lie wholly before a text."""
-    mixed, out = _mixed(np.array([START], dtype=np.uint64)), []
+    """The keys, of orders 1 to ORDER - 1, of contexts that lie wholly before a text."""
+    out = [_mixed(np.array([START], dtype=np.uint64))]
     for k in range(1, ORDER - 1):
-        mixed = _longer(mixed, np.uint64(START + (k << 32)))
-        out.append(mixed[0])
-    return np.array(out, dtype=np.uint64)
+        out.append(_longer(out[-1], np.uint64(START + (k << 32))))
+    return np.concatenate(out)
 
 
 START_KEYS = _start_keys()
@@ -108,191 +105,223 @@ class Lookup:
         return out
 
 
-#: The shard that this Python worker read last.
-_last: dict[tuple[str, int], tuple[Lookup, list[np.ndarray]]] = {}
+@dataclass
+class Answers:
+    """What the corpus has of the n-grams of one slice of texts: a table of files in the shared folder.
 
+    Read in parts of PART_GRAMS; a slice of one part, as is usual, is read once.
+    """
 
-@dataclass(frozen=True)
-class Models:
-    """Counts of all n-grams in the target and in the background, brought to the same total.
+    folder: str
+    part: int
+    slice: int
+    held: list = field(default_factory=list)
+
+    def _parts(self) -> Iterator[tuple[int, Lookup, np.ndarray, np.ndarray]]:
+        """(first number, lookup, counts in the target, counts in the corpus) of each part."""
+        if self.held:
+            yield from self.held
+            return
+        system, path = FileSystem.from_uri(f"{self.folder}/part={self.part}")
+        found = ds.dataset(path, filesystem=system, format="parquet").to_batches(columns=["key", "target", "background"], filter=ds.field("slice") == self.slice, use_threads=False)
+        waiting, size, first, several = [], 0, 0, False
+        for batch in found:
+            waiting.append(batch)
+            size += len(batch)
+            if size >= PART_GRAMS:
+                several = True
+                yield self._part(waiting, first)
+                first += size
+                waiting, size = [], 0
+        if waiting or not several:
+            last = self._part(waiting, first)
+            if not several:
+                self.held.append(last)
+            yield last
+
+    @staticmethod
+    def _part(batches, first: int) -> tuple[int, Lookup, np.ndarray, np.ndarray]:
+        columns = [np.concatenate([np.zeros(0, dtype=np.int64), *(b.column(c).to_numpy() for b in batches)]) for c in ("key", "target", "background")]
+        keys, at = np.unique(columns[0].view(np.uint64), return_index=True)
+        return first, Lookup(keys), columns[1][at], columns[2][at]
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, count in the target, count in the corpus) of each key; equal keys have equal numbers."""
+        number, target, background = (np.zeros(len(keys), dtype=np.int64) for _ in range(3))
+        for first, look, t, b in self._parts():
+            at = look(keys)
+            if len(t) and at.min(initial=0) >= 0:
+                return at + first, t[at], b[at]
+            hit = np.flatnonzero(at >= 0)
+            number[hit], target[hit], background[hit] = at[hit] + first, t[at[hit]], b[at[hit]]
+        return number, target, background
 
-    Orders over 1 are a table of files in the shared folder, in ``shards`` parts by the
-    highest bits of the key; order 1 has a row a code point. ``scale`` is what a count of the
-    target counts.
 
-    p_k(c | context) = (n(context c) + SMOOTHING * p_{k-1}(c)) / (n(context) + SMOOTHING), p_1
-    with one count spread over the shared vocabulary, which is every character of the corpus.
-    """
+@dataclass(frozen=True)
+class Totals:
+    """Characters of the target and of the corpus, and how many different ones the corpus has."""
 
-    folder: str
-    shards: int
-    single: np.ndarray
-    totals: tuple[float, float]
+    target: int
+    background: int
     vocabulary: int
-    scale: float
-
-    def shard(self, i: int) -> tuple[Lookup, list[np.ndarray]]:
-        if (self.folder, i) not in _last:
-            _last.clear()
-            system, path = FileSystem.from_uri(self.folder)
-            fields = pa.schema([("key", pa.int64()), ("target", pa.int64()), ("background", pa.int64())])
-            there = system.get_file_info(f"{path}/shard={i}").type == FileType.Directory
-            made = ds.dataset(f"{path}/shard={i}", fields, filesystem=system, format="parquet").to_table(use_threads=False) if there else fields.empty_table()
-            key = made.column("key").to_numpy().view(np.uint64)
-            order = np.argsort(key)
-            # the last one, at -1, is that of keys that aren't there
-            counts = [np.append(made.column(c).to_numpy()[order], 0).astype(np.float64) for c in ("target", "background")]
-            _last[self.folder, i] = Lookup(key[order]), counts
-        return _last[self.folder, i]
-
-    def counts(self, keys: np.ndarray) -> list[np.ndarray]:
-        """Counts in the target and in the background of each key; zeros if the corpus has no such n-gram."""
-        if self.shards == 1:
-            look, counts = self.shard(0)
-            at = look(keys)
-            return [n[at] for n in counts]
-        out = [np.zeros(len(keys)) for _ in range(2)]
-        of = (keys >> np.uint64(32)).astype(np.int64) * self.shards >> 32
-        for i in np.unique(of).tolist():
-            look, counts = self.shard(i)
-            mine = np.flatnonzero(of == i)
-            at = look(keys[mine])
-            for x, n in zip(out, counts):
-                x[mine] = n[at]
-        return out
 
-    def losses(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(target loss, background loss, starts) of each character, in nats."""
-        codes, keys, starts = _grams(texts)
+    @property
+    def scale(self) -> float:
+        """What a count of the corpus counts: both models are of the target's size."""
+        return self.target / self.background if self.target and self.background else 1.0
+
+    def losses(self, texts: Sequence[str | None], is_target: np.ndarray, answers: Answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(target loss, background loss, starts) of each character, in nats, under counts without the text's own.
+
+        p_k(c | context) = (n(context c) + SMOOTHING * p_{k-1}(c)) / (n(context) + SMOOTHING), p_1
+        with one count spread over the shared vocabulary, which is every character of the corpus.
+        """
+        keys, starts = _grams(texts)
+        n = keys.shape[1]
+        number, *counts = answers(np.concatenate([keys.ravel(), START_KEYS]))
+        number = number[: keys.size].reshape(keys.shape)
+        own = np.empty(keys.shape)
+        tally = np.zeros(int(number.max(initial=0)) + 1, dtype=np.int32)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            at = number[:, a:b]
+            np.add.at(tally, at.ravel(), 1)
+            own[:, a:b] = tally[at]
+            tally[at] = 0
+        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+        mine = (is_target.astype(np.float64)[owner], np.ones(n))
+        size = np.diff(starts)[owner]
         begin = starts[:-1][np.diff(starts) > 0]
-        every = self.counts(np.concatenate([keys.ravel(), START_KEYS]))  # shards are read once for both
         out = []
-        for m, scale in ((0, self.scale), (1, 1.0)):
-            n = every[m] * scale
-            n, before = n[: keys.size].reshape(keys.shape), n[keys.size :]
-            own, start = self.single[m][codes] * scale, self.single[m][START] * scale
-            p = (own + 1.0 / self.vocabulary) / (self.totals[m] * scale + 1.0)
+        for total, scale, of, found in zip((self.target, self.background), (1.0, self.scale), mine, counts):
+            left = (found[: keys.size].reshape(keys.shape) - own * of) * scale
+            before = found[keys.size :]
+            p = (left[0] + 1.0 / self.vocabulary) / ((total - size * of) * scale + 1.0)
             for k in range(1, ORDER):
-                context = np.empty(len(codes))
-                context[1:] = own[:-1]
-                context[begin] = start
-                own = n[k - 1]
-                p = (own + SMOOTHING * p) / (context + SMOOTHING)
-                if k < ORDER - 1:
-                    start = before[k - 1]
+                context = np.empty(n)
+                context[1:] = left[k - 1][:-1]
+                context[begin] = (before[k - 1] - of[begin]) * scale
+                p = (left[k] + SMOOTHING * p) / (context + SMOOTHING)
             out.append(-np.log(p))
         return out[0], out[1], starts
 
 
-def _count(docs: DataFrame, flag: str) -> DataFrame:
-    """(several, key, target, background): counts of all n-grams over all rows, added up in tasks first.
+def _slice_of(length: Column) -> Column:
+    """Numbers texts of like length within a partition, so many together as SLICE_SIZES says."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    out = (place + F.lit(len(SLICE_SIZES) << 33)).cast("long")
+    for k, (longest, together) in reversed(list(enumerate(SLICE_SIZES))):
+        out = F.when(length <= longest, F.floor(place / together) + F.lit(k << 33)).otherwise(out)
+    return out.cast("long")
+
 
-    ``several`` is false for order 1, whose keys are code points. A task that holds
-    HELD_GRAMS sends them on and begins anew.
+def _counted(texts: DataFrame) -> DataFrame:
+    """(part, slice, single, key, target, background): counts of the n-grams of each slice.
+
+    ``single`` marks order 1. A task that holds HELD_GRAMS sends them on and begins anew.
     """
+    names = ["part", "slice", "single", "key", "target", "background"]
 
-    def rows(several, keys, counts):
+    def rows(at, keys, counts, single):
         for a in range(0, len(keys), 100_000):
             k, n = keys[a : a + 100_000].view(np.int64), counts[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), several)), pa.array(k), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["several", "key", "target", "background"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), at[0], dtype=np.int32)), pa.array(np.full(len(k), at[1])), pa.array(np.full(len(k), single)), pa.array(k), pa.array(n[:, 0]), pa.array(n[:, 1])], names=names)
+
+    def sent(at, held, begun):
+        for single, parts in held.items():
+            if parts:
+                yield from rows(at, *_summed(*map(np.concatenate, zip(*parts))), single)
+                parts.clear()
+        if begun[1]:
+            yield from rows(at, START_KEYS, np.tile(begun, (len(START_KEYS), 1)), False)
+            begun[:] = 0
 
     def work(batches) -> Iterator[pa.RecordBatch]:
-        single = np.zeros((CODE_POINTS, 2), dtype=np.int64)
-        begun = np.zeros(2, dtype=np.int64)
-        held, fresh, size = (np.zeros(0, dtype=np.uint64), np.zeros((0, 2), dtype=np.int64)), [], 0
+        at, held, begun, size = None, {True: [], False: []}, np.zeros(2, dtype=np.int64), 0
         for batch in batches:
-            marks = batch.column(flag).to_numpy(zero_copy_only=False)
-            for a, b in slices(batch.column("text"), LOOK_CHARS):
-                given = batch.column("text").slice(a, b - a).to_pylist()
-                for mark in (0, 1):
-                    codes, keys, starts = _grams([t for t, m in zip(given, marks[a:b]) if m == mark])
-                    to = np.array([mark, 1])  # the background is the whole corpus
-                    at, n = np.unique(codes, return_counts=True)
-                    single[at] += n[:, None] * to
-                    begun += int((np.diff(starts) > 0).sum()) * to  # contexts of first characters
-                    key, n = np.unique(keys.ravel(), return_counts=True)
-                    fresh.append((key, n[:, None] * to))
-                    size += len(key)
-                if size > HELD_GRAMS:
-                    held = _summed(*map(np.concatenate, zip(held, *fresh)))
-                    fresh, size = [], 0
-                    if len(held[0]) > HELD_GRAMS:
-                        yield from rows(True, *held)
-                        held = held[0][:0], held[1][:0]
-        single[START] += begun
-        fresh.append((START_KEYS, np.tile(begun, (len(START_KEYS), 1))))
-        yield from rows(True, *_summed(*map(np.concatenate, zip(held, *fresh))))
-        at = np.flatnonzero(single[:, 1])
-        yield from rows(False, at, single[at])
-
-    made = docs.mapInArrow(work, "several boolean, key long, target long, background long")
-    return made.groupBy("several", "key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def _new_folder(spark: SparkSession) -> str:
-    """A folder that isn't there yet, in the cluster's shared checkpoint folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
-    top = top if ":" in top else f"file://{top}"
-    return f"{top.replace('file:///', 'file:/').replace('file:/', 'file:///')}/lm-{uuid.uuid4().hex}"
-
-
-def train(docs: DataFrame, target_ids: DataFrame) -> Models:
-    """Models of all characters of all texts; the target is the documents in ``target_ids`` (doc_id).
-
-    Nothing is sampled and no n-grams share a count. Tasks send their distinct n-grams, Spark
-    adds them up, and executors write them to the shared folder in shards of about
-    SHARD_GRAMS; the driver gets one row a code point and the number of n-grams. Counts of
-    the target are scaled to the background's total, so that both models trust their counts alike.
+            place = np.column_stack([batch.column(c).to_numpy() for c in ("part", "slice")])
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+                if at != tuple(place[x].tolist()):
+                    yield from sent(at, held, begun)
+                    at, size = tuple(place[x].tolist()), 0
+                run = batch.slice(x, y - x)
+                marks = run.column("target").to_numpy()
+                for a, b in slices(run.column("text"), LOOK_CHARS):
+                    given = run.column("text").slice(a, b - a).to_pylist()
+                    for mark in (0, 1):
+                        keys, starts = _grams([t for t, m in zip(given, marks[a:b]) if m == mark])
+                        to = np.array([mark, 1])  # the background is the whole corpus
+                        begun += int((np.diff(starts) > 0).sum()) * to  # contexts of first characters
+                        for single, some in ((True, keys[0]), (False, keys[1:].ravel())):
+                            key, n = np.unique(some, return_counts=True)
+                            held[single].append((key, n[:, None] * to))
+                            size += len(key)
+                    if size > HELD_GRAMS:
+                        for parts in held.values():
+                            parts[:] = [_summed(*map(np.concatenate, zip(*parts)))]
+                        size = sum(len(parts[0][0]) for parts in held.values())
+                        if size > HELD_GRAMS // 2:
+                            yield from sent(at, held, begun)
+                            size = 0
+        yield from sent(at, held, begun)
+
+    return texts.select("part", "slice", "text", "target").mapInArrow(work, "part int, slice long, single boolean, key long, target long, background long")
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, score, n_tokens, target_loss and background_loss of each whole text.
+
+    The target model counts the documents in ``target_ids`` (doc_id), the background model
+    all, brought down to the target's size so that both trust their counts alike. Each text
+    is scored under counts without its own, so that the score of a target document doesn't
+    say that the model has seen it. Losses are means over a text's characters, in nats; score
+    is background_loss - target_loss: above 0 where the target model fits better.
+
+    Nothing is sampled and no n-grams share a count. Texts are written once to the shared
+    folder in slices; a slice sends its distinct n-grams, with their counts, to where Spark
+    adds up each n-gram over all slices, and gets back what the corpus has of them. So no
+    task ever reads more of the corpus' counts than its own texts ask for.
+
+    Null and empty texts have no tokens and score 0. Rows of null doc_id are background.
+    Repeated rows each return a row and are each other's evidence. Without target rows
+    target_loss is that of a uniform model. An empty table gives no rows; other columns never
+    count.
     """
-    ids = target_ids.select(F.col("doc_id").alias("__t")).distinct()
-    # the ids have no bound, so they are never broadcast: the same plan at every size
-    flagged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids.hint("merge"), F.col("doc_id") == F.col("__t"), "left")
-    folder = _new_folder(docs.sparkSession)
-    _count(flagged.select("text", F.col("__t").isNotNull().cast("int").alias("is_target")), "is_target").write.parquet(f"{folder}/all")
-    counts = docs.sparkSession.read.parquet(f"{folder}/all")
-    rows = counts.where("NOT several").select(F.col("key").cast("int"), "target", "background").toArrow()
-    single = np.zeros((2, CODE_POINTS))
-    for m, c in enumerate(("target", "background")):
-        single[m, rows.column("key").to_numpy()] = rows.column(c).to_numpy()
-    grams = counts.where("several")
-    shards = max(1, -(-grams.count() // SHARD_GRAMS))
-    shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(shards), 32).cast("int")
-    grams.select("key", "target", "background", shard.alias("shard")).repartition(shards, "shard").write.partitionBy("shard").parquet(f"{folder}/shards")
-    of = single[:, :START].sum(axis=1).tolist()
-    return Models(f"{folder}/shards", shards, single, tuple(of), max(int((single[1, :START] > 0).sum()), 1), of[1] / of[0] if of[0] else 1.0)
-
-
-def score(docs: DataFrame, models: Models, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, n_tokens, target_loss, background_loss and score of each whole text.
-
-    Losses are means over a text's characters, in nats; score is background_loss -
-    target_loss: above 0 where the target model fits better. Null and empty texts have no
-    tokens and score 0. Without target rows target_loss is that of a uniform model. Repeated
-    rows each return a row; an empty table gives none; other columns never count.
-
-    A task looks its n-grams up shard by shard, so that it holds one of them whatever the
-    corpus has.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    together = SCORE_CHARS if models.shards > 1 else LOOK_CHARS
-
-    def work(texts):
-        out = []
-        sizes = starts_of([len(t or "") for t in texts])
-        a = 0
-        while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + together, side="right")) - 1)
-            t, g, starts = shared.value.losses(texts[a:b])
-            n = np.diff(starts)
-            out.append([n, *(segment_sum(x, starts) / np.maximum(n, 1) for x in (t, g))])
-            a = b
-        n, t, g = (np.concatenate(x) for x in zip(*out))
-        return [pa.array(n.astype(np.int64)), pa.array(t), pa.array(g), pa.array(g - t)]
-
-    return map_texts(docs, work, "n_tokens long, target_loss double, background_loss double, score double", carry)
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores of all documents; the target is the documents that labels mark as of quality 1."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
-    return score(docs, train(docs, good))
+    ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__t")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    flagged = docs.select("doc_id", text.alias("text")).join(ids, F.col("doc_id") == F.col("__t"), "left")
+    folder = f"{shared_folder(docs.sparkSession)}/lm-{uuid.uuid4().hex}"
+    placed = flagged.select("doc_id", "text", F.col("__t").isNotNull().cast("int").alias("target"), F.spark_partition_id().alias("part"), _slice_of(F.length("text")).alias("slice"))
+    placed.sortWithinPartitions("slice").write.parquet(f"{folder}/texts")
+    texts = docs.sparkSession.read.schema(placed.schema).parquet(f"{folder}/texts")
+    same = Window.partitionBy("key")
+    counts = _counted(texts).select("part", "slice", "single", "key", *(F.sum(c).over(same).alias(c) for c in ("target", "background")))
+    counts.repartition("part").sortWithinPartitions("part", "slice").write.partitionBy("part").parquet(f"{folder}/counts")
+    singles = docs.sparkSession.read.schema("slice long, single boolean, key long, target long, background long, part int").parquet(f"{folder}/counts")
+    singles = singles.where("single").groupBy("key").agg(F.first("target").alias("t"), F.first("background").alias("b"))
+    t, b, v = singles.agg(F.sum("t"), F.sum("b"), F.count("*")).first()
+    return _scored(texts, Totals(t or 0, b or 0, max(v, 1)), f"{folder}/counts")
+
+
+def _scored(texts: DataFrame, totals: Totals, folder: str) -> DataFrame:
+    def work(batches) -> Iterator[pa.RecordBatch]:
+        answers = None
+        for batch in batches:
+            for a, b in slices(batch.column("text"), LOOK_CHARS):
+                piece = batch.slice(a, b - a)
+                place = np.column_stack([piece.column(c).to_numpy() for c in ("part", "slice")])
+                cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+                for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+                    run = piece.slice(x, y - x)
+                    given = run.column("text").to_pylist()
+                    n, losses = np.array([len(t) for t in given], dtype=np.int64), [np.zeros(len(given))] * 2
+                    if n.any():
+                        at = tuple(place[x].tolist())
+                        if answers is None or (answers.part, answers.slice) != at:
+                            answers = Answers(folder, *at)
+                        *each, starts = totals.losses(given, run.column("target").to_numpy(), answers)
+                        losses = [segment_sum(e, starts) / np.maximum(n, 1) for e in each]
+                    yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.array(losses[1] - losses[0]), pa.array(n), *map(pa.array, losses)], names=["doc_id", "score", "n_tokens", "target_loss", "background_loss"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(work, f"doc_id {kind}, score double, n_tokens long, target_loss double, background_loss double")

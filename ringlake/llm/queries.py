@@ -16,7 +16,8 @@ def op1_language_id(spark, sf_dir):
 
 
 def op2_lm_scoring(spark, sf_dir):
-    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
 def op3_chat_format(spark, sf_dir):

@@ -120,24 +120,44 @@ def losses_by_hand(texts, weights, text):
     return loss / max(len(text), 1)
 
 
+def target_of(labels_of, ids):
+    return labels_of([(i, 1, 0) for i in ids]).select("doc_id")
+
+
+def without_own(texts, good, i):
+    """(target loss, background loss) of text i by hand, under counts without its own, both of the target's size."""
+    scale = sum(len(texts[j]) for j in good) / sum(map(len, texts))
+    return losses_by_hand(texts, [j in good and j != i for j in range(len(texts))], texts[i]), losses_by_hand(texts, [(j != i) * scale for j in range(len(texts))], texts[i])
+
+
 def test_losses_against_a_loop(docs_of, labels_of):
     rng = random.Random(6)
     texts = ["".join(rng.choice("abé \n") for _ in range(rng.randint(1, 60))) for _ in range(25)] + ["", "zzz", "a"]
     rows = [(i, t or None) for i, t in enumerate(texts)]
     good = [i for i in range(len(texts)) if i % 3 == 0]
-    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs_of(rows), labels_of([(i, int(i in good), 0) for i in range(20)] + [(i, 1, None) for i in good if i >= 20])).collect()}
-    size = [sum(len(t) for i, t in enumerate(texts) if i in good), sum(map(len, texts))]
+    found = lm_scoring.cross_entropy_difference(docs_of(rows), target_of(labels_of, [*good, *good, None, 999]))
+    assert found.columns[:2] == ["doc_id", "score"]
+    got = {r.doc_id: r for r in found.collect()}
     for i, t in enumerate(texts):
-        want = losses_by_hand(texts, [(i in good) * size[1] / size[0] for i in range(len(texts))], t), losses_by_hand(texts, [1] * len(texts), t)
-        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(want, abs=2e-3)
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(without_own(texts, good, i), abs=1e-9)
         assert got[i].n_tokens == len(t) and got[i].score == pytest.approx(got[i].background_loss - got[i].target_loss)
 
 
+def test_score_does_not_tell_which_documents_the_target_model_counted(docs_of, labels_of):
+    """Half of the good documents are in the target; they score like the other half, and both above the rest."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, "xx" if i % 2 else "yy", 60)) for i in range(160)]
+    target = [i for i, _ in rows if i % 4 == 1]
+    got = {r.doc_id: r.score for r in lm_scoring.cross_entropy_difference(docs_of(rows), target_of(labels_of, target)).collect()}
+    mean = lambda k: np.mean([got[i] for i in got if i % 4 == k])
+    assert abs(mean(1) - mean(3)) < 0.02 and min(mean(1), mean(3)) > mean(0) + 0.2
+
+
 def test_lm_edge_cases(docs_of, labels_of):
     rows = [(1, None), (2, ""), (3, "ab"), (3, "ab"), (None, "ab"), (4, "xy" * 300_000)]
-    got = lm_scoring.cross_entropy_difference(docs_of(rows), labels_of([])).collect()
+    got = lm_scoring.cross_entropy_difference(docs_of(rows), target_of(labels_of, [])).collect()
     assert len(got) == 6 and all(r.score == 0 for r in got if r.doc_id in (1, 2)) and all(math.isfinite(r.score) for r in got)
-    assert lm_scoring.cross_entropy_difference(docs_of([]), labels_of([])).count() == 0
+    assert lm_scoring.cross_entropy_difference(docs_of([]), target_of(labels_of, [])).count() == 0
 
 
 # toxicity

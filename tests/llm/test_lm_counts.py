@@ -5,24 +5,34 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_language_and_models import losses_by_hand
+from test_language_and_models import target_of, without_own
 
 from ringlake.llm import lm_scoring
 
 
-@pytest.mark.parametrize("shard_grams", [10**9, 100_000])
-def test_losses_where_cells_would_be_shared(docs_of, labels_of, monkeypatch, shard_grams):
-    """About 90,000 distinct 5-grams, some of which would share one of 2^20 cells."""
-    monkeypatch.setattr(lm_scoring, "SHARD_GRAMS", shard_grams)
+@pytest.mark.parametrize("part_grams,held", [(10**9, 10**9), (50_000, 10**9), (10**9, 20_000)])
+def test_losses_of_many_distinct_grams(docs_of, labels_of, monkeypatch, part_grams, held):
+    """About 90,000 distinct 5-grams, in one part or several, sent at once or bit by bit."""
+    monkeypatch.setattr(lm_scoring, "PART_GRAMS", part_grams)
+    monkeypatch.setattr(lm_scoring, "HELD_GRAMS", held)
     rng = random.Random(11)
     texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäé😀 ", k=3000)) for _ in range(30)]
-    good = set(range(0, 30, 4))
-    found = lm_scoring.cross_entropy_difference(docs_of(list(enumerate(texts))), labels_of([(i, 1, 0) for i in good]))
+    good = list(range(0, 30, 4))
+    found = lm_scoring.cross_entropy_difference(docs_of(list(enumerate(texts))), target_of(labels_of, good))
     got = {r.doc_id: r for r in found.collect()}
-    size = [sum(len(texts[i]) for i in good), sum(map(len, texts))]
-    for i in (0,):
-        want = losses_by_hand(texts, [(j in good) * size[1] / size[0] for j in range(30)], texts[i]), losses_by_hand(texts, [1] * 30, texts[i])
-        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(want, abs=1e-6)
+    for i in (0, 1):
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(without_own(texts, good, i), abs=1e-6)
+
+
+def test_slices_of_long_and_short_texts(docs_of, labels_of, monkeypatch):
+    """Slices by length, so small that each row of a partition is in one of several."""
+    monkeypatch.setattr(lm_scoring, "SLICE_SIZES", ((10, 3), (40, 2)))
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abc ", k=rng.choice([1, 9, 30, 90]))) for _ in range(40)]
+    good = list(range(0, 40, 3))
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs_of(list(enumerate(texts))).repartition(3), target_of(labels_of, good)).collect()}
+    for i in range(40):
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(without_own(texts, good, i), abs=1e-9)
 
 
 def test_lookup_finds_each_key_and_no_other():
@@ -36,7 +46,7 @@ def test_lookup_finds_each_key_and_no_other():
 def test_keys_of_different_grams_differ():
     rng = random.Random(4)
     text = "".join(rng.choices("abcdefghijklmnop", k=60_000))
-    _, keys, _ = lm_scoring._grams([text])
+    keys, _ = lm_scoring._grams([text])
     pad = "\0" * 4 + text
-    for k in range(2, lm_scoring.ORDER + 1):
-        assert len(np.unique(keys[k - 2])) == len(Counter(pad[i + 5 - k : i + 5] for i in range(len(text))))
+    for k in range(1, lm_scoring.ORDER + 1):
+        assert len(np.unique(keys[k - 1])) == len(Counter(pad[i + 5 - k : i + 5] for i in range(len(text))))
