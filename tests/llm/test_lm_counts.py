@@ -24,8 +24,10 @@ def test_losses_of_many_distinct_grams(docs_of, labels_of, monkeypatch, part_gra
         assert (got[i].target_loss, got[i].background_loss) == pytest.approx(without_own(texts, good, i), abs=1e-6)
 
 
-def test_slices_of_long_and_short_texts(docs_of, labels_of, monkeypatch):
-    """Slices by length, so small that each row of a partition is in one of several."""
+@pytest.mark.parametrize("most_ids", [100, 0])
+def test_slices_of_long_and_short_texts(docs_of, labels_of, monkeypatch, most_ids):
+    """Slices by length, so small that each row of a partition is in one of several; ids broadcast or not."""
+    monkeypatch.setattr(lm_scoring, "BROADCAST_IDS", most_ids)
     monkeypatch.setattr(lm_scoring, "SLICE_SIZES", ((10, 3), (40, 2)))
     rng = random.Random(12)
     texts = ["".join(rng.choices("abc ", k=rng.choice([1, 9, 30, 90]))) for _ in range(40)]
