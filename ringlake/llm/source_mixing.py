@@ -82,10 +82,10 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mos
     is the source's words up to its end divided by the source's target. Copies of all
     sources, ordered by finish time, are taken until their words reach the total.
 
-    The running sums are two-level: hashed keys of a source fall into about sqrt(n) ranges,
-    sums of ranges are added up first and each range then adds its own rows, so that a
-    source of any share spreads over many tasks. Results don't depend on the number of
-    ranges or partitions.
+    The running sums are two-level: rows are sorted by range over (source, key, id, size) and
+    their place in the table, so that neither a source nor an id of any share, nor equal rows,
+    meet in one task; sums of ranges are added up first and each range then adds its own
+    rows. Results don't depend on the number of ranges or partitions.
 
     Null texts have size 0. The null source is a source and comes last. Documents of size 0
     take nothing. Rows with equal or null ids are ordered by size too; equal rows are
@@ -98,21 +98,19 @@ def _mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, mo
     """`mix` with a column ``row`` if one is given; rows of equal id and size come in its order."""
     more = [] if row is None else ["row"]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = checkpoint(docs.select("doc_id", "source", size.alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key"), *([] if row is None else [row.alias("row")])))
+    sized = checkpoint(docs.select("doc_id", "source", size.alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key"), F.monotonically_increasing_id().alias("place"), *([] if row is None else [row.alias("row")])))
     sources = checkpoint(source_targets(sized, weights, most))
-    stats = sources.agg(F.max("n"), F.sum("source_size")).first()
-    largest, total = stats[0] or 0, stats[1] or 0
-    bits = max(0, (int(largest).bit_length() + 1) // 2)
-    ranged = sized.withColumn("part", F.shiftright("key", KEY_BITS - bits))
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    order = ["key", "id", "size", *more, "place"]
+    ranged = checkpoint(sized.withColumn("id", F.coalesce("doc_id", F.lit(LEAST_ID))).repartitionByRange("source", *order).withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("source", "part").agg(F.sum("size").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select(F.col("source").alias("o_source"), F.col("part").alias("o_part"), before.alias("before"))
     placed = sources.select(F.col("source").alias("s_source"), "rank", "source_size", "target")
     offsets = offsets.join(placed, F.col("o_source").eqNullSafe(F.col("s_source"))).drop("s_source")
-    inside = Window.partitionBy("o_source", "part").orderBy("key", "id", "size", *more).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("part", "rank").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     queue = checkpoint(
-        ranged.withColumn("id", F.coalesce("doc_id", F.lit(LEAST_ID)))
-        .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("part") == F.col("o_part")))
+        ranged.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("part") == F.col("o_part")))
         .withColumn("end", F.col("before") + F.sum("size").over(inside))
     )
 
@@ -136,13 +134,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken; all columns.
 
     The key is the whole row (doc_id and a hash of all columns), so each row takes its own
-    copies where ids are null or repeated; of equal rows one stands for all their copies.
+    copies where ids are null or repeated; of equal rows one stands for all their copies. The
+    mix has a key for each copy, so that copies of one row spread over tasks where they are
+    many. Null texts take no copies; an empty table gives no rows.
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    copies = _mix(docs, **options, row=row).where("copies > 0").groupBy(F.struct("doc_id", "row").alias("id")).agg(F.sum("copies").alias("n"))
+    copies = _mix(docs, **options, row=row).where("copies > 0").select(F.struct("doc_id", "row").alias("id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     rows = docs.select(F.struct("doc_id", row.alias("row")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    joined = rows.groupBy("key").agg(F.first("r").alias("r")).join(copies.hint("merge"), F.col("key").eqNullSafe(F.col("id")))
-    return joined.select("r", F.explode(F.sequence(F.lit(1), F.col("n")))).select("r.*")
+    joined = copies.join(rows.groupBy("key").agg(F.first("r").alias("r")).hint("merge"), F.col("key").eqNullSafe(F.col("id")))
+    return joined.select("r.*")
 
 
 ORACLE = f"""

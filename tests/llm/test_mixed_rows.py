@@ -20,3 +20,12 @@ def test_mixed_documents_of_null_and_repeated_ids(docs_of):
     for (i, _, n), c in mixed.items():
         got[i, n] += c
     assert +per_size == got and sum(n * c for (_, n), c in got.items()) == taken <= sum(len(t.split()) for _, t, *_ in rows)
+
+
+def test_one_id_on_half_of_all_rows(docs_of):
+    """Half the rows share an id, a third are equal: the stage has the words that the mix took, within its total."""
+    rows = [(7 if i % 2 else i, "one two three" if i % 3 else f"w{i} x", None, "ab"[i % 5 == 0]) for i in range(600)]
+    docs = docs_of(rows)
+    taken = sum(r.taken for r in source_mixing.mix(docs).collect())
+    stage = sum(len(r.text.split()) for r in source_mixing.mixed_documents(docs).collect())
+    assert stage == taken and 0 <= sum(len(t.split()) for _, t, *_ in rows) - taken < 3
