@@ -6,18 +6,17 @@ from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ringlake.llm.common import SLICE_CHARS, checkpoint, hashed_bits, hex16, map_texts, packed_bits, segment_sum, starts_of
 from ringlake.llm.hamming import close_pairs
 
-LEAST_ID = -(2**63)
 CACHE = 500_000
-ROWS_PER_RANGE = 5000
 #: A call takes fewer than 2^TEXT_BITS texts; the other bits of a sort key are the term's.
 TEXT_BITS = np.uint64(18)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
@@ -49,6 +48,8 @@ class Fingerprinter:
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def __call__(self, texts: Sequence[str | None]) -> np.ndarray:
+        if len(texts) >= 1 << int(TEXT_BITS):
+            raise ValueError(f"fewer than {1 << int(TEXT_BITS)} texts a call")
         lists = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
         starts = starts_of([len(x) for x in lists])
         h = self.word_hashes([w for x in lists for w in x])
@@ -83,7 +84,8 @@ def fingerprint(docs: DataFrame, carry=("doc_id",)) -> DataFrame:
 
     def work(texts):
         make or make.append(Fingerprinter())
-        return [pa.array(make[0](texts).view(np.int64))]
+        most = (1 << int(TEXT_BITS)) - 1
+        return [pa.array(np.concatenate([make[0](texts[a : a + most]) for a in range(0, len(texts), most)]).view(np.int64))]
 
     return map_texts(docs, work, "fp long", carry)
 
@@ -112,67 +114,50 @@ def within(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks:
     return pairs.join(sizes, "found_fp").groupBy("fp").agg(F.sum("n").alias("n_within"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, guest, key, doc_id, text) in partitions of consecutive ids, each with the row that follows it.
-
-    Ids are cut into ranges of about ROWS_PER_RANGE rows by quantiles. A range's rows go to
-    one partition, and the document that follows a range's last one goes there too, as a
-    guest: the largest id of the next range down that has any, or the largest of all after
-    the last. So texts are shuffled once, and only one more per range. Null ids come last.
+#: What `compare_edits` finds out about a document, and what waits at the borders of partitions.
+FOUND = "doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, near_edited double, near_next double"
+DONE, HEAD, TAIL = 0, 1, 2
+
+
+def _compared(make: Fingerprinter, rows: Sequence[tuple[int | None, str, str]]) -> list[pa.Array]:
+    """The columns of FOUND of (doc_id, text, next text)."""
+    ids, texts, following = zip(*rows)
+    edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, following)]
+    own, changed = make(texts), make(edited)
+    # the next document is mostly the next row
+    at = [i + 1 if i + 1 < len(texts) and texts[i + 1] is n else None for i, n in enumerate(following)]
+    others = make([n for n, i in zip(following, at) if i is None])
+    beside = np.empty(len(rows), dtype=np.uint64)
+    new = np.array([i is None for i in at])
+    beside[new] = others
+    beside[~new] = own[[i for i in at if i is not None]]
+    alike = [1 - np.bitwise_count(own ^ x).astype(np.float64) / 64 for x in (changed, beside)]
+    digests = [sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited]
+    return [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests), pa.array(own.view(np.int64)), pa.array(changed.view(np.int64)), *map(pa.array, alike)]
+
+
+def _pieces(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (doc_id, text, ...) in lists of bounded size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1])
+        if size > SLICE_CHARS // 2 or len(held) >= 4096:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in partitions of consecutive documents: descending doc_id, null last, then by a hash of the text.
+
+    Spark cuts the ranges by a sample of keys. The last part of the order is the row's place,
+    so that rows of one id, and equal rows too, spread over as many partitions as they need.
     """
-    spark = docs.sparkSession
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("key"), "doc_id", F.col("text").cast("string").alias("text"))
-    rows = keyed.count()
-    parts = max(1, -(-rows // ROWS_PER_RANGE))
-    cuts = np.unique(np.array(keyed.approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 and rows else [], dtype=np.float64))
-
-    def place(key: np.ndarray) -> np.ndarray:
-        return np.searchsorted(cuts, key.astype(np.float64), side="right")
-
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(place(key.to_numpy(np.int64)), dtype="int32")
-
-    heads = {r["b"]: r["k"] for r in keyed.select("key").groupBy(range_of("key").alias("b")).agg(F.max("key").alias("k")).collect()}
-    order = sorted(heads)
-    # the range below each range, and the top one below the lowest
-    follows = {b: heads[order[i - 1]] for i, b in enumerate(order)}
-    visits: dict[int, list[int]] = {}
-    for b, k in follows.items():
-        visits.setdefault(k, []).append(b)
-    shared = spark.sparkContext.broadcast(visits)
-
-    def route(batches):
-        for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            own = place(key)
-            extra = [(i, b) for i, k in enumerate(key.tolist()) if k in shared.value for b in shared.value[k]]
-            take = pa.array([*range(len(key)), *(i for i, _ in extra)], pa.int64())
-            bucket = pa.array([*own.tolist(), *(b for _, b in extra)], pa.int32())
-            guest = pa.array([False] * len(key) + [True] * len(extra))
-            yield pa.RecordBatch.from_arrays([bucket, guest, *(batch.column(c).take(take) for c in ("key", "doc_id", "text"))], names=["bucket", "guest", "key", "doc_id", "text"])
-
-    routed = keyed.mapInArrow(route, "bucket int, guest boolean, key long, doc_id long, text string")
-    placed = routed.repartitionById(len(cuts) + 1, F.col("bucket"))
-    return placed.sortWithinPartitions("bucket", "guest", F.desc("key"), "text")
-
-
-def _pairs(batches) -> Iterator[tuple[int | None, str, str]]:
-    """(doc_id, text, next text) from rows in the order of `with_next`; one row is held."""
-    held, over = None, False
-    for batch in batches:
-        for bucket, guest, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text"))):
-            text = text or ""
-            if held is not None and held[0] == bucket and not over:
-                yield held[1], held[2], text
-            elif held is not None and held[0] != bucket and not over:
-                yield held[1], held[2], held[2]
-            if held is not None and held[0] == bucket and over:
-                continue
-            over = guest
-            held = bucket, doc_id, text
-    if held is not None and not over:
-        yield held[1], held[2], held[2]
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns({"__h": F.xxhash64("text"), "__place": F.monotonically_increasing_id()})
+    order = [F.desc_nulls_last("doc_id"), F.col("__h"), F.col("__place")]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -182,44 +167,57 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     the next document in descending doc_id; after the last comes the first; a single
     document follows itself. near_edited and near_next are the share of equal bits with the
     edited text's fingerprint and the next document's. Null texts count as empty. Rows of
-    equal doc_id come in order of their texts, rows of null doc_id after all others; each
-    returns a row. An empty table gives none. Other columns are ignored.
+    equal doc_id come in order of a hash of their texts, rows of null doc_id after all others;
+    each returns a row. An empty table gives none. Other columns are ignored.
+
+    Texts are shuffled once, by range. A partition compares its rows with their next ones; its
+    first and last text go to a table of borders, two rows a partition, which is joined to
+    itself by the number of the next partition that has rows.
     """
 
     def compare(batches):
+        make, part = Fingerprinter(), TaskContext.get().partitionId()
+        ends: list[tuple] = []
+
+        def rows():
+            held = None
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    text = text or ""
+                    if held is None:
+                        ends.append((HEAD, doc_id, text))
+                    else:
+                        yield *held, text
+                    held = doc_id, text
+            if held is not None:
+                ends.append((TAIL, *held))
+
+        def batch_of(kinds, columns, texts):
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([part] * len(kinds), pa.int32()), pa.array(texts, pa.string()), *columns], names=["kind", "part", "text", *names])
+
+        for piece in _pieces(rows()):
+            yield batch_of([DONE] * len(piece), _compared(make, piece), [None] * len(piece))
+        if ends:
+            nothing = [pa.nulls(len(ends), t) for t in kinds_of[1:]]
+            yield batch_of([e[0] for e in ends], [pa.array([e[1] for e in ends], pa.int64()), *nothing], [e[2] for e in ends])
+
+    def compare_borders(batches):
         make = Fingerprinter()
-        rows: list[tuple[int | None, str, str]] = []
-
-        def done():
-            ids, texts, following = zip(*rows)
-            edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, following)]
-            own, changed = make(texts), make(edited)
-            # the next document is mostly the next row
-            at = [i + 1 if i + 1 < len(texts) and texts[i + 1] is n else None for i, n in enumerate(following)]
-            others = make([n for n, i in zip(following, at) if i is None])
-            beside = np.empty(len(rows), dtype=np.uint64)
-            new = np.array([i is None for i in at])
-            beside[new] = others
-            beside[~new] = own[[i for i in at if i is not None]]
-            alike = [1 - np.bitwise_count(own ^ x).astype(np.float64) / 64 for x in (changed, beside)]
-            digests = [sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests), pa.array(own.view(np.int64)), pa.array(changed.view(np.int64)), *map(pa.array, alike)],
-                names=["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"],
-            )
-
-        size = 0
-        for row in _pairs(batches):
-            rows.append(row)
-            size += len(row[1])
-            if size > SLICE_CHARS // 2 or len(rows) >= 4096:
-                yield done()
-                rows.clear()
-                size = 0
-        if rows:
-            yield done()
-
-    return with_next(docs).mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, near_edited double, near_next double")
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next"))))
+        for piece in _pieces(rows):
+            yield pa.RecordBatch.from_arrays(_compared(make, piece), names=names)
+
+    schema = StructType.fromDDL(FOUND)
+    names, kinds_of = schema.names, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    found = checkpoint(in_order(docs).mapInArrow(compare, f"kind int, part int, text string, {FOUND}"))
+    heads = found.where(F.col("kind") == HEAD).select(F.col("part").alias("head_part"), F.col("text").alias("next"))
+    tails = found.where(F.col("kind") == TAIL).select("doc_id", "text", "part")
+    # numbers of partitions only: a small row for each
+    parts = heads.select(F.col("head_part").alias("p"))
+    everywhere = Window.partitionBy(F.lit(0))
+    follows = parts.select("p", F.coalesce(F.lead("p").over(everywhere.orderBy("p")), F.min("p").over(everywhere)).alias("head_part"))
+    borders = tails.join(follows, F.col("part") == F.col("p")).join(heads, "head_part").select("doc_id", "text", "next")
+    return found.where(F.col("kind") == DONE).select(*names).union(borders.mapInArrow(compare_borders, FOUND))
 
 
 def fingerprint_report(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:

@@ -1,6 +1,8 @@
 """SimHash, block tables, components and fingerprints against brute force."""
 
+import math
 import random
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -103,9 +105,19 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
 # document fingerprints
 
 
-@pytest.mark.parametrize("per_range", [7, 5000])
-def test_edited_texts_against_a_loop(docs_of, monkeypatch, per_range):
-    monkeypatch.setattr(doc_fingerprints, "ROWS_PER_RANGE", per_range)
+@pytest.fixture
+def ranges(spark, request):
+    """So many ranges, which Spark may not join."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param == 1)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 23], indirect=True)
+def test_edited_texts_against_a_loop(docs_of, ranges):
     rng = random.Random(9)
     rows = [(i * i - 500, "".join(rng.choice("ab é😀\n") for _ in range(rng.choice([0, 1, 2, 3, 50, 900])))) for i in range(80)]
     rows += [(10**15, "Last one in order, the first of all."), (77, None)]
@@ -140,4 +152,37 @@ def test_fingerprint_edge_cases(docs_of):
     one = doc_fingerprints.fingerprint_report(docs_of([(50, "abcdef")])).collect()[0]
     assert one.edited_sha256 == sha256(b"abcdab").hexdigest() and one.near_next == 1.0 and one.n_within == 1
     rows = doc_fingerprints.fingerprint_report(docs_of([(None, "zzz"), (1, "bbbbbb"), (1, "aaaaaa"), (1, "aaaaaa")])).collect()
-    assert sorted((str(r.doc_id), r.edited_sha256) for r in rows) == sorted((i, sha256(t).hexdigest()) for i, t in [("1", b"aaaaaa"), ("1", b"aaaabb"), ("1", b"bbbbzz"), ("None", b"zza")])
+    by_hash = [("1", b"aaaaaa"), ("1", b"aaaabb"), ("1", b"bbbbzz"), ("None", b"zza")], [("1", b"bbbbaa"), ("1", b"aaaaaa"), ("1", b"aaaazz"), ("None", b"zzb")]
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in rows) in [sorted((i, sha256(t).hexdigest()) for i, t in x) for x in by_hash]
+
+
+@pytest.mark.parametrize("ranges", [16], indirect=True)
+def test_rows_of_one_id_spread_over_ranges(docs_of, ranges):
+    docs = docs_of([(7 if i % 4 else i, "one two three four" if i % 2 else f"text {i}") for i in range(4000)])
+    sizes = [len(x) for x in doc_fingerprints.in_order(docs).rdd.glom().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1000
+    assert doc_fingerprints.compare_edits(docs).count() == 4000
+
+
+def simhash_of_pairs(text):
+    """Weighted SimHash by hand: votes of neighbouring words, 1 + ln n each, under the operator's own term hashes."""
+    w = text.encode().lower().split()
+    h = [xxhash.xxh64_intdigest(x, 0) for x in w]
+    m, cut = 2**64 - 1, int(doc_fingerprints.TEXT_BITS)
+
+    def mixed(x):
+        x = x * 0x9E3779B97F4A7C15 & m
+        x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & m
+        return x ^ x >> 29
+
+    terms = Counter(mixed(a ^ (b * 0xBF58476D1CE4E5B9 & m)) >> cut for a, b in (zip(h, h[1:]) if len(h) > 1 else [(x, 0) for x in h]))
+    votes = [sum((1 + math.log(n)) * (1 if mixed(t << cut & m) >> b & 1 else -1) for t, n in terms.items()) for b in range(64)]
+    return sum(1 << b for b in range(64) if votes[b] > 1e-6)
+
+
+def test_weighted_simhash_against_a_loop():
+    rng = random.Random(2)
+    texts = ["a", "a b", "a b a b a b a b", *(" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 20, 300]))) for _ in range(30))]
+    assert doc_fingerprints.Fingerprinter()(texts).tolist() == [simhash_of_pairs(t) for t in texts]
+    with pytest.raises(ValueError):
+        doc_fingerprints.Fingerprinter()([None] * (1 << 18))
