@@ -22,9 +22,9 @@ def mean_background(pixels: DataFrame, method: str = "mean") -> DataFrame:
     return pixels.groupBy("r", "c").agg(strict(F.avg("v") if method == "mean" else F.median("v")).alias("bg"))
 
 
-def filtered_background(pixels: DataFrame, chunk: int = 64, sigma: float = 8.0, beam: float = 5000) -> DataFrame:
+def filtered_background(pixels: DataFrame, chunk: int = 64, sigma: float = 8.0, beam: float = 5000, shape: tuple[int, int] | None = None) -> DataFrame:
     """(r, c, bg): frames cleaned chunk by chunk, then the per-pixel mean of what is left; gaps get the mean of all."""
-    cleaned = mad_chunk_filter(pixels, chunk, sigma, beam)
+    cleaned = mad_chunk_filter(pixels, chunk, sigma, beam, shape)
     return fill_missing(cleaned.groupBy("r", "c").agg(F.avg("v").alias("bg")))
 
 

@@ -11,6 +11,7 @@ from ringlake.functions.geometry import distance, in_ring
 
 # Ring and bounds of the fit.
 FIT_RING = (80, 400)
+CENTRE_RING = (40, 200)
 SCALE_BOUNDS = (0.2, 5.0)
 CENTRE_BOUND = 30
 OFFSET_BOUND = 20
@@ -86,3 +87,12 @@ def gaussian_centres(pixels: DataFrame, start: Start, height: int, width: int, i
         return pd.DataFrame([row])
 
     return ring.select("frame_id", "r", "c", "v").groupBy("frame_id").applyInPandas(fit, SCHEMA)
+
+
+def fitted_centres(pixels: DataFrame, start: Start, height: int, width: int, inner: float = CENTRE_RING[0], outer: float = CENTRE_RING[1]) -> DataFrame:
+    """(frame_id, center_x, center_y, total_count) of the frames whose fit succeeded, as radial profiles take them.
+
+    total_count is the sum of the ring around the start, not around the fitted centre.
+    """
+    found = gaussian_centres(pixels, start, height, width, inner, outer).where("success")
+    return found.select("frame_id", F.col("x0").alias("center_x"), F.col("y0").alias("center_y"), F.col("total_intensity").alias("total_count"))

@@ -9,6 +9,8 @@ and windows and aggregates over (frame_id, ...) then need no shuffle of pixels.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -23,11 +25,43 @@ def missing_as_null(frames: DataFrame) -> DataFrame:
     return frames.withColumn("pixels", F.transform("pixels", lambda v: F.nanvl(v.cast("double"), F.lit(None).cast("double"))))
 
 
-def to_pixels(frames: DataFrame) -> DataFrame:
-    """One row per pixel, in the partition of its frame."""
-    dealt = missing_as_null(frames).repartition("frame_id")
-    rows = dealt.select("frame_id", "xps_value", "width", F.posexplode("pixels").alias("p", "v"))
-    return rows.select("frame_id", "xps_value", F.floor(F.col("p") / F.col("width")).cast("int").alias("r"), (F.col("p") % F.col("width")).cast("int").alias("c"), "v")
+def shape_error(height: int, width: int) -> Column:
+    """Why a frame can't be processed, null where it can: no pixels, or not height x width of them."""
+    size = F.format_string(f"a frame of %d x %d pixels, not {height} x {width}", "height", "width")
+    count = F.format_string(f"%d pixels, not {height} x {width}", F.size("pixels"))
+    other = F.coalesce((F.col("height") != height) | (F.col("width") != width), F.lit(True))
+    return F.when(F.col("pixels").isNull(), "a frame without pixels").when(other, F.coalesce(size, F.lit("a frame without a shape"))).when(F.size("pixels") != height * width, count)
+
+
+def checked(frames: DataFrame, height: int, width: int) -> DataFrame:
+    """The frames with ``error``: their own if they have one, else that of their shape."""
+    own = F.col("error").cast("string") if "error" in frames.columns else F.lit(None).cast("string")
+    return frames.withColumn("error", F.coalesce(own, shape_error(height, width)))
+
+
+def require_pixels(frames: DataFrame) -> DataFrame:
+    """The frames, or an error at run time if one has no pixels."""
+    return frames.withColumn("pixels", F.coalesce("pixels", F.raise_error(F.lit("a frame has no pixels")).cast("array<double>")))
+
+
+def to_pixels(frames: DataFrame, deal: bool = True, beside: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """One row per pixel, in the partition of its frame; frames without pixels give none.
+
+    ``beside`` are arrays as long as pixels, of which each row gets its own element (null
+    arrays give null); ``carry`` are columns of the frame that its rows keep.
+
+    ``deal`` first spreads the frames by frame_id, which windows of a frame need; means over
+    frames don't.
+    """
+    dealt = missing_as_null(frames)
+    dealt = dealt.repartition("frame_id") if deal else dealt
+    place = [F.floor(F.col("p") / F.col("width")).cast("int").alias("r"), (F.col("p") % F.col("width")).cast("int").alias("c")]
+    if beside:
+        arrays = [F.coalesce(c, F.array_repeat(F.lit(None).cast("double"), F.size("pixels"))).alias(c) for c in beside]
+        rows = dealt.select("frame_id", "xps_value", "width", *carry, F.posexplode(F.arrays_zip(F.col("pixels").alias("v"), *arrays)).alias("p", "x"))
+        return rows.select("frame_id", "xps_value", *place, "x.v", *[f"x.{c}" for c in beside], *carry)
+    rows = dealt.select("frame_id", "xps_value", "width", *carry, F.posexplode("pixels").alias("p", "v"))
+    return rows.select("frame_id", "xps_value", *place, "v", *carry)
 
 
 def to_frames(pixels: DataFrame, height: int, width: int) -> DataFrame:
@@ -51,7 +85,8 @@ def strict(aggregate: Column, value: str = "v") -> Column:
 
 def subtract(pixels: DataFrame, background: DataFrame) -> DataFrame:
     """v minus the background (r, c, bg) of the same pixel; a frame-sized table is broadcast."""
-    return pixels.join(F.broadcast(background.select("r", "c", "bg")), ["r", "c"]).select("frame_id", "xps_value", "r", "c", (F.col("v") - F.col("bg")).alias("v"))
+    more = [c for c in pixels.columns if c not in ("frame_id", "xps_value", "r", "c", "v")]
+    return pixels.join(F.broadcast(background.select("r", "c", "bg")), ["r", "c"]).select("frame_id", "xps_value", "r", "c", (F.col("v") - F.col("bg")).alias("v"), *more)
 
 
 def shift(pixels: DataFrame, dx: Column | int, dy: Column | int, height: int, width: int) -> DataFrame:

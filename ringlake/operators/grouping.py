@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlake.functions.naming import base_name, scan_key, scan_value, suffix
+from ringlake.sources.scratch import checkpoint
 
 # A large group has more files than this; large groups chain within this gap.
 LARGE = 350
@@ -116,18 +117,36 @@ def nth_group(groups: DataFrame, k: int) -> DataFrame:
     return groups.withColumn("k", F.row_number().over(Window.orderBy(F.desc("n_files"), "xps_value")) - 1).where(F.col("k") == k).drop("k")
 
 
+def placed(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """The rows with ``__k``, their place (from 0) in their group by ``order``, and ``__size``, the rows of the group.
+
+    Rows are sorted by range over (group, order) and kept so; sizes of a group's ranges are
+    added up first and each range then numbers its own rows. So a group of any size is
+    numbered by as many tasks as hold it. Rows of equal order come in any order.
+    """
+    ranged = checkpoint(rows.repartitionByRange(group, order).withColumn("__part", F.spark_partition_id()))
+    by_part = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    parts = parts.select(F.col(group).alias("__group"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(by_part), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(group)).alias("__size"))
+    inside = F.row_number().over(Window.partitionBy("__part", group).orderBy(order)) - 1
+    known = ranged.withColumn("__k", inside).join(parts, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__group")))
+    return known.select(*[F.col(c) for c in rows.columns], (F.col("__before") + F.col("__k")).alias("__k"), "__size")
+
+
 def evenly_spaced(files: DataFrame, n: int, group: str = "xps_value", order: str = "path") -> DataFrame:
     """``n`` rows of each group, evenly spaced in order, first and last among them; all of a group that has fewer.
 
-    Places are the whole parts of i * step with step = (size - 1) / (n - 1), the last one exact.
+    Places are the whole parts of i * step with step = (size - 1) / (n - 1), the last one
+    exact; whether a row's place is one of them is seen by trying the two nearest i.
     """
     if n < 1:
         raise ValueError("n must be 1 or more")
-    by = Window.partitionBy(group)
-    ranked = files.withColumn("__k", F.row_number().over(by.orderBy(order)) - 1).withColumn("__size", F.count("*").over(by))
+    ranked = placed(files, group, order)
     step = (F.col("__size") - 1) / F.lit(float(max(n - 1, 1)))
-    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == n - 1, F.col("__size") - 1 if n > 1 else F.lit(0)).otherwise(F.floor(i * step)).cast("int"))
-    return ranked.where((F.col("__size") <= n) | F.array_contains(places, F.col("__k"))).drop("__k", "__size")
+    near = [F.floor(F.col("__k") / step) + j for j in (0, 1)]
+    hit = [(i <= n - 2) & (F.floor(i * step) == F.col("__k")) for i in near]
+    last = F.col("__k") == (F.col("__size") - 1 if n > 1 else F.lit(0))
+    return ranked.where((F.col("__size") <= n) | last | hit[0] | hit[1]).drop("__k", "__size")
 
 
 def hash_sample(files: DataFrame, n: int = 50, seed: int = 0, group: str = "xps_value", key: str = "path") -> DataFrame:
@@ -142,5 +161,4 @@ def first_rows(files: DataFrame, n: int, *order: str) -> DataFrame:
 
 def batches(files: DataFrame, size: int, group: str = "xps_value", order: str = "path") -> DataFrame:
     """Adds ``batch``: the number of the run of ``size`` rows of the group that a row falls into."""
-    w = Window.partitionBy(group).orderBy(order)
-    return files.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    return placed(files, group, order).withColumn("batch", F.floor(F.col("__k") / size).cast("int")).drop("__k", "__size")

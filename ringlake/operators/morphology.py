@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from math import exp
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,36 +32,72 @@ def dilated(flag: str) -> Column:
     return F.col(flag) | beside("r", "c") | beside("c", "r")
 
 
-def clusters(hits: DataFrame) -> DataFrame:
-    """(frame_id, r, c, cluster) of 4-connected hits; a cluster is named by its first pixel in row-major order, from 0.
+def labelled(frame: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first_r, first_c) of the 4-connected cluster of each hit; hits are in order of frame, row and column.
 
-    Clusters never span frames, so a task sees the hits of one frame at a time.
+    Hits side by side in a row are one run. A run takes the least number among itself and the
+    runs that it touches in the next row, and numbers are followed to their ends, until none
+    changes; many frames at once.
     """
+    line = np.concatenate([[0], np.cumsum((frame[1:] != frame[:-1]) | (r[1:] != r[:-1]))])
+    joined = (line[1:] == line[:-1]) & (c[1:] == c[:-1] + 1)
+    run = np.concatenate([[0], np.cumsum(~joined)])
+    heads = np.flatnonzero(np.concatenate([[True], ~joined]))
+    # hits right below one another: looked up by (frame, row, column) as one sorted number
+    number = np.concatenate([[0], np.cumsum(frame[1:] != frame[:-1])]) * (int(r.max()) + 2) + r
+    key = number * (int(c.max()) + 1) + c
+    at = np.minimum(np.searchsorted(key, key + int(c.max()) + 1), len(key) - 1)
+    below = key[at] == key + int(c.max()) + 1
+    pairs = np.unique(np.column_stack([run[below], run[at[below]]]), axis=0)
+    least = np.arange(len(heads))
+    while True:
+        before = least.copy()
+        low = np.minimum(least[pairs[:, 0]], least[pairs[:, 1]])
+        for side in (0, 1):
+            np.minimum.at(least, least[pairs[:, side]], low)
+            np.minimum.at(least, pairs[:, side], low)
+        least = least[least]
+        if (least == before).all():
+            break
+    first = heads[least[run]]
+    return r[first], c[first]
+
 
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = dict.fromkeys(sorted(zip(pdf["r"], pdf["c"])))
-        out = []
-        while left:
-            first = next(iter(left))
-            stack = [first]
-            del left[first]
-            while stack:
-                r, c = stack.pop()
-                out.append((r, c, *first))
-                for q in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
-                    if q in left:
-                        del left[q]
-                        stack.append(q)
-        done = pd.DataFrame(out, columns=["r", "c", "first_r", "first_c"])
-        done.insert(0, "frame_id", pdf["frame_id"].iloc[0])
-        return done
-
-    return hits.select("frame_id", "r", "c").groupBy("frame_id").applyInPandas(flood, "frame_id long, r int, c int, first_r int, first_c int")
-
-
-def cluster_sizes(labelled: DataFrame) -> DataFrame:
+def clusters(hits: DataFrame) -> DataFrame:
+    """(frame_id, r, c, first_r, first_c) of 4-connected hits; a cluster is named by its first pixel in row-major order.
+
+    Clusters never span frames: frames are dealt out, and a task labels those of an Arrow
+    batch together, the last one with the batch that ends it.
+    """
+    schema = "frame_id long, r int, c int, first_r int, first_c int"
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        frame, r, c = (table.column(x).to_numpy() for x in ("frame_id", "r", "c"))
+        first_r, first_c = labelled(frame, r.astype(np.int64), c.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(frame), pa.array(r), pa.array(c), pa.array(first_r.astype(np.int32)), pa.array(first_c.astype(np.int32))], names=["frame_id", "r", "c", "first_r", "first_c"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = batch.column("frame_id").to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))
+            if cut or (held and held[0].column("frame_id")[0].as_py() != ids[-1]):
+                held.append(batch.slice(0, cut))
+                yield done(pa.Table.from_batches([x for x in held if len(x)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    rows = hits.select(F.col("frame_id").cast("long").alias("frame_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    return rows.where("frame_id IS NOT NULL").repartition("frame_id").sortWithinPartitions("frame_id", "r", "c").mapInArrow(run, schema)
+
+
+def cluster_sizes(members: DataFrame) -> DataFrame:
     """(frame_id, first_r, first_c, size) of each cluster."""
-    return labelled.groupBy("frame_id", "first_r", "first_c").agg(F.count("*").alias("size"))
+    return members.groupBy("frame_id", "first_r", "first_c").agg(F.count("*").alias("size"))
 
 
 def size_histogram(sizes: DataFrame) -> DataFrame:

@@ -28,11 +28,20 @@ def chunks(chunk: int) -> tuple[Column, Column, Window]:
     return a, b, Window.partitionBy("frame_id", a, b)
 
 
-def mad_chunk_filter(pixels: DataFrame, chunk: int = 32, sigma: float = SIGMA, beam: float = CHUNK_BEAM) -> DataFrame:
+def _whole_chunks(chunk: int, shape: tuple[int, int] | None) -> None:
+    if chunk < 1:
+        raise ValueError("a chunk has one pixel at least")
+    if shape is not None:
+        require_divisible(*shape, chunk)
+
+
+def mad_chunk_filter(pixels: DataFrame, chunk: int = 32, sigma: float = SIGMA, beam: float = CHUNK_BEAM, shape: tuple[int, int] | None = None) -> DataFrame:
     """Median and unscaled MAD per chunk; where any pixel exceeds med + sigma mad, all above med + 0.75 sigma mad go.
 
     Chunks brighter than ``beam`` (in the median) and chunks with a missing pixel stay as they are.
+    ``shape`` (height, width), if given, must be whole chunks.
     """
+    _whole_chunks(chunk, shape)
     *_, w = chunks(chunk)
     whole = F.count("v").over(w) == F.count(F.lit(1)).over(w)
     first = pixels.withColumn("med", F.median("v").over(w)).withColumn("ok", whole)
@@ -43,11 +52,13 @@ def mad_chunk_filter(pixels: DataFrame, chunk: int = 32, sigma: float = SIGMA, b
     return third.withColumn("v", F.when(~F.coalesce(gone, F.lit(False)), F.col("v"))).drop("med", "mad", "ok", "hit")
 
 
-def sigma_chunk_filter(pixels: DataFrame, chunk: int = 64, sigma: float = CLIP_SIGMA, beam: float = CLIP_BEAM) -> DataFrame:
+def sigma_chunk_filter(pixels: DataFrame, chunk: int = 64, sigma: float = CLIP_SIGMA, beam: float = CLIP_BEAM, shape: tuple[int, int] | None = None) -> DataFrame:
     """Mean and population deviation per chunk; pixels above mean + sigma std go. Adds ``removed``; v keeps the value.
 
-    Chunks brighter than ``beam`` in the mean stay as they are.
+    Chunks brighter than ``beam`` in the mean stay as they are. ``shape`` (height, width), if
+    given, must be whole chunks.
     """
+    _whole_chunks(chunk, shape)
     *_, w = chunks(chunk)
     mean, std = F.avg("v").over(w), F.stddev_pop("v").over(w)
     gone = (mean <= beam) & (F.col("v") > mean + sigma * std)
@@ -60,7 +71,11 @@ def hysteresis_filter(pixels: DataFrame, statistics: DataFrame, sigma: float = S
     ``statistics`` is (xps_value, r, c, med, mad), one row per group and pixel; where it is
     null nothing is removed. Statistics of a single group may be broadcast by the caller.
     """
-    known = pixels.join(statistics, ["xps_value", "r", "c"], "left")
+    return reject_hits(pixels.join(statistics, ["xps_value", "r", "c"], "left"), sigma, ratio)
+
+
+def reject_hits(known: DataFrame, sigma: float = SIGMA, ratio: float = GROW_RATIO) -> DataFrame:
+    """`hysteresis_filter` of pixels that have their med and mad beside them: no join, no shuffle of pixels dealt out by frame."""
     high = known.withColumn("hit", F.coalesce(F.col("v") > F.col("med") + sigma * F.col("mad"), F.lit(False)))
     grown = high.withColumn("near", dilated("hit"))
     gone = F.col("near") & (F.col("v") > F.col("med") + sigma * ratio * F.col("mad"))

@@ -11,10 +11,11 @@ from ringlake.operators.frames import strict
 from ringlake.operators.lookups import DISC
 
 
-def _complete(means: DataFrame, bins: int) -> DataFrame:
-    """A row for every bin of every frame, from one row per frame: bins are generated, not joined."""
-    held = means.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "mean"))).alias("m"))
-    return held.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "m").select("frame_id", "bin", F.col("m")[F.col("bin")].alias("mean"))
+def _complete(means: DataFrame, centres: DataFrame, bins: int) -> DataFrame:
+    """A row for every bin of every frame of ``centres``, one row per frame at first: bins are generated, not joined."""
+    held = means.groupBy(F.col("frame_id").alias("held_id")).agg(F.map_from_entries(F.collect_list(F.struct("bin", "mean"))).alias("m"))
+    every = centres.select("frame_id").join(held, F.col("frame_id") == F.col("held_id"), "left")
+    return every.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "m").select("frame_id", "bin", F.col("m")[F.col("bin")].alias("mean"))
 
 
 def azimuthal_average(pixels: DataFrame, centres: DataFrame, height: int, width: int, radius: float = DISC[0], bins: int = DISC[1]) -> DataFrame:
@@ -28,22 +29,37 @@ def azimuthal_average(pixels: DataFrame, centres: DataFrame, height: int, width:
     c, r = F.col("c") - half_even(F.col("center_x") - mx), F.col("r") - half_even(F.col("center_y") - my)
     inside = c.between(0, width - 1) & r.between(0, height - 1)
     binned = placed.where(inside).select("frame_id", radial_bin(distance(r, c, mx, my), radius, bins).alias("bin"), "v")
-    means = binned.groupBy("frame_id", "bin").agg(F.avg("v").alias("mean"))
+    means = binned.where("bin IS NOT NULL").groupBy("frame_id", "bin").agg(F.avg("v").alias("mean"))
     step = radius / bins
-    # frames without a pixel in any bin keep their rows
-    means = means.unionByName(centres.select("frame_id", F.lit(None).cast("int").alias("bin"), F.lit(None).cast("double").alias("mean"))).where("bin IS NOT NULL OR mean IS NULL")
-    full = _complete(means.withColumn("bin", F.coalesce("bin", F.lit(-1))).dropDuplicates(["frame_id", "bin"]), bins)
+    full = _complete(means, centres, bins)
     return full.select("frame_id", "bin", ((F.col("bin") * step + (F.col("bin") + 1) * step) / 2).alias("bin_center"), "mean")
 
 
+def centred_profiles(pixels: DataFrame, height: int, width: int, radius: float = DISC[0], bins: int = DISC[1]) -> DataFrame:
+    """(frame_id, center_x, center_y, total_count, radial_profile) of pixels that carry those of their frame.
+
+    The means of `azimuthal_average`, as an array, without a join: every frame has its row.
+    """
+    mx, my = mask_centre(height, width)
+    c, r = F.col("c") - half_even(F.col("center_x") - mx), F.col("r") - half_even(F.col("center_y") - my)
+    inside = c.between(0, width - 1) & r.between(0, height - 1)
+    own = ["frame_id", "center_x", "center_y", "total_count"]
+    means = pixels.groupBy(*own, F.when(inside, radial_bin(distance(r, c, mx, my), radius, bins)).alias("bin")).agg(F.avg("v").alias("mean"))
+    held = means.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "mean")))).alias("m"))
+    return held.select(*own, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.col("m")[i]).alias("radial_profile"))
+
+
 def azimuthal_average_exact(pixels: DataFrame, centres: DataFrame, radius: float = 300, bins: int = 300) -> DataFrame:
-    """(frame_id, bin, bin_center, mean) around the unrounded centre; a missing pixel makes its bin null, empty bins are 0."""
+    """(frame_id, bin, bin_center, mean) around the unrounded centre; a missing pixel makes its bin null, empty bins are 0.
+
+    All bins of every frame of ``centres``, with or without pixels.
+    """
     placed = pixels.join(centres.select("frame_id", "center_x", "center_y"), "frame_id")
     d = distance(F.col("r"), F.col("c"), F.col("center_x"), F.col("center_y"))
     means = placed.select("frame_id", radial_bin(d, radius, bins).alias("bin"), "v").where("bin IS NOT NULL").groupBy("frame_id", "bin").agg(strict(F.avg("v")).alias("mean"))
     known = means.withColumn("mean", F.struct("mean"))
     step = radius / bins
-    full = _complete(known, bins)
+    full = _complete(known, centres, bins)
     return full.select("frame_id", "bin", ((F.col("bin") * step + (F.col("bin") + 1) * step) / 2).alias("bin_center"), F.when(F.col("mean").isNull(), 0.0).otherwise(F.col("mean.mean")).alias("mean"))
 
 

@@ -12,13 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ringlake.functions.geometry import mask_centre
 from ringlake.operators import background as bg
 from ringlake.operators import centroid, grouping, lookups, radial
-from ringlake.operators.frames import subtract, to_frames, to_pixels
+from ringlake.operators.frames import checked, subtract, to_frames, to_pixels
 from ringlake.operators.masking import apply_masks
-from ringlake.operators.outliers import remove_background
+from ringlake.operators.outliers import reject_hits, remove_background
 from ringlake.sources.results import save_failures, save_results
 from ringlake.sources.tiff import read_frames
 
@@ -43,26 +44,58 @@ class Settings:
     tolerance: float = centroid.TOLERANCE
     seed: int = 0
 
+    def __post_init__(self) -> None:
+        """Parameters that no frame could be processed with are refused before a plan is made."""
+        good = {
+            "height and width must be 1 or more": self.height >= 1 and self.width >= 1,
+            "a ring has 0 <= inner <= outer": 0 <= self.ring[0] <= self.ring[1],
+            "radius and bins must be above 0": self.radius > 0 and self.bins >= 1,
+            "sigma must be above 0 and ratio from 0 to 1": self.sigma > 0 and 0 <= self.ratio <= 1,
+            "sample, max_iterations and box must be 1, 0 and 0 or more": self.sample >= 1 and self.max_iterations >= 0 and self.box >= 0,
+            "tolerance must be 0 or more": self.tolerance >= 0,
+        }
+        for what, holds in good.items():
+            if not holds:
+                raise ValueError(what)
+
 
 def statistics(frames: DataFrame, background: DataFrame, s: Settings) -> DataFrame:
     """(xps_value, r, c, med, mad) of a sample of each group's frames, after subtraction, without the beam's box."""
-    sampled = subtract(to_pixels(bg.sample_frames(frames, s.sample, s.seed)), background)
+    sampled = subtract(to_pixels(bg.sample_frames(frames, s.sample, s.seed), deal=False), background)
     return bg.centre_box(bg.pixel_statistics(sampled), s.guess[0], s.guess[1], s.box)
 
 
-def cleaned_pixels(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings) -> DataFrame:
-    """Pixels after subtraction, X-ray removal, drift removal and mask."""
-    stats = statistics(frames, background, s)
-    return apply_masks(remove_background(to_pixels(frames), background, stats, s.sigma, s.ratio), masks)
+def with_statistics(frames: DataFrame, good: DataFrame, background: DataFrame, s: Settings, salts: int) -> DataFrame:
+    """The frames with ``med`` and ``mad``, arrays of their group, which is one row.
+
+    Each group is split into ``salts`` parts and its row repeated for each, so a group of any
+    size spreads over tasks. ``good`` are the frames that the statistics may use.
+    """
+    place = (F.col("r") * s.width + F.col("c")).alias("p")
+    arrays = statistics(good, background, s).groupBy("xps_value").agg(F.array_sort(F.collect_list(F.struct(place, "med", "mad"))).alias("m"))
+    arrays = arrays.select("xps_value", F.col("m.med").alias("med"), F.col("m.mad").alias("mad"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return frames.withColumn("salt", F.pmod(F.xxhash64("frame_id"), F.lit(salts)).cast("int")).join(arrays, ["xps_value", "salt"], "left").drop("salt")
+
+
+def cleaned_pixels(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings, salts: int = 16) -> DataFrame:
+    """Pixels after subtraction, X-ray removal, drift removal and mask.
+
+    Statistics are joined to frames, not to pixels: what follows inside a frame needs no
+    further shuffle.
+    """
+    known = to_pixels(with_statistics(frames, frames, background, s, salts), beside=("med", "mad"))
+    return apply_masks(reject_hits(subtract(known, background), s.sigma, s.ratio), masks)
 
 
 def process_pixels(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings) -> DataFrame:
-    """Results (frame_id, filename, xps_value, center_x, center_y, total_count, radial_profile) by the pixel path."""
-    pixels = cleaned_pixels(frames, background, masks, s)
-    centres = centroid.iterative_centroid(to_frames(pixels, s.height, s.width), s.guess, inner=s.ring[0], outer=s.ring[1], max_iterations=s.max_iterations, tolerance=s.tolerance)
-    profiles = radial.as_array(radial.azimuthal_average(pixels, centres, s.height, s.width, s.radius, s.bins))
-    names = frames.select("frame_id", "filename", "xps_value")
-    return names.join(centres.drop("n_steps"), "frame_id").join(profiles, "frame_id")
+    """The columns RESULT of each frame by the pixel path; a frame that has an error, no pixels or another shape keeps that error."""
+    all_ = checked(frames, s.height, s.width)
+    good = all_.where("error IS NULL")
+    cleaned = to_frames(cleaned_pixels(good, background, masks, s), s.height, s.width)
+    last = centroid.centroid_trace(cleaned, s.guess, s.ring[0], s.ring[1], s.max_iterations, s.tolerance).withColumn("last", F.element_at("trace", -1))
+    centred = last.select("frame_id", "xps_value", "width", "pixels", F.col("last.x").alias("center_x"), F.col("last.y").alias("center_y"), F.col("last.total").alias("total_count"))
+    found = radial.centred_profiles(to_pixels(centred, deal=False, carry=("center_x", "center_y", "total_count")), s.height, s.width, s.radius, s.bins)
+    return all_.select("frame_id", "filename", "xps_value", "error").join(found, "frame_id", "left").select(*StructType.fromDDL(RESULT).names)
 
 
 class Kernel:
@@ -129,11 +162,12 @@ class Kernel:
 
 
 def process_frames(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings, salts: int = 16) -> DataFrame:
-    """Results and an error column by the frame path: one row a frame, a frame that fails keeps its error.
+    """The columns RESULT of each frame by the frame path: one row a frame, a frame that fails keeps its error.
 
     Background and masks are one frame in size and go to all tasks. The medians of a group
-    are one row; each group is split into ``salts`` parts and its row repeated for each, so a
-    group of any size spreads over tasks, and a task holds one frame at a time.
+    are one row beside each of its frames (see `with_statistics`). Kernels work on one frame
+    after the other; a task holds an Arrow batch of frames, which
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds.
     """
     spark = frames.sparkSession
 
@@ -144,10 +178,8 @@ def process_frames(frames: DataFrame, background: DataFrame, masks: DataFrame, s
         return out
 
     constants = spark.sparkContext.broadcast((image(background, "bg"), image(masks, "keep"), image(masks, "bkg")))
-    place = (F.col("r") * s.width + F.col("c")).alias("p")
-    arrays = statistics(frames, background, s).groupBy("xps_value").agg(F.array_sort(F.collect_list(F.struct(place, "med", "mad"))).alias("m"))
-    arrays = arrays.select("xps_value", F.col("m.med").alias("med"), F.col("m.mad").alias("mad"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    known = frames.withColumn("salt", F.pmod(F.xxhash64("frame_id"), F.lit(salts)).cast("int")).join(arrays, ["xps_value", "salt"], "left")
+    all_ = checked(frames, s.height, s.width)
+    known = with_statistics(all_, all_.where("error IS NULL"), background, s, salts)
 
     def run(batches):
         kernel = Kernel(s, *constants.value)
@@ -158,8 +190,6 @@ def process_frames(frames: DataFrame, background: DataFrame, masks: DataFrame, s
                 out = [f.frame_id, f.filename, f.xps_value, None, None, None, None, f.error]
                 try:
                     if f.error is None:
-                        if f.pixels is None or (f.height, f.width) != (s.height, s.width):
-                            raise ValueError(f"a frame of {f.height} x {f.width} pixels, not {s.height} x {s.width}")
                         v, med, mad = (np.asarray(nothing if a is None else a, dtype=float).reshape(s.height, s.width) for a in (f.pixels, f.med, f.mad))
                         v = kernel.clean(v, med, mad)
                         x, y, total = kernel.centre(v)
@@ -169,8 +199,7 @@ def process_frames(frames: DataFrame, background: DataFrame, masks: DataFrame, s
                 rows.append(out)
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
-    error = F.col("error") if "error" in frames.columns else F.lit(None).cast("string").alias("error")
-    return known.select("frame_id", "filename", "xps_value", "height", "width", "pixels", error, "med", "mad").mapInPandas(run, RESULT)
+    return known.select("frame_id", "filename", "xps_value", F.when(F.col("error").isNull(), F.col("pixels")).alias("pixels"), "error", "med", "mad").mapInPandas(run, RESULT)
 
 
 def split_failures(results: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,11 +221,11 @@ def run_directory(spark: SparkSession, path: str, out: str, background: DataFram
     """Read a folder of TIFF files, process every group in one job, and write results and failures.
 
     The output folder must not exist: a run never mixes with another. Files that can't be
-    read and frames that can't be processed are in the failures; the others go on.
+    read and frames that can't be processed are in the failures; the others go on. Every file
+    is decoded once: ``out/all`` has a row for each, and results and failures come from it.
     """
     frames = read_frames(spark, path).where("xps_value IS NOT NULL")
-    readable = frames.where("error IS NULL").drop("error")
-    results = process_frames(readable, background, masks, s)
-    done, failed = split_failures(results)
+    process_frames(frames, background, masks, s).write.mode("errorifexists").parquet(f"{out}/all")
+    done, failed = split_failures(spark.read.schema(RESULT).parquet(f"{out}/all"))
     save_results(done.drop("frame_id"), f"{out}/results", s.bins, mode="errorifexists")
-    save_failures(failed.select("filename", "error").unionByName(frames.where("error IS NOT NULL").select("filename", "error")), f"{out}/failed")
+    save_failures(failed, f"{out}/failed")

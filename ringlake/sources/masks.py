@@ -6,6 +6,9 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The PNG signature, bytes a pixel by colour type, and weights of red, green, blue in grey.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -69,6 +72,34 @@ def mask_of_png(data: bytes) -> np.ndarray:
     return (decode_png(data) >= LEVEL).astype(np.int32)
 
 
+def read_masks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, height, width, mask, error) of all PNG files of a folder; mask is a row-major array of 0 and 1.
+
+    A file that can't be decoded has an error and no mask.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,PNG}").load(path)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for name, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    mask = mask_of_png(bytes(content))
+                    rows.append((name, *mask.shape, mask.ravel(), None))
+                except Exception as e:  # any broken file is a failed row, not a failed job
+                    rows.append((name, None, None, None, f"{type(e).__name__}: {e}"))
+            made = pd.DataFrame(rows, columns=["path", "height", "width", "mask", "error"])
+            yield made.astype({"height": "Int32", "width": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, height int, width int, mask array<int>, error string")
+
+
+def mask_pixels(masks: DataFrame) -> DataFrame:
+    """(path, r, c, keep) of decoded masks."""
+    rows = masks.where("error IS NULL").select("path", "width", F.posexplode("mask").alias("p", "keep"))
+    return rows.select("path", F.floor(F.col("p") / F.col("width")).cast("int").alias("r"), (F.col("p") % F.col("width")).cast("int").alias("c"), "keep")
+
+
 def image_of_frame(frame: np.ndarray, low: float | None = None, high: float | None = None) -> bytes:
     """A grey PNG of a frame clamped to [low, high] (its own range where not given); a constant frame is black."""
     if frame.ndim != 2:
