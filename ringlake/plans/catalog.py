@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +15,15 @@ from ringlake.functions import geometry, naming
 from ringlake.operators import background as bg
 from ringlake.operators import centroid, grouping, lookups, morphology, outliers, radial, summary
 from ringlake.operators.frames import normalise, of_frame, shift, subtract, to_frames, to_pixels
+from ringlake.operators.fitting import fitted_centres, gaussian_centres
 from ringlake.operators.masking import apply_masks
-from ringlake.plans.pipeline import Settings, process_frames, process_pixels, screening_image
-from ringlake.sources.results import parse_configs
+from ringlake.plans.pipeline import Settings, process_frames, process_pixels, screening_image, split_failures
+from ringlake.plans.run import merged_frames, run_configured
+from ringlake.sources.files import write_files
+from ringlake.sources.masks import mask_pixels, read_masks, write_images
+from ringlake.sources.results import RunConfig, load_config, load_results, parse_configs, save_config, save_failures, save_report, save_results, save_results_csv
+from ringlake.sources.scratch import new_folder
+from ringlake.sources.tiff import encode, read_frames, write_frames
 
 SIDE = 8
 RING = (1, 3)
@@ -73,8 +80,8 @@ def raised(f: DataFrame) -> DataFrame:
     return f.withColumn("pixels", F.transform("pixels", lambda v: v + 1))
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_pixels(frames(spark, sf_dir))
+def pixels(spark: SparkSession, sf_dir: str, deal: bool = True) -> DataFrame:
+    return to_pixels(frames(spark, sf_dir), deal)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +167,7 @@ def s5(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("s5_typed_config")
+@query("s5_typed_config", "SELECT vec_id, label::DOUBLE AS sigma FROM embeddings")
 def s5_typed(spark, sf_dir):
     text = F.concat(F.lit('{"result_directory": "/out", "xray_removal_param": ['), F.col("label").cast("string"), F.lit(", 0.7]}"))
     return parse_configs(table(spark, sf_dir, "embeddings").select("vec_id", text.alias("j")), "j").select("vec_id", F.col("config.xray_removal_param")[0].alias("sigma"))
@@ -271,7 +278,7 @@ st AS (SELECT xps_value, r, c, med, median(abs(v - med)) AS mad FROM px JOIN med
 
 @query("a3_median_mad", f"{PX_SQL}{STATS_SQL} SELECT xps_value, r, c, round(med, 6) + 0.0 AS med, round(mad, 6) AS mad FROM st")
 def a3(spark, sf_dir):
-    return bg.pixel_statistics(pixels(spark, sf_dir)).select("xps_value", "r", "c", r6("med").alias("med"), r6("mad").alias("mad"))
+    return bg.pixel_statistics(pixels(spark, sf_dir, deal=False)).select("xps_value", "r", "c", r6("med").alias("med"), r6("mad").alias("mad"))
 
 
 @query("f9_center_box", f"{PX_SQL}{STATS_SQL} SELECT xps_value, r, c, CASE WHEN NOT (r >= 3 AND r < 7 AND c >= 1 AND c < 5) THEN round(med, 6) + 0.0 END AS med FROM st")
@@ -361,12 +368,12 @@ def m4(spark, sf_dir):
 
 @query("a1_mean_background", f"{PX_SQL} SELECT r, c, round(avg(v), 6) + 0.0 AS bg FROM px GROUP BY r, c")
 def a1(spark, sf_dir):
-    return bg.mean_background(pixels(spark, sf_dir)).withColumn("bg", r6("bg"))
+    return bg.mean_background(pixels(spark, sf_dir, deal=False)).withColumn("bg", r6("bg"))
 
 
 @query("a1_median_background", f"{PX_SQL} SELECT r, c, round(median(v), 6) + 0.0 AS bg FROM px GROUP BY r, c")
 def a1_median(spark, sf_dir):
-    return bg.mean_background(pixels(spark, sf_dir), "median").withColumn("bg", r6("bg"))
+    return bg.mean_background(pixels(spark, sf_dir, deal=False), "median").withColumn("bg", r6("bg"))
 
 
 def _centroid_sql(source: str, prior: str, keep: str = "") -> str:
@@ -395,36 +402,68 @@ def a6(spark, sf_dir):
     return out.select("frame_id", *[r6(c).alias(c) for c in ("center_x", "center_y", "total_count")])
 
 
-def _iterated_sql() -> str:
-    parts = [f"{PX_SQL}, up AS MATERIALIZED (SELECT frame_id, r, c, v + 1 AS v FROM px)", "s0 AS (SELECT vec_id AS frame_id, 3.3::DOUBLE AS gx, 4.6::DOUBLE AS gy, false AS done, 0 AS k FROM embeddings)"]
+def _steps_sql(source: str, tolerance: float) -> list[str]:
+    """s0 to s10, the centres after each step, and e, one more centroid around the last."""
+    parts = ["s0 AS (SELECT vec_id AS frame_id, 3.3::DOUBLE AS gx, 4.6::DOUBLE AS gy, false AS done, 0 AS k FROM embeddings)"]
     for i in range(1, 11):
-        parts.append(f"q{i} AS MATERIALIZED ({_centroid_sql('up', f's{i - 1}', ', s.done, s.k')})")
+        parts.append(f"q{i} AS MATERIALIZED ({_centroid_sql(source, f's{i - 1}', ', s.done, s.k')})")
         parts.append(f"n{i} AS (SELECT *, {_moved('gx', 'tx')} AS nx, {_moved('gy', 'ty')} AS ny FROM q{i})")
-        parts.append(f"s{i} AS MATERIALIZED (SELECT frame_id, CASE WHEN done THEN gx ELSE nx END AS gx, CASE WHEN done THEN gy ELSE ny END AS gy, done OR sqrt(pow(nx - gx, 2) + pow(ny - gy, 2)) < 0.1 AS done, k + (NOT done)::INT AS k FROM n{i})")
-    parts.append(f"e AS ({_centroid_sql('up', 's10', ', s.k')})")
-    return ", ".join(parts) + f" SELECT frame_id, round({_moved('gx', 'tx')}, 6) AS center_x, round({_moved('gy', 'ty')}, 6) AS center_y, round(t, 6) AS total_count, (k + 1)::INT AS n_steps FROM e"
+        parts.append(f"s{i} AS MATERIALIZED (SELECT frame_id, CASE WHEN done THEN gx ELSE nx END AS gx, CASE WHEN done THEN gy ELSE ny END AS gy, done OR sqrt(pow(nx - gx, 2) + pow(ny - gy, 2)) < {tolerance} AS done, k + (NOT done)::INT AS k FROM n{i})")
+    return [*parts, f"e AS ({_centroid_sql(source, 's10', ', s.k')})"]
 
 
-@query("i1_iterative_centroid", _iterated_sql())
+ITERATED_SQL = ", ".join([f"{PX_SQL}, up AS MATERIALIZED (SELECT frame_id, r, c, v + 1 AS v FROM px)", *_steps_sql("up", 0.1)])
+
+
+@query("i1_iterative_centroid", f"{ITERATED_SQL} SELECT frame_id, round({_moved('gx', 'tx')}, 6) AS center_x, round({_moved('gy', 'ty')}, 6) AS center_y, round(t, 6) AS total_count, (k + 1)::INT AS n_steps FROM e")
 def i1(spark, sf_dir):
     out = centroid.iterative_centroid(raised(frames(spark, sf_dir)), GUESS, inner=RING[0], outer=RING[1], tolerance=0.1)
     return out.select("frame_id", *[r6(c).alias(c) for c in ("center_x", "center_y", "total_count")], "n_steps")
 
 
-@query("i2_centroid_trace")
+TRACE_SQL = " UNION ALL ".join([
+    "SELECT frame_id, 0 AS step, gx AS x, gy AS y, 0.0::DOUBLE AS total FROM s0",
+    *[f"SELECT frame_id, {i}, nx, ny, t FROM n{i} WHERE NOT done" for i in range(1, 11)],
+    f"SELECT frame_id, (k + 1)::INT, {_moved('gx', 'tx')}, {_moved('gy', 'ty')}, t FROM e",
+])
+
+
+@query("i2_centroid_trace", f"{ITERATED_SQL}, steps AS ({TRACE_SQL}) SELECT frame_id, step::INT AS step, round(x, 6) AS x, round(y, 6) AS y, round(total, 6) AS total FROM steps")
 def i2(spark, sf_dir):
     t = centroid.centroid_trace(raised(frames(spark, sf_dir)), GUESS, RING[0], RING[1], tolerance=0.1)
-    return t.select("frame_id", F.posexplode("trace").alias("step", "at")).select("frame_id", "step", "at.x", "at.y", "at.total")
-
+    return t.select("frame_id", F.posexplode("trace").alias("step", "at")).select("frame_id", "step", r6("at.x").alias("x"), r6("at.y").alias("y"), r6("at.total").alias("total"))
 
-@query("i3_gaussian_fit")
-def i3(spark, sf_dir):
-    """Frames that hold a planted circular Gaussian plus a hundredth of their own noise."""
-    from ringlake.operators.fitting import gaussian_centres
 
+def planted(spark, sf_dir):
+    """Frames that hold a planted circular Gaussian around (3.6, 4.3) plus a hundredth of their own noise."""
     d = geometry.distance(F.col("r"), F.col("c"), 3.6, 4.3)
-    planted = pixels(spark, sf_dir).withColumn("v", geometry.circular_gaussian(d * d, 100.0, 2.0, 5.0) + F.col("v") / 100)
-    return gaussian_centres(planted, (80.0, 4.0, 4.0, 1.5, 0.0), SIDE, SIDE, 0, 5)
+    return pixels(spark, sf_dir).withColumn("v", geometry.circular_gaussian(d * d, 100.0, 2.0, 5.0) + F.col("v") / 100)
+
+
+START = (80.0, 4.0, 4.0, 1.5, 0.0)
+
+
+@query("i3_gaussian_fit", "SELECT vec_id AS frame_id, true AS success, 64::BIGINT AS n_pixels, true AS near FROM embeddings")
+def i3(spark, sf_dir):
+    """The fit finds the planted parameters of every frame, each to a hundredth of its value."""
+    found = gaussian_centres(planted(spark, sf_dir), START, SIDE, SIDE, 0, 6)
+    wanted = {"amplitude": 100.0, "x0": 3.6, "y0": 4.3, "sigma": 2.0, "offset": 5.0}
+    near = F.lit(True)
+    for name, value in wanted.items():
+        near = near & (F.abs(F.col(name) - value) < value / 100)
+    return found.select("frame_id", "success", "n_pixels", near.alias("near"))
+
+
+@query("i4_fitted_profile", f"""{PX_SQL}, pl AS (SELECT frame_id, r, c, 100.0::DOUBLE * exp(-((c - 3.6::DOUBLE) * (c - 3.6::DOUBLE) + (r - 4.3::DOUBLE) * (r - 4.3::DOUBLE)) / 8) + 5 + v / 100 AS v FROM px),
+b AS (SELECT frame_id, floor(d)::INT AS bin, avg(v) AS mean FROM pl JOIN grid USING (r, c) WHERE d < 4 GROUP BY ALL),
+t AS (SELECT frame_id, sum(v) AS total_count FROM pl GROUP BY frame_id)
+SELECT frame_id, bin, round(mean, 6) AS mean, round(total_count, 6) AS total_count FROM b JOIN t USING (frame_id)""")
+def i4(spark, sf_dir):
+    """A fitted centre, rounded to whole pixels as profiles do, feeds the profile of its frame."""
+    p = planted(spark, sf_dir)
+    centres = fitted_centres(p, START, SIDE, SIDE, 0, 6)
+    found = radial.azimuthal_average(p, centres, SIDE, SIDE, 4, 4).join(centres, "frame_id")
+    return found.select("frame_id", "bin", r6("mean").alias("mean"), r6("total_count").alias("total_count"))
 
 
 def _fixed_centres(f: DataFrame, x: float, y: float) -> DataFrame:
@@ -563,10 +602,34 @@ def j4(spark, sf_dir):
     return grouping.nearest_cluster(groups.where("n_files <= 7"), centres)
 
 
-@query("a13_merge_groups")
+MERGED_SQL = f"""WITH RECURSIVE {FRAMES_SQL},
+groups AS (SELECT xps_text::DOUBLE AS xps_value, count(*) AS n_files FROM frames GROUP BY 1),
+big AS (SELECT xps_value, n_files, sum(coalesce((xps_value - prev > 0.0025)::INT, 0)) OVER (ORDER BY xps_value)::INT AS cluster
+  FROM (SELECT *, lag(xps_value) OVER (ORDER BY xps_value) AS prev FROM groups WHERE n_files > 49)),
+means AS (SELECT cluster, sum(xps_value * n_files) AS s, sum(n_files)::DOUBLE AS n FROM big GROUP BY cluster),
+small AS (SELECT xps_value, n_files, row_number() OVER (ORDER BY xps_value) AS k FROM groups WHERE n_files <= 49),
+fold(k, ss, ns, chosen) AS (
+  SELECT 0::BIGINT, list(s ORDER BY cluster), list(n ORDER BY cluster), []::BIGINT[] FROM means HAVING count(*) > 0
+  UNION ALL
+  SELECT k + 1, [CASE WHEN i = pos THEN s + x * n ELSE s END FOR s, i IN ss], [CASE WHEN i = pos THEN m + n ELSE m END FOR m, i IN ns], list_append(chosen, pos)
+  FROM (SELECT *, list_position(far, list_min(far)) AS pos
+    FROM (SELECT f.k, ss, ns, chosen, g.xps_value AS x, g.n_files::DOUBLE AS n, [abs(s / ns[i] - g.xps_value) FOR s, i IN ss] AS far FROM fold f JOIN small g ON g.k = f.k + 1))),
+ends AS (SELECT chosen FROM fold ORDER BY k DESC LIMIT 1),
+placed AS (SELECT xps_value, n_files, cluster FROM big UNION ALL SELECT xps_value, n_files, (chosen[k] - 1)::INT FROM small, ends),
+merged AS (SELECT cluster, sum(xps_value * n_files) / sum(n_files) AS merged_value, sum(n_files)::BIGINT AS merged_files FROM placed GROUP BY cluster)"""
+
+
+@query("a13_merge_groups", f"{MERGED_SQL} SELECT xps_value, n_files, cluster, round(merged_value, 9) AS merged_value, merged_files FROM placed JOIN merged USING (cluster)")
 def a13(spark, sf_dir):
-    """Groups of frames by label, each an eighth as far apart as the default gap; order-dependent, so no SQL."""
-    return grouping.merge_groups(grouping.group_sizes(files(spark, sf_dir)), large=49, gap=0.0025)
+    """Groups of frames by label, as far apart as the default gap; the fold over small groups is a recursive SQL."""
+    merged = grouping.merge_groups(grouping.group_sizes(files(spark, sf_dir)), large=49, gap=0.0025)
+    return merged.select("xps_value", "n_files", "cluster", F.round("merged_value", 9).alias("merged_value"), "merged_files")
+
+
+@query("o10_merged_frames", f"{MERGED_SQL}, kept AS (SELECT merged_value FROM merged ORDER BY merged_value LIMIT 2) SELECT frame_id, round(merged_value, 9) AS xps_value FROM frames f JOIN placed p ON f.xps_text::DOUBLE = p.xps_value JOIN merged USING (cluster) WHERE merged_value IN (SELECT merged_value FROM kept)")
+def o10(spark, sf_dir):
+    found = merged_frames(frames(spark, sf_dir), large=49, gap=0.0025, first=2)
+    return found.select("frame_id", F.round("xps_value", 9).alias("xps_value"))
 
 
 @query("l1_sorted_groups", f"WITH {GROUPS_SQL} SELECT xps_value, n_files, row_number() OVER (ORDER BY xps_value)::INT AS place FROM groups")
@@ -625,22 +688,157 @@ def chain_inputs(spark, sf_dir):
     return f, zero, lookups.corner_masks(spark, SIDE, SIDE, 2), s
 
 
-@query("o1_process_pixels")
+CLEAN_SQL = f"""med AS (SELECT xps_value, r, c, median(v) AS med FROM up JOIN pick USING (frame_id) GROUP BY ALL),
+st0 AS (SELECT xps_value, r, c, med, median(abs(v - med)) AS mad FROM up JOIN pick USING (frame_id) JOIN med USING (xps_value, r, c) GROUP BY ALL),
+st AS (SELECT xps_value, r, c, CASE WHEN NOT (r >= 4 AND r < 6 AND c >= 2 AND c < 4) THEN med END AS med, CASE WHEN NOT (r >= 4 AND r < 6 AND c >= 2 AND c < 4) THEN mad END AS mad FROM st0),
+fl AS (SELECT up.*, med, mad, v > med + 4 * mad AS hit FROM up JOIN st USING (xps_value, r, c)),
+near2 AS (SELECT DISTINCT frame_id, (r + dr)::INT AS r, (c + dc)::INT AS c FROM fl, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS o(dr, dc) WHERE hit),
+hy AS (SELECT fl.frame_id, fl.xps_value, fl.r, fl.c, CASE WHEN n.frame_id IS NOT NULL AND v > med + 4 * 0.5 * mad THEN NULL ELSE v END AS v FROM fl LEFT JOIN near2 n USING (frame_id, r, c))"""
+RAISED_SQL = f"{PX_SQL}, up AS (SELECT frame_id, xps_value, r, c, v + 0.5 AS v FROM px)"
+DRIFT_SQL = "SELECT frame_id, r, c, v - avg(CASE WHEN (r < 2 OR r >= 6) AND (c < 2 OR c >= 6) THEN v END) OVER (PARTITION BY frame_id) AS v"
+
+
+def _results_sql(cleaned_sql: str, tolerance: float, suffix: str = "") -> str:
+    """Centres and profiles of the pixels ``cl``, which ``cleaned_sql`` ends with."""
+    parts = [cleaned_sql, *_steps_sql("cl", tolerance)]
+    parts.append(f"ce AS (SELECT frame_id, {_moved('gx', 'tx')} AS x, {_moved('gy', 'ty')} AS y, t FROM e)")
+    parts.append("pr AS (SELECT p.frame_id, floor(sqrt(pow(c - round_even(x - 4, 0) - 4, 2) + pow(r - round_even(y - 4, 0) - 4, 2)))::INT AS bin, avg(v) AS mean FROM cl p JOIN ce USING (frame_id) WHERE c - round_even(x - 4, 0) BETWEEN 0 AND 7 AND r - round_even(y - 4, 0) BETWEEN 0 AND 7 GROUP BY ALL)")
+    bins = ", ".join(f"round((SELECT mean FROM pr WHERE pr.frame_id = ce.frame_id AND bin = {i}), 6) + 0.0 AS radial_bin_{i:03d}" for i in range(4))
+    return ", ".join(parts) + f" SELECT filename || '{suffix}' AS filename, xps_text::DOUBLE AS xps_value, round(x, 4) + 0.0 AS center_x, round(y, 4) + 0.0 AS center_y, round(t, 6) + 0.0 AS total_count, {bins} FROM ce JOIN frames USING (frame_id)"
+
+
+def rounded(results: DataFrame) -> DataFrame:
+    """Results as wide rows, rounded for comparison."""
+    rows = radial.wide(results, 4)
+    bins = [c for c in rows.columns if c.startswith("radial_bin")]
+    return rows.select("filename", "xps_value", *[(F.round(c, 4) + 0.0).alias(c) for c in ("center_x", "center_y")], *[r6(c).alias(c) for c in ("total_count", *bins)])
+
+
+CHAIN_SQL = _results_sql(f"""{RAISED_SQL},
+pick AS (SELECT frame_id FROM (SELECT frame_id, row_number() OVER (PARTITION BY xps_text ORDER BY md5('0:' || frame_id::VARCHAR), frame_id) AS k FROM frames) WHERE k <= 50),
+{CLEAN_SQL}, cl AS MATERIALIZED ({DRIFT_SQL} FROM hy)""", 0.1)
+
+
+@query("o1_process_pixels", CHAIN_SQL)
 def o1(spark, sf_dir):
     f, zero, masks, s = chain_inputs(spark, sf_dir)
-    return process_pixels(f, zero, masks, s)
+    return rounded(process_pixels(f, zero, masks, s))
 
 
-@query("o3_process_frames")
+@query("o3_process_frames", CHAIN_SQL)
 def o3(spark, sf_dir):
     f, zero, masks, s = chain_inputs(spark, sf_dir)
-    return process_frames(f, zero, masks, s)
+    return rounded(process_frames(f, zero, masks, s))
 
 
-@query("o8_screening_image")
+@query("o8_screening_image", f"""{RAISED_SQL},
+sizes AS (SELECT xps_text, count(*) AS n FROM frames GROUP BY 1),
+second AS (SELECT xps_text FROM sizes ORDER BY n DESC, xps_text LIMIT 1 OFFSET 1),
+ranked AS (SELECT frame_id, row_number() OVER (ORDER BY filename) - 1 AS k, count(*) OVER () AS n FROM frames WHERE xps_text IN (SELECT xps_text FROM second)),
+pick AS (SELECT frame_id FROM ranked WHERE n <= 20 OR k IN (SELECT CASE WHEN i = 19 THEN n - 1 ELSE floor(i * ((n - 1) / 19.0::DOUBLE))::BIGINT END FROM (SELECT DISTINCT n FROM ranked), (SELECT unnest(range(20)) AS i) t)),
+{CLEAN_SQL} SELECT xps_value, r, c, CASE WHEN count(v) = count(*) THEN round(avg(v), 6) + 0.0 END AS v FROM hy JOIN pick USING (frame_id) GROUP BY ALL""")
 def o8(spark, sf_dir):
     f, zero, _, s = chain_inputs(spark, sf_dir)
-    return screening_image(f, zero, s, k=1, size=20)
+    return screening_image(f, zero, s, k=1, size=20).withColumn("v", r6("v"))
+
+
+# sources and sinks, through files
+
+
+def sample_results(spark, sf_dir):
+    """Results made of pixels, to be written and read back."""
+    p = [F.col("pixels")[i] for i in range(7)]
+    return frames(spark, sf_dir).select("filename", p[0].alias("center_x"), p[1].alias("center_y"), p[2].alias("total_count"), "xps_value", F.array(*p[3:]).alias("radial_profile"))
+
+
+def _results_columns_sql(round_to: int = 6) -> str:
+    names = ["center_x", "center_y", "total_count", *[f"radial_bin_{i:03d}" for i in range(4)]]
+    return ", ".join(f"round(embedding[{i}]::DOUBLE, {round_to}) + 0.0 AS {n}" for i, n in enumerate(names, 1))
+
+
+@query("s1_tiff_round_trip", f"{PX_SQL}, t AS (SELECT frame_id, round(sum(v * (r * 8 + c)), 6) + 0.0 AS checksum FROM px GROUP BY frame_id) SELECT filename || '.tiff' AS filename, xps_text::DOUBLE AS xps_value, 8 AS height, 8 AS width, 'float64' AS dtype, checksum, NULL::VARCHAR AS error FROM frames JOIN t USING (frame_id)")
+def s1(spark, sf_dir):
+    """Frames written as compressed TIFF files by their tasks and read again as a folder."""
+    folder = new_folder(spark, "tiff")
+    write_frames(frames(spark, sf_dir), folder)
+    checksum = F.aggregate(F.transform("pixels", lambda v, p: v * p), F.lit(0.0), lambda a, x: a + x)
+    return read_frames(spark, folder).select("filename", "xps_value", "height", "width", "dtype", r6(checksum).alias("checksum"), "error")
+
+
+@query("s2_broken_files", f"WITH {FRAMES_SQL} SELECT filename || '.tiff' AS filename, frame_id % 5 = 0 AS broken FROM frames")
+def s2(spark, sf_dir):
+    """A folder in which every fifth file is cut short: a row with an error for each, the others whole."""
+    folder = new_folder(spark, "broken")
+    rows = frames(spark, sf_dir).select("frame_id", "height", "width", "pixels", F.concat("filename", F.lit(".tiff")).alias("filename"))
+    write_files(rows, folder, "filename", lambda f: encode(np.asarray(f.pixels, dtype=float).reshape(f.height, f.width))[: 20 if f.frame_id % 5 == 0 else None])
+    return read_frames(spark, folder).select("filename", F.col("error").isNotNull().alias("broken"))
+
+
+@query("k2_results_round_trip", f"WITH {FRAMES_SQL} SELECT filename, xps_text::DOUBLE AS xps_value, {_results_columns_sql()} FROM frames")
+def k2(spark, sf_dir):
+    folder = new_folder(spark, "results")
+    save_results(sample_results(spark, sf_dir), folder, 4)
+    rows = radial.wide(load_results(spark, folder, 4), 4)
+    return rows.select("filename", "xps_value", *[r6(c).alias(c) for c in rows.columns if c not in ("filename", "xps_value")])
+
+
+@query("k3_results_csv", f"WITH {FRAMES_SQL} SELECT filename, xps_text::DOUBLE AS xps_value, {_results_columns_sql().replace('radial_bin_00', 'radial_bin_')} FROM frames")
+def k3(spark, sf_dir):
+    folder = new_folder(spark, "csv")
+    save_results_csv(sample_results(spark, sf_dir), folder, 4)
+    rows = spark.read.option("header", True).csv(folder)
+    return rows.select("filename", F.col("xps_value").cast("double").alias("xps_value"), *[r6(F.col(c).cast("double")).alias(c) for c in rows.columns if c not in ("filename", "xps_value")])
+
+
+@query("k5_failures", f"WITH {FRAMES_SQL} SELECT filename, 'a frame of 8 x 7 pixels, not 8 x 8' AS error FROM frames WHERE frame_id % 3 = 0")
+def k5(spark, sf_dir):
+    """Frames of another shape become failures, written and read again."""
+    folder = new_folder(spark, "failed")
+    f, zero, masks, s = chain_inputs(spark, sf_dir)
+    odd = F.col("frame_id") % 3 == 0
+    bent = f.withColumn("width", F.when(odd, SIDE - 1).otherwise(SIDE)).withColumn("pixels", F.when(odd, F.slice("pixels", 1, SIDE * (SIDE - 1))).otherwise(F.col("pixels")))
+    save_failures(split_failures(process_frames(bent, zero, masks, s))[1], folder)
+    return spark.read.option("header", True).csv(folder)
+
+
+@query("k6_config", "SELECT '/out' AS result_directory, 5.0::DOUBLE AS sigma, 0.5::DOUBLE AS ratio, 40.0::DOUBLE AS inner_radius")
+def k6(spark, sf_dir):
+    folder = new_folder(spark, "config")
+    save_config(spark, RunConfig.of({"result_directory": "/out", "xray_removal_param": [5.0, 0.5]}), folder)
+    c = load_config(spark, folder)
+    return spark.range(1).select(F.lit(c.result_directory).alias("result_directory"), *[F.lit(float(x)).alias(n) for x, n in zip((*c.xray_removal_param, c.center_fitting_param[0]), ("sigma", "ratio", "inner_radius"))])
+
+
+@query("k7_report_counts", f"WITH {FRAMES_SQL} SELECT filename, printf('%.3f', embedding[3]::DOUBLE) AS total_count FROM frames")
+def k7(spark, sf_dir):
+    folder = new_folder(spark, "report")
+    save_report(sample_results(spark, sf_dir), folder, 4, ("counts",))
+    return spark.read.option("header", True).csv(f"{folder}/counts")
+
+
+@query("k8_images", f"{PX_SQL}, e AS (SELECT frame_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1) SELECT filename || '.png' AS name, r, c, (round_even((v - lo) / (hi - lo) * 255, 0) >= 128)::INT AS keep FROM px JOIN e USING (frame_id) JOIN frames USING (frame_id)")
+def k8(spark, sf_dir):
+    """Frames written as grey PNG images by their tasks and read again as masks."""
+    folder = new_folder(spark, "images")
+    write_images(frames(spark, sf_dir), folder)
+    return mask_pixels(read_masks(spark, folder)).select(naming.base_name(F.col("path")).alias("name"), "r", "c", "keep")
+
+
+#: The whole square of 40 around the guess is left out, so no pixel is a hit; the default step ends the centres.
+FOLDER_SQL = _results_sql(f"{RAISED_SQL}, cl AS MATERIALIZED ({DRIFT_SQL} FROM up)", 1.0, ".tiff")
+
+
+@query("o5_run_of_a_folder", FOLDER_SQL)
+def o5(spark, sf_dir):
+    """A configured run: frames, background and masks are files, found by the configuration's rules."""
+    data, out = new_folder(spark, "data"), new_folder(spark, "out")
+    f, level, masks, _ = chain_inputs(spark, sf_dir)
+    write_frames(f, data)
+    constants = level.join(masks, ["r", "c"]).select(F.explode(F.array(*[F.struct(F.lit(i).alias("frame_id"), F.col(v).cast("double").alias("v"), F.lit(n).alias("filename")) for i, (v, n) in enumerate((("bg", "background"), ("keep", "data_mask"), ("bkg", "background_mask")))])).alias("x"), "r", "c")
+    constants = to_frames(constants.select("x.frame_id", "x.v", F.col("x.filename").alias("xps_value"), "r", "c"), SIDE, SIDE)
+    write_frames(constants.withColumnRenamed("xps_value", "filename"), out)
+    config = RunConfig(out, "default", "default", xray_removal_param=[4, 0.5], center_fitting_param=[*RING, *GUESS], azimuthal_avg_param=[4, 4])
+    return rounded(load_results(spark, f"{run_configured(spark, config, data, SIDE, SIDE)}/results", 4))
 
 
 @query("s8_frame_round_trip", f"{PX_SQL} SELECT frame_id, count(*) AS n, round(sum(v * (r * 8 + c)), 6) + 0.0 AS checksum FROM px GROUP BY frame_id")

@@ -67,7 +67,7 @@ def resolve_masks(spark: SparkSession, config: RunConfig, height: int, width: in
 
 def settings_of(config: RunConfig, height: int, width: int) -> Settings:
     """Settings from a configuration's parameter lists."""
-    x, y, inner, outer = config.center_fitting_param
+    inner, outer, x, y = config.center_fitting_param
     sigma, ratio = config.xray_removal_param
     radius, bins = config.azimuthal_avg_param
     return Settings(height, width, (x, y), ring=(inner, outer), radius=radius, bins=int(bins), sigma=sigma, ratio=ratio)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringlake.sources.files import write_files
+
 # The PNG signature, bytes a pixel by colour type, and weights of red, green, blue in grey.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -59,6 +61,17 @@ def decode_png(data: bytes) -> np.ndarray:
     return out[..., 0]
 
 
+def write_images(frames: DataFrame, path: str, low: float | None = None, high: float | None = None) -> int:
+    """Each frame as a grey ``filename``.png in the folder ``path``, written by its task; returns the number of files."""
+
+    def content(row) -> bytes:
+        values = np.array([np.nan if v is None else v for v in row.pixels], dtype=float)
+        return image_of_frame(values.reshape(row.height, row.width), low, high)
+
+    rows = frames.select("height", "width", "pixels", F.concat("filename", F.lit(".png")).alias("filename"))
+    return write_files(rows, path, "filename", content)
+
+
 def encode_png(grey: np.ndarray) -> bytes:
     """An 8-bit grey or RGB PNG file."""
     height, width = grey.shape[:2]

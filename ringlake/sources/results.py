@@ -16,14 +16,14 @@ from ringlake.operators.radial import wide
 
 @dataclass
 class RunConfig:
-    """What a run was made with; the parameter lists are in the order of the operators' arguments."""
+    """What a run was made with. Lists: (large, gap), (sigma, ratio), (inner, outer, x, y) and (radius, bins)."""
 
     result_directory: str = ""
     background_directory: str = ""
     data_mask_directory: str = ""
     xps_grouping_param: list[float] = field(default_factory=lambda: [350, 0.0025])
     xray_removal_param: list[float] = field(default_factory=lambda: [29.6, 0.7])
-    center_fitting_param: list[float] = field(default_factory=lambda: [512, 512, 40, 200])
+    center_fitting_param: list[float] = field(default_factory=lambda: [40, 200, 512, 512])
     azimuthal_avg_param: list[float] = field(default_factory=lambda: [512, 512])
 
     @staticmethod

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringlake.functions.naming import base_name, scan_value
+from ringlake.sources.files import write_files
 
 # Fixed values of the TIFF format: tags, field types (code and bytes), compression and sample kinds.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, COUNTS, PREDICTOR, KIND = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 339
@@ -178,6 +179,23 @@ def read_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return frames.select(F.xxhash64("path").alias("frame_id"), "path", base_name(F.col("path")).alias("filename"), scan_value(base_name(F.col("path"))).alias("xps_value"), "height", "width", "dtype", "pixels", "error")
 
 
+def write_frames(frames: DataFrame, path: str, dtype: str = "float64", compress: bool = True) -> int:
+    """Each frame as ``filename``.tiff in the folder ``path``, written by its task; returns the number of files.
+
+    Missing pixels are NaN, which integer types don't have: they are an error then.
+    """
+
+    def content(row) -> bytes:
+        values = np.array([np.nan if v is None else v for v in row.pixels], dtype=float)
+        kind = np.dtype(dtype)
+        if kind.kind != "f" and np.isnan(values).any():
+            raise ValueError(f"{row.filename} has missing pixels, which {dtype} can't hold")
+        return encode(values.reshape(row.height, row.width).astype(kind), compress)
+
+    rows = frames.select("height", "width", "pixels", F.concat("filename", F.lit(".tiff")).alias("filename"))
+    return write_files(rows, path, "filename", content)
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path) of the TIFF files of a folder; contents stay unread."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path).select("path")

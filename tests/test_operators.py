@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ringlake.operators import background as bg
 from ringlake.operators import centroid, fitting, grouping, lookups, morphology, outliers, radial, summary
-from ringlake.operators.frames import normalise, require_one_shape, shift, subtract, to_frames, to_pixels
+from ringlake.operators.frames import normalise, require_one_shape, require_pixels, shift, subtract, to_frames, to_pixels
 from ringlake.operators.masking import apply_masks
 from ringlake.plans.pipeline import Settings, process_frames, screening_image, split_failures
 
@@ -286,6 +286,61 @@ def test_files_without_a_scan_token_are_left_out(spark):
     assert {r.xps_value: r.n_patterns for r in grouping.pattern_summary(files).collect()} == {1.5: 2, 0.25: 1, None: 3}
 
 
+def test_clusters_against_a_flood(frames_of):
+    """Random hits in many frames, among them spirals and combs, whose clusters join late."""
+    rng = np.random.default_rng(8)
+    arrays = [(rng.random((13, 17)) < p).astype(float) for p in (0.0, 0.2, 0.45, 0.6, 0.9, 1.0) for _ in range(4)]
+    comb = np.zeros((13, 17))
+    comb[:, ::2] = 1
+    comb[-1] = 1
+    arrays += [comb, comb[::-1], comb[:, ::-1]]
+    want = set()
+    for i, a in enumerate(arrays):
+        left = {tuple(map(int, q)) for q in np.argwhere(a > 0)}
+        while left:
+            first = min(left)
+            found, stack = {first}, [first]
+            while stack:
+                r, c = stack.pop()
+                near = {(r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)} & left - found
+                found |= near
+                stack += near
+            left -= found
+            want |= {(i, r, c, *first) for r, c in found}
+    got = morphology.clusters(to_pixels(frames_of(arrays)).where("v > 0"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_places_in_groups_of_any_size(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([1.0] * 8 + [2.0, None]), f"f{i:05d}") for i in range(3000)]
+    files = spark.createDataFrame(rows, "xps_value double, path string")
+    got = {r.path: (r["__k"], r["__size"]) for r in grouping.placed(files, "xps_value", "path").collect()}
+    for g in (1.0, 2.0, None):
+        names = sorted(p for x, p in rows if x == g)
+        assert [got[p] for p in names] == [(k, len(names)) for k in range(len(names))]
+
+
+def test_parameters_are_refused_before_a_plan_is_made(frames_of):
+    for bad in ({"ring": (5, 2)}, {"radius": 0}, {"bins": 0}, {"sigma": -1.0}, {"ratio": 2.0}, {"sample": 0}, {"height": 0}):
+        with pytest.raises(ValueError):
+            Settings(**{"height": 4, "width": 4, "guess": (1.0, 1.0), **bad})
+    p = to_pixels(frames_of([np.ones((6, 8))]))
+    for make in (outliers.mad_chunk_filter, outliers.sigma_chunk_filter, bg.filtered_background):
+        with pytest.raises(ValueError):
+            make(p, 4, shape=(6, 8))
+        assert make(p, 2, shape=(6, 8)).count() == 48
+    with pytest.raises(Exception, match="no pixels"):
+        require_pixels(frames_of([np.ones((2, 2))]).withColumn("pixels", F.lit(None).cast("array<double>"))).collect()
+
+
+def test_exact_profile_has_all_bins_of_every_frame(frames_of, spark):
+    f = frames_of([np.ones((8, 8)), np.ones((8, 8))])
+    centres = spark.createDataFrame([(0, 3.0, 3.0), (1, 100.0, 100.0), (7, 3.0, 3.0)], "frame_id long, center_x double, center_y double")
+    got = radial.azimuthal_average_exact(to_pixels(f), centres, 3, 3).collect()
+    assert sorted((r.frame_id, r.bin, r.mean) for r in got) == [(i, b, 1.0 if i == 0 else 0.0) for i in (0, 1, 7) for b in range(3)]
+
+
 def test_selections(spark):
     groups = spark.createDataFrame([(2.0, 5), (1.0, 5), (3.0, 4)], "xps_value double, n_files long")
     longest = grouping.longest_group(groups)

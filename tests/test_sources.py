@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringlake.operators import lookups
+from ringlake.plans import run
 from ringlake.plans.pipeline import Settings, process_frames, run_directory, split_failures
 from ringlake.sources import masks, results, tiff
 from ringlake.streaming.frames import append_results, frame_stream
@@ -95,6 +96,63 @@ def test_run_of_a_folder(spark, folder, tmp_path_factory):
         run_directory(spark, str(folder), out, *constants(spark), SETTINGS)
 
 
+def test_masks_of_a_folder(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    grey = {f"m{i}.png": rng.integers(0, 256, (3 + i, 5), dtype=np.uint8) for i in range(3)}
+    for name, g in grey.items():
+        (tmp_path / name).write_bytes(masks.encode_png(g))
+    (tmp_path / "broken.PNG").write_bytes(b"\x89PNG")
+    found = masks.read_masks(spark, str(tmp_path)).cache()
+    assert sorted((r.path.rsplit("/", 1)[-1], r.error is None) for r in found.collect()) == [("broken.PNG", False), ("m0.png", True), ("m1.png", True), ("m2.png", True)]
+    rows = masks.mask_pixels(found).collect()
+    assert len(rows) == 5 * (3 + 4 + 5) and all(r.keep == int(grey[r.path.rsplit("/", 1)[-1]][r.r, r.c] >= 128) for r in rows)
+
+
+def constant(spark, a, name):
+    return spark.createDataFrame([(name, *a.shape, [float(v) for v in a.ravel()])], "filename string, height int, width int, pixels array<double>")
+
+
+def test_background_and_masks_are_found(spark, tmp_path):
+    """Default names beside the results; the first file of another folder; corners without masks; errors by name."""
+    out, other, empty = (tmp_path / x for x in ("out", "other", "empty"))
+    empty.mkdir()
+    level = np.arange(16.0).reshape(4, 4)
+    tiff.write_frames(constant(spark, level, "background"), str(out))
+    tiff.write_frames(constant(spark, level + 1, "b"), str(other))
+    tiff.write_one(level + 2, str(other / "c"))
+    of = lambda rows, name: {(r.r, r.c): r[name] for r in rows.collect()}
+    config = results.RunConfig(str(out), "default", "default")
+    assert of(run.resolve_background(spark, config, 4, 4), "bg")[1, 2] == 6.0
+    assert of(run.resolve_background(spark, results.RunConfig(str(out), str(other), "default"), 4, 4), "bg")[1, 2] == 7.0
+    with pytest.raises(FileNotFoundError):
+        run.resolve_background(spark, results.RunConfig(str(out), str(empty), ""), 4, 4)
+    with pytest.raises(FileNotFoundError):
+        run.resolve_background(spark, results.RunConfig(str(empty), "default", ""), 4, 4)
+    with pytest.raises(Exception, match="not 5 x 4"):
+        run.resolve_background(spark, config, 5, 4).collect()
+    corners = of(lookups.corner_masks(spark, 4, 4, 2), "bkg")
+    assert of(run.resolve_masks(spark, config, 4, 4), "bkg") == corners
+    assert of(run.resolve_masks(spark, results.RunConfig(str(out), "", str(tmp_path / "nowhere")), 4, 4), "keep") == dict.fromkeys(corners, 1)
+    keep = (level > 3).astype(np.uint8)
+    tiff.write_one(keep, str(out / "data_mask"))
+    assert of(run.resolve_masks(spark, config, 4, 4), "keep")[0, 1] == 0 and of(run.resolve_masks(spark, config, 4, 4), "bkg") == corners
+    tiff.write_one(1 - keep, str(out / "background_mask"))
+    assert of(run.resolve_masks(spark, config, 4, 4), "bkg")[0, 1] == 1
+
+
+def test_configured_run_and_merged_groups(spark, folder, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("configured"))
+    tiff.write_one(np.zeros((16, 16)), f"{out}/background")
+    config = results.RunConfig(out, "default", "default", center_fitting_param=[1, 6, 8, 8], azimuthal_avg_param=[6, 3])
+    made = run.run_configured(spark, config, str(folder), 16, 16)
+    assert results.load_results(spark, f"{made}/results", 3).count() == 9
+    frames = tiff.read_frames(spark, str(folder)).where("error IS NULL")
+    merged = run.merged_frames(frames, large=2, gap=0.15)
+    assert merged.columns == frames.columns and {round(r.xps_value, 9) for r in merged.collect()} == {1.1} and merged.count() == 9
+    assert {r.xps_value for r in run.merged_frames(frames, large=2, gap=0.01, first=2).collect()} == {1.0, 1.1}
+    assert run.process_merged(frames, *constants(spark), SETTINGS, large=2, gap=0.01, first=1).where("error IS NULL").count() == 3
+
+
 def test_results_append_and_report(spark, tmp_path):
     rows = [("a", 1.0, 2.0, 3.0, 1.5, [1.0, None]), ("b", 3.0, 2.0, 3.0, 1.5, [3.0, 1.0])]
     r = spark.createDataFrame(rows, "filename string, center_x double, center_y double, total_count double, xps_value double, radial_profile array<double>")
@@ -116,6 +174,18 @@ def test_configuration(spark, tmp_path):
     assert results.load_config(spark, str(tmp_path / "config")) == given
 
 
+def test_a_batch_that_is_run_again_replaces_itself(spark, folder, tmp_path_factory):
+    """A batch whose results were written but not committed comes again under its number."""
+    base = tmp_path_factory.mktemp("replay")
+    process = lambda batch: split_failures(process_frames(batch.where("xps_value IS NOT NULL"), *constants(spark), SETTINGS))[0].drop("frame_id")
+    append_results(frame_stream(spark, str(folder), 4), process, str(base / "out"), 3, str(base / "cp")).awaitTermination()
+    last = max((base / "cp/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for f in (last, last.with_name(f".{last.name}.crc")):
+        f.unlink(missing_ok=True)
+    append_results(frame_stream(spark, str(folder), 4), process, str(base / "out"), 3, str(base / "cp")).awaitTermination()
+    assert results.load_results(spark, str(base / "out"), 3).count() == 9
+
+
 def test_stream_of_files(spark, folder, tmp_path_factory):
     base = tmp_path_factory.mktemp("stream")
 
