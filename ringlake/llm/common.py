@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ringlake.sources.scratch import checkpoint, new_folder
+
+__all__ = ["checkpoint", "crc_mod", "hashed_bits", "hex16", "labelled_sample", "map_texts", "new_folder", "packed_bits", "segment_sum", "slices", "starts_of", "table"]
+
 #: The word of all contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,32 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, as a URI, which the whole cluster shares.
-
-    Where that is unset and driver and executors are one process (tests, a single machine), a
-    temporary folder is set; on a cluster, whose executors couldn't see it, that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    folder = folder if ":" in folder else f"file://{folder}"
-    return folder.replace("file:///", "file:/").replace("file:/", "file:///")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write the rows to the cluster's shared checkpoint folder and cut the lineage there.
-
-    Spark deletes a checkpoint when its rows can no longer be used, if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def crc_mod(column, modulus: int):
     """crc32 of the value as text, modulo ``modulus``; null gives the crc of the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

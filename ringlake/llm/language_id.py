@@ -249,7 +249,7 @@ def predict(docs: DataFrame, model: LanguageModel, penalty: float = 6.0, carry:
             names = [m.languages[b] if n else UNDECIDED for b, n in zip(best, np.diff(starts))]
         out = [pa.array(names, pa.string()), pa.array(share, pa.float64())]
         if spans:
-            out.append(pa.array([_spans(labels[a:b], m.languages) for a, b in zip(starts, starts[1:])] if len(labels) else [[]] * len(texts), SPAN_TYPE))
+            out.append(_spans(labels, starts, m.languages))
         return out
 
     schema = "lang_pred string, score double" + (", spans array<struct<first:int,last:int,lang:string>>" if spans else "")
@@ -260,9 +260,14 @@ def predict(docs: DataFrame, model: LanguageModel, penalty: float = 6.0, carry:
 SPAN_TYPE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
 
 
-def _spans(labels: np.ndarray, languages: Sequence[str]) -> list[dict]:
+def _spans(labels: np.ndarray, starts: np.ndarray, languages: Sequence[str]) -> pa.Array:
+    """The runs of equal label of each text, as lists of SPAN_TYPE."""
     if not len(labels):
-        return []
-    cuts = np.flatnonzero(np.diff(labels)) + 1
-    bounds = [0, *cuts.tolist(), len(labels)]
-    return [{"first": a, "last": b - 1, "lang": languages[labels[a]]} for a, b in zip(bounds, bounds[1:])]
+        return pa.array([[]] * (len(starts) - 1), SPAN_TYPE)
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    cuts = np.flatnonzero((np.diff(labels) != 0) | (np.diff(owner) != 0)) + 1
+    first, beyond = np.append(0, cuts), np.append(cuts, len(labels))
+    base = starts[owner[first]]
+    names = pa.DictionaryArray.from_arrays(pa.array(labels[first].astype(np.int32)), pa.array(languages, pa.string())).cast(pa.string())
+    runs = pa.StructArray.from_arrays([pa.array((first - base).astype(np.int32)), pa.array((beyond - 1 - base).astype(np.int32)), names], fields=list(SPAN_TYPE.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, starts).astype(np.int32)), runs)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -13,7 +12,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringlake.llm.common import segment_sum, shared_folder, slices, starts_of
+from ringlake.llm.common import new_folder, segment_sum, slices, starts_of
 
 #: Tokens are characters; an n-gram of any order is counted under a 64-bit key of its own.
 ORDER = 5
@@ -295,7 +294,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     flagged = docs.select("doc_id", text.alias("text")).join(ids, F.col("doc_id") == F.col("__t"), "left")
-    folder = f"{shared_folder(docs.sparkSession)}/lm-{uuid.uuid4().hex}"
+    folder = new_folder(docs.sparkSession, "lm")
     placed = _in_slices(flagged.select("doc_id", "text", F.col("__t").isNotNull().cast("int").alias("target")))
     placed.write.parquet(f"{folder}/texts")
     texts = docs.sparkSession.read.schema(placed.schema).parquet(f"{folder}/texts")

@@ -11,8 +11,8 @@ from ringlake.llm.simhash_dedup import near_duplicates
 
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = language_id.predict(docs, language_id.train(docs))
-    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = language_id.predict(docs, language_id.train(docs), spans=True)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op2_lm_scoring(spark, sf_dir):

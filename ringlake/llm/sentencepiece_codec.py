@@ -27,6 +27,7 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE_CHUNKS = 400_000
 BATCH_CHARS = 200_000
+BLOCK_CHARS = 400_000
 #: Longer chunks are relaxed one by one with a heap, the others together round by round.
 LONG = 48
 NONE = np.iinfo(np.int32).max
@@ -133,8 +134,20 @@ def edges(model: PieceModel, codes: np.ndarray) -> np.ndarray:
 
     ``codes`` are the concatenated chunks with code point 0 between them. The suffix array
     orders positions by as many characters as the longest piece has; a piece's occurrences
-    are one range of it. Writing the edges into the table orders them by position.
+    are one range of it. Writing the edges into the table orders them by position. Suffixes of
+    BLOCK_CHARS positions are indexed at a time: an edge needs no more than the longest piece
+    beyond them.
     """
+    longest = model.symbols.shape[1]
+    if len(codes) <= BLOCK_CHARS:
+        return _edges_of_block(model, codes)
+    table = np.empty((len(codes), longest + 1), dtype=np.int32)
+    for a in range(0, len(codes), BLOCK_CHARS):
+        table[a : a + BLOCK_CHARS] = _edges_of_block(model, codes[a : a + BLOCK_CHARS + longest])[:BLOCK_CHARS]
+    return table
+
+
+def _edges_of_block(model: PieceModel, codes: np.ndarray) -> np.ndarray:
     longest = model.symbols.shape[1]
     numbers = model.char_number[codes]
     present = np.flatnonzero(np.bincount(numbers, minlength=1)[1:]) + 1

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringlake.llm.common import slices, starts_of
+from ringlake.llm.common import SLICE_CHARS, slices, starts_of
 
 #: The default rank file's place and the pre-token pattern that goes with it.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -53,9 +53,9 @@ class TokenTree:
     leaves of a block or a few and the sums on the paths from them to the root.
     """
 
-    def __init__(self, text: str, tokens: list[str], counts: np.ndarray):
+    def __init__(self, text: str, chars: Sequence[int], counts: np.ndarray):
         self.text = text
-        self.chars = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        self.chars = np.asarray(chars, dtype=np.int64)
         self.tokens = counts
         self.recoded = 0
         self._build()
@@ -159,7 +159,7 @@ def trees(counter: Counter, texts: Sequence[str | None]) -> Iterable[TokenTree]:
     starts = starts_of([len(x) for x in lists])
     counts = counter.counts([t for x in lists for t in x])
     for i, t in enumerate(texts):
-        yield TokenTree(t or "", lists[i], counts[starts[i] : starts[i + 1]])
+        yield TokenTree(t or "", list(map(len, lists[i])), counts[starts[i] : starts[i + 1]])
 
 
 def count_tokens(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
@@ -195,6 +195,46 @@ def count_tokens(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) ->
     return source.mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long, n_tokens_edited long, n_recoded long")
 
 
+TREES = "text string, chars array<int>, tokens array<int>"
+
+
+def tree_table(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """doc_id and a tree of each document as a row: its text, and characters and tokens of its pre-tokens.
+
+    The rows can be kept as a table; `apply_edits` goes on from them, so that only what later
+    edits touch is encoded again, in whatever job. Null texts count as empty.
+    """
+    return _edited_trees(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(None).cast("array<int>").alias("chars"), F.lit(None).cast("array<int>").alias("tokens"), F.array().cast(EDIT_TYPE).alias("edits")), path, pattern).drop("n_recoded")
+
+
+def apply_edits(trees: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """The rows of `tree_table` (doc_id, text, chars, tokens), which have ``edits``, after those edits; and n_tokens, n_recoded."""
+    return _edited_trees(trees.select("doc_id", "text", "chars", "tokens", F.col("edits").cast(EDIT_TYPE).alias("edits")), path, pattern)
+
+
+def _edited_trees(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(load_ranks(path))
+
+    def run(batches):
+        counter = Counter(shared.value, pattern)
+        for batch in batches:
+            for a, b in slices(batch.column("text"), SLICE_CHARS // 4):
+                part = batch.slice(a, b - a)
+                texts = part.column("text").to_pylist()
+                made = []
+                for text, chars, tokens, edits in zip(texts, *(part.column(c).to_pylist() for c in ("chars", "tokens", "edits"))):
+                    tree = next(iter(trees(counter, [text]))) if chars is None or tokens is None else TokenTree(text or "", chars, np.array(tokens, dtype=np.int64))
+                    for e in edits or []:
+                        if e is not None:
+                            tree.edit(counter, e["start"] or 0, e["length"] or 0, e["text"] or "")
+                    made.append(tree)
+                lists = [pa.array([getattr(t, c).tolist() for t in made], pa.list_(pa.int32())) for c in ("chars", "tokens")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([t.text for t in made], pa.string()), *lists, pa.array([t.total for t in made], pa.int64()), pa.array([t.recoded for t in made], pa.int64())], names=["doc_id", "text", "chars", "tokens", "n_tokens", "n_recoded"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, {TREES}, n_tokens long, n_recoded long")
+
+
 def revision(docs: DataFrame) -> DataFrame:
     """The documents with three edits each: a replacement, an insertion inside the text, and a cut at its end."""
     n = F.coalesce(F.length("text"), F.lit(0))

@@ -78,6 +78,8 @@ def test_spans_of_a_mixed_text(docs_of):
     assert [s.lang for s in r.spans] == ["xx", "yy", "zz"] and r.spans[0].first == 0 and r.spans[-1].last == 59
     assert abs(r.spans[0].last - 29) <= 1 and abs(r.spans[1].last - 49) <= 1
     assert r.lang_pred == "xx" and r.score == pytest.approx(0.5, abs=0.05)
+    several = language_id.predict(docs_of([(1, None), (2, "ba kur"), (3, "12"), (4, text), (5, "ba")]), model, spans=True).collect()
+    assert [[(s.first, s.last) for s in r.spans][-1:] for r in several] == [[], [(0, 1)], [], [(r.spans[-1].first, 59) for r in [several[3]]], [(0, 0)]]
 
 
 def test_language_edge_cases(docs_of):

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF) or not os.path.exists(sentencepiece_codec.MODEL), reason="no test tables or tokenizer files here")
 
 COLUMNS = {
-    "op1": ["doc_id", "held_out", "lang_pred", "score"],
+    "op1": ["doc_id", "held_out", "lang_pred", "score", "spans"],
     "op2": ["doc_id", "score"],
     "op3": ["pair_id", "n_prefix", "prompt", "chosen", "chosen_spans", "rejected", "rejected_spans"],
     "op4": ["doc_id", "fingerprint", "component_id"],

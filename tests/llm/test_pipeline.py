@@ -7,7 +7,7 @@ import re
 import pytest
 from test_language_and_models import SYLLABLES, sentence
 from test_native_operators import by_hand, mix_by_hand
-from test_near_duplicates import groups_by_hand
+from test_shingle_dedup import kept_by_hand
 
 import corpus_pipeline
 from ringlake.llm import sentencepiece_codec
@@ -28,6 +28,9 @@ def corpus(rng):
     rows = [(i, sentence(rng, langs[i % 3], rng.randint(25, 60)), langs[i % 3], rng.choice(["a", "b", "b", None])) for i in range(60)]
     rows += [(100 + i, rows[i][1], rows[i][2], "b") for i in range(6)]  # copies
     rows += [(110 + i, rows[20 + i][1].upper(), rows[20 + i][2], "a") for i in range(3) if rows[20 + i][2] != "zz"]  # equal but for case
+    for i in range(6):  # near copies: two words of fifty changed
+        words = sentence(rng, langs[i % 3], 60).split()
+        rows += [(120 + 2 * i, " ".join(words), langs[i % 3], "b"), (121 + 2 * i, " ".join([*words[:-1], "ba"]), langs[i % 3], "a")]
     rows += [(200, None, "xx", "a"), (201, "", "xx", "a"), (202, "12 34 -- " * 30, "xx", "a"), (203, "ba bo ti", "xx", "a"), (204, "ba bo ti ta " * 20, "xx", "b")]
     rng.shuffle(rows)
     return rows
@@ -39,8 +42,8 @@ def by_brute_force(rows):
     rows = [r for r in rows if re.search(r"[^\W\d_]", r[1] or "")]
     stats = [by_hand(t) for _, t, _, _ in rows]
     rows = [r for r, (n, *_, repeated) in zip(rows, stats) if n >= 20 and 100 * repeated <= 30 * n]
-    groups = groups_by_hand([(i, t) for i, t, _, _ in rows])
-    rows = [r for k, r in enumerate(rows) if groups[k][1] == r[0]]
+    stays = kept_by_hand([(i, t) for i, t, _, _ in rows])
+    rows = [r for r in rows if r[0] in stays]
     _, taken = mix_by_hand([(i, t, s) for i, t, _, s in rows])
     encode = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL).encode
     return sorted((i, s or "", encode(t)) for i, t, _, s in rows for _ in range(taken[s, i] // len(t.split())))

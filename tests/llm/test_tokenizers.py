@@ -50,6 +50,13 @@ def test_short_and_long_chunks_agree(library, model, monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [library.encode(t) for t in texts]
 
 
+def test_blocks_of_positions_change_nothing(library, model, monkeypatch):
+    texts = [*random_texts(5, 40, "abcdehilnorstu éß.\n"), "thequickbrown" * 300]
+    monkeypatch.setattr(sentencepiece_codec, "BLOCK_CHARS", 61)
+    ids, starts = sentencepiece_codec.Codec(model).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [library.encode(t) for t in texts]
+
+
 def test_many_characters_use_wide_keys(library, model):
     letters = [chr(c) for c in np.flatnonzero(model.char_number)]
     text = " ".join("".join(random.Random(i).choices(letters, k=9)) for i in range(400))
@@ -118,3 +125,21 @@ def test_count_tokens_tables(spark, docs_of, counter):
     odd = spark.createDataFrame([(1, "abc def", [None, (None, None, None), (4, 100, "x")])], "doc_id long, text string, edits array<struct<start:int,length:int,text:string>>")
     assert token_counts.count_tokens(odd).collect()[0].n_tokens_edited == len(counter.encoding.encode_ordinary("abc x"))
     assert token_counts.count_tokens(docs_of([])).count() == 0
+
+
+def test_trees_are_kept_as_rows(spark, docs_of, counter):
+    """Edits applied in two jobs, the trees a table in between, count like the final text and encode little."""
+    rng = random.Random(14)
+    rows = [(i, t) for i, t in enumerate([None, "", "one two three", *random_texts(6, 20, "abc dé.,12\n'")])] + [(50, "many words here " * 4000)]
+    trees = token_counts.tree_table(docs_of(rows))
+    now = {i: t or "" for i, t in rows}
+    for _ in range(2):
+        edits = {i: [(rng.randint(0, len(t)), rng.randint(0, 5), rng.choice(["", "new ", "x1", "'s"]))] for i, t in now.items()}
+        table = spark.createDataFrame([(i, [dict(zip(("start", "length", "text"), x)) for x in e]) for i, e in edits.items()], f"doc_id long, edits {token_counts.EDIT_TYPE}")
+        trees = token_counts.apply_edits(trees.join(table, "doc_id"))
+        now = {i: t[: edits[i][0][0]] + edits[i][0][2] + t[edits[i][0][0] + edits[i][0][1] :] for i, t in now.items()}
+    got = {r.doc_id: r for r in trees.collect()}
+    for i, t in now.items():
+        words = counter.split(t)
+        assert (got[i].text, got[i].chars, got[i].n_tokens) == (t, [len(w) for w in words], int(counter.counts(words).sum()))
+    assert got[50].n_recoded < 20 and token_counts.tree_table(docs_of([])).count() == 0
