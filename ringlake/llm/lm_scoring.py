@@ -19,7 +19,8 @@ ORDER = 5
 SMOOTHING = 4.0
 #: Stands before the start of a text; no character has this code.
 START = 0x110000
-LOOK_CHARS = 100_000
+#: Characters that are counted at once, and scored at once: small enough for a core's cache there.
+LOOK_CHARS, SCORE_CHARS = 500_000, 40_000
 #: Distinct n-grams that a counting task holds before it sends them on.
 HELD_GRAMS = 2_000_000
 #: Distinct n-grams of a slice that a scoring task holds at once.
@@ -311,7 +312,7 @@ def _scored(texts: DataFrame, totals: Totals, folder: str) -> DataFrame:
     def work(batches) -> Iterator[pa.RecordBatch]:
         answers = None
         for batch in batches:
-            for a, b in slices(batch.column("text"), LOOK_CHARS):
+            for a, b in slices(batch.column("text"), SCORE_CHARS):
                 piece = batch.slice(a, b - a)
                 place = np.column_stack([piece.column(c).to_numpy() for c in ("part", "slice")])
                 cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
