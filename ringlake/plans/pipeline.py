@@ -6,6 +6,7 @@ runs small array kernels on it, a frame at a time, for frames of a million pixel
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -217,15 +218,17 @@ def screening_image(frames: DataFrame, background: DataFrame, s: Settings, k: in
     return bg.mean_image(remove_background(to_pixels(some), background, stats, s.sigma, s.ratio), skip_missing)
 
 
-def run_directory(spark: SparkSession, path: str, out: str, background: DataFrame, masks: DataFrame, s: Settings) -> None:
+def run_directory(spark: SparkSession, path: str, out: str, background: DataFrame, masks: DataFrame, s: Settings, process: Callable[..., DataFrame] = process_frames) -> None:
     """Read a folder of TIFF files, process every group in one job, and write results and failures.
 
+    ``process`` is the form of the chain: `process_frames`, or `process_pixels`.
+
     The output folder must not exist: a run never mixes with another. Files that can't be
     read and frames that can't be processed are in the failures; the others go on. Every file
     is decoded once: ``out/all`` has a row for each, and results and failures come from it.
     """
     frames = read_frames(spark, path).where("xps_value IS NOT NULL")
-    process_frames(frames, background, masks, s).write.mode("errorifexists").parquet(f"{out}/all")
+    process(frames, background, masks, s).write.mode("errorifexists").parquet(f"{out}/all")
     done, failed = split_failures(spark.read.schema(RESULT).parquet(f"{out}/all"))
     save_results(done.drop("frame_id"), f"{out}/results", s.bins, mode="errorifexists")
     save_failures(failed, f"{out}/failed")

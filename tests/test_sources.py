@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ringlake.operators import lookups
 from ringlake.plans import run
-from ringlake.plans.pipeline import Settings, process_frames, run_directory, split_failures
+from ringlake.plans.pipeline import Settings, process_frames, process_pixels, run_directory, split_failures
 from ringlake.sources import masks, results, tiff
 from ringlake.streaming.frames import append_results, frame_stream
 
@@ -94,6 +94,10 @@ def test_run_of_a_folder(spark, folder, tmp_path_factory):
     assert [r.filename for r in lost] == ["Cam-9_xps1.00_scan.tiff"]
     with pytest.raises(Exception, match="(?i)exist"):
         run_directory(spark, str(folder), out, *constants(spark), SETTINGS)
+    run_directory(spark, str(folder), f"{out}2", *constants(spark), SETTINGS, process=process_pixels)
+    other = {r.filename: r for r in results.load_results(spark, f"{out}2/results", 3).collect()}
+    assert len(other) == 9 and all(abs(other[r.filename].center_x - r.center_x) < 1e-9 for r in rows)
+    assert spark.read.option("header", True).csv(f"{out}2/failed").count() == 1
 
 
 def test_masks_of_a_folder(spark, tmp_path):
