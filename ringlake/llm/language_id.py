@@ -73,7 +73,10 @@ def word_features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
             fits &= at != begin[owner]
         buckets.append(mixed[fits] >> np.uint64(64 - BITS))
         owners.append(owner[fits])
-    whole = np.bitwise_xor.reduceat(mixed * (at - begin[owner] + 1).astype(np.uint64), begin) * np.uint64(0xC2B2AE3D27D4EB4F)
+    # of single characters: longer grams at a word's end would see the next word
+    single = codes[: len(owner)] * np.uint64(0x9E3779B97F4A7C15)
+    single ^= single >> np.uint64(29)
+    whole = np.bitwise_xor.reduceat(single * (2 * (at - begin[owner]) + 1).astype(np.uint64), begin) * np.uint64(0xC2B2AE3D27D4EB4F)
     buckets.append(whole >> np.uint64(64 - BITS))
     owners.append(np.arange(len(words)))
     return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
@@ -105,7 +108,10 @@ def train(docs: DataFrame, per_language: int = 3000) -> LanguageModel:
 
     ``per_language`` bounds the sample: each language gives about so many of its documents,
     chosen by the hash of their id, or all if it has fewer. The model holds 2^BITS numbers a
-    language. Feature counts are added up in tasks before they are shuffled.
+    language, whatever the corpus holds: features that share a bucket share their count, which
+    blurs rare n-grams. The sample's bound keeps the features few for that; a word has some
+    twenty, so that one shared bucket seldom decides. Feature counts are added up in tasks
+    before they are shuffled.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     sizes = usable.groupBy("lang").count().collect()  # a row for each language

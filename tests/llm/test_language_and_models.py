@@ -82,6 +82,36 @@ def test_spans_of_a_mixed_text(docs_of):
     assert [[(s.first, s.last) for s in r.spans][-1:] for r in several] == [[], [(0, 1)], [], [(r.spans[-1].first, 59) for r in [several[3]]], [(0, 0)]]
 
 
+def test_word_scores_and_score_against_a_loop(docs_of):
+    """Log-probabilities of features added up word by word; score is the share of the language times its probability."""
+    rng = random.Random(5)
+    rows = corpus(rng)
+    model = language_id.train(docs_of(rows))
+    seen = {x: Counter() for x in model.languages}
+    for i, t, x, _ in rows:
+        if x and crc32(str(i).encode()) % 4 != 2:
+            for w in language_id.words_of(t):
+                seen[x].update(language_id.word_features([w])[0].tolist())
+    size = 1 << language_id.BITS
+    log_p = {x: lambda b, n=n: math.log((n[b] + 0.5) / (sum(n.values()) + 0.5 * size)) for x, n in seen.items()}
+    latin = ["xx", "yy"]  # the languages whose training words are in Latin script
+
+    def scores(w):
+        return {x: sum(log_p[x](b) for b in language_id.word_features([w])[0].tolist()) / language_id.MAX_GRAM for x in latin}
+
+    words = sentence(rng, "xx", 12).split() + sentence(rng, "yy", 5).split()
+    got, known = model.score(words)
+    assert known.all()
+    for w, g in zip(words, got):
+        s = scores(w)
+        assert g[:2] == pytest.approx([s[x] - max(s.values()) for x in latin], abs=1e-3)
+    r = language_id.predict(docs_of([(1, " ".join(words))]), model, penalty=0.0).collect()[0]
+    best = [max(latin, key=scores(w).get) for w in words]
+    total = {x: sum(scores(w)[x] for w, b in zip(words, best) if b == "xx") for x in latin}
+    p = 1 / (1 + math.exp(total["yy"] - total["xx"]))
+    assert r.lang_pred == "xx" and r.score == pytest.approx(best.count("xx") / len(words) * p, abs=1e-3)
+
+
 def test_language_edge_cases(docs_of):
     model = language_id.train(docs_of(corpus(random.Random(2))))
     rows = [(1, None), (2, ""), (3, "12 -- 3!"), (4, "ქართული"), (5, "tibata " * 30_000), (None, "tibata"), (6, "tibata"), (6, "tibata"), (7, "b" * 50_000)]
