@@ -25,8 +25,9 @@ def group_sizes(files: DataFrame) -> DataFrame:
 
 
 def group_files(files: DataFrame) -> DataFrame:
-    """(xps_value, n_files, paths): each group's paths in order. Lists of names, not of frames."""
-    return listed(files).where("xps_value IS NOT NULL").groupBy("xps_value").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list("path")).alias("paths"))
+    """(xps_value, place, path, n_files): the files of each group, numbered from 0 in order of their paths; a row a file, so groups of any size."""
+    known = placed(listed(files).where("xps_value IS NOT NULL").select("xps_value", "path"), "xps_value", "path")
+    return known.select("xps_value", F.col("__k").alias("place"), "path", F.col("__size").alias("n_files"))
 
 
 def pattern_summary(files: DataFrame) -> DataFrame:

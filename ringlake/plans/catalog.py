@@ -568,7 +568,8 @@ def date_groups(spark, sf_dir):
 
 @query("a11_group_files", f"WITH {FRAMES_SQL} SELECT xps_text::DOUBLE AS xps_value, count(*) AS n_files, min('/data/run/' || filename || '.tiff') AS first_path, max('/data/run/' || filename || '.tiff') AS last_path FROM frames GROUP BY 1")
 def a11(spark, sf_dir):
-    return grouping.group_files(files(spark, sf_dir)).select("xps_value", "n_files", F.element_at("paths", 1).alias("first_path"), F.element_at("paths", -1).alias("last_path"))
+    ends = [F.max(F.when(F.col("place") == at, F.col("path"))).alias(name) for at, name in ((0, "first_path"), (F.col("n_files") - 1, "last_path"))]
+    return grouping.group_files(files(spark, sf_dir)).groupBy("xps_value", "n_files").agg(*ends)
 
 
 @query("a14_pattern_counts", f"WITH {FRAMES_SQL} SELECT xps_text::DOUBLE AS xps_value, count(*) AS n_files, count(DISTINCT vec_id_ % 3) AS n_patterns FROM (SELECT *, frame_id AS vec_id_ FROM frames) GROUP BY ROLLUP (1)")

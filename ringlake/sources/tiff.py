@@ -28,28 +28,44 @@ CLEAR, END, FIRST = 256, 257, 258
 FRAMES = "frame_id long, path string, filename string, height int, width int, dtype string, pixels array<double>, error string"
 
 
+def _code_widths(n: int) -> np.ndarray:
+    """Bits of the first ``n`` codes after a clear code: each but the first adds a word to the table, and codes widen one early."""
+    size = FIRST + np.maximum(np.arange(n) - 1, 0) + 1
+    return 9 + sum((size >= 1 << k).astype(np.int64) for k in (9, 10, 11))
+
+
 def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, highest first, widening one code early."""
-    table: list[bytes] = []
-    out, width, hold, held, before = [], 9, 0, 0, b""
-    for byte in data:
-        hold, held = (hold << 8) | byte, held + 8
-        if held < width:
+    """Codes of 9 to 12 bits, highest first, widening one code early.
+
+    Widths depend on places only, so all codes up to the next clear code are cut out of the
+    bytes at once.
+    """
+    padded = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
+    words32 = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
+    single = [bytes([i]) for i in range(256)] + [b"", b""]
+    out: list[bytes] = []
+    at, end, ahead = 0, 8 * len(data), 4096
+    while at < end:
+        widths = _code_widths(min(ahead, (end - at) // 9 + 1))
+        places = at + np.cumsum(widths) - widths
+        widths = widths[places + widths <= end]
+        places = places[: len(widths)]
+        codes = (words32[places >> 3] >> (32 - widths - (places & 7)).astype(np.uint32)) & ((1 << widths) - 1).astype(np.uint32)
+        marks = np.flatnonzero((codes == CLEAR) | (codes == END))
+        if not len(marks) and len(codes) == ahead:
+            ahead *= 2  # a table that isn't cleared when it is full
             continue
-        held -= width
-        code = hold >> held
-        hold &= (1 << held) - 1
-        if code == END:
+        stop = int(marks[0]) if len(marks) else len(codes)
+        table, before = list(single), b""
+        for code in codes[:stop].tolist():
+            word = table[code] if code < len(table) else before + before[:1]
+            out.append(word)
+            if before:
+                table.append(before + word[:1])
+            before = word
+        if stop == len(codes) or codes[stop] == END:
             break
-        if code == CLEAR:
-            table, width, before = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        word = table[code] if code < len(table) else before + before[:1]
-        out.append(word)
-        if before:
-            table.append(before + word[:1])
-        before = word
-        width = max(9, (len(table) + 1).bit_length()) if len(table) + 1 < 4096 else 12
+        at = int(places[stop] + widths[stop])
     return b"".join(out)
 
 
