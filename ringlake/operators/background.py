@@ -42,14 +42,18 @@ def centre_box(statistics: DataFrame, x: float, y: float, size: int = CENTRE_BOX
     return statistics.withColumns({c: F.when(~inside, F.col(c)) for c in columns})
 
 
-def sample_frames(frames: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
-    """At most ``n`` frames of each group, in order of a hash: a sample that repeats.
+def chosen_frames(listing: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
+    """At most ``n`` rows of each group of ``listing`` (frame_id, xps_value, ...), in order of a hash: a sample that repeats.
 
-    The hashes alone decide, before any pixel is read; the window holds one row a frame.
+    Spark keeps the first rows of a group in each task before it shuffles them.
     """
     order = Window.partitionBy("xps_value").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("frame_id")).cast("binary")), "frame_id")
-    chosen = frames.select("frame_id", "xps_value").withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).select("frame_id")
-    return frames.join(chosen, "frame_id", "left_semi")
+    return listing.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).drop("__k")
+
+
+def sample_frames(frames: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
+    """`chosen_frames` of whole frames: ids decide, then the frames follow."""
+    return frames.join(chosen_frames(frames.select("frame_id", "xps_value"), n, seed).select("frame_id"), "frame_id", "left_semi")
 
 
 def pixel_statistics(pixels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from ringlake.operators.frames import checked, subtract, to_frames, to_pixels
 from ringlake.operators.masking import apply_masks
 from ringlake.operators.outliers import reject_hits, remove_background
 from ringlake.sources.results import save_failures, save_results
-from ringlake.sources.tiff import read_frames
+from ringlake.sources.tiff import list_files, read_frames
 
 RESULT = "frame_id long, filename string, xps_value double, center_x double, center_y double, total_count double, radial_profile array<double>, error string"
 
@@ -60,39 +60,47 @@ class Settings:
                 raise ValueError(what)
 
 
-def statistics(frames: DataFrame, background: DataFrame, s: Settings) -> DataFrame:
-    """(xps_value, r, c, med, mad) of a sample of each group's frames, after subtraction, without the beam's box."""
-    sampled = subtract(to_pixels(bg.sample_frames(frames, s.sample, s.seed), deal=False), background)
-    return bg.centre_box(bg.pixel_statistics(sampled), s.guess[0], s.guess[1], s.box)
+def statistics(sampled: DataFrame, background: DataFrame, s: Settings) -> DataFrame:
+    """(xps_value, r, c, med, mad) of each group's frames in ``sampled``, after subtraction, without the beam's box."""
+    pixels = subtract(to_pixels(sampled, deal=False), background)
+    return bg.centre_box(bg.pixel_statistics(pixels), s.guess[0], s.guess[1], s.box)
 
 
-def with_statistics(frames: DataFrame, good: DataFrame, background: DataFrame, s: Settings, salts: int) -> DataFrame:
-    """The frames with ``med`` and ``mad``, arrays of their group, which is one row.
+def _sample(good: DataFrame, sampled: DataFrame | None, s: Settings) -> DataFrame:
+    """The frames for the statistics: a sample of the good ones, or the good ones of a given sample."""
+    return bg.sample_frames(good, s.sample, s.seed) if sampled is None else checked(sampled, s.height, s.width).where("error IS NULL")
+
+
+def with_statistics(frames: DataFrame, sampled: DataFrame, background: DataFrame, s: Settings, salts: int) -> DataFrame:
+    """The frames with ``med`` and ``mad`` of ``sampled``, arrays of their group, which is one row.
 
     Each group is split into ``salts`` parts and its row repeated for each, so a group of any
-    size spreads over tasks. ``good`` are the frames that the statistics may use.
+    size spreads over tasks.
     """
     place = (F.col("r") * s.width + F.col("c")).alias("p")
-    arrays = statistics(good, background, s).groupBy("xps_value").agg(F.array_sort(F.collect_list(F.struct(place, "med", "mad"))).alias("m"))
+    arrays = statistics(sampled, background, s).groupBy("xps_value").agg(F.array_sort(F.collect_list(F.struct(place, "med", "mad"))).alias("m"))
     arrays = arrays.select("xps_value", F.col("m.med").alias("med"), F.col("m.mad").alias("mad"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     return frames.withColumn("salt", F.pmod(F.xxhash64("frame_id"), F.lit(salts)).cast("int")).join(arrays, ["xps_value", "salt"], "left").drop("salt")
 
 
-def cleaned_pixels(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings, salts: int = 16) -> DataFrame:
-    """Pixels after subtraction, X-ray removal, drift removal and mask.
+def cleaned_pixels(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings, salts: int = 16, sampled: DataFrame | None = None) -> DataFrame:
+    """Pixels after subtraction, X-ray removal, drift removal and mask; statistics from ``sampled`` frames if given.
 
     Statistics are joined to frames, not to pixels: what follows inside a frame needs no
     further shuffle.
     """
-    known = to_pixels(with_statistics(frames, frames, background, s, salts), beside=("med", "mad"))
+    known = to_pixels(with_statistics(frames, _sample(frames, sampled, s), background, s, salts), beside=("med", "mad"))
     return apply_masks(reject_hits(subtract(known, background), s.sigma, s.ratio), masks)
 
 
-def process_pixels(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings) -> DataFrame:
-    """The columns RESULT of each frame by the pixel path; a frame that has an error, no pixels or another shape keeps that error."""
+def process_pixels(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings, sampled: DataFrame | None = None) -> DataFrame:
+    """The columns RESULT of each frame by the pixel path; a frame that has an error, no pixels or another shape keeps that error.
+
+    Statistics are of a sample of the frames, or of those in ``sampled``.
+    """
     all_ = checked(frames, s.height, s.width)
     good = all_.where("error IS NULL")
-    cleaned = to_frames(cleaned_pixels(good, background, masks, s), s.height, s.width)
+    cleaned = to_frames(cleaned_pixels(good, background, masks, s, sampled=sampled), s.height, s.width)
     last = centroid.centroid_trace(cleaned, s.guess, s.ring[0], s.ring[1], s.max_iterations, s.tolerance).withColumn("last", F.element_at("trace", -1))
     centred = last.select("frame_id", "xps_value", "width", "pixels", F.col("last.x").alias("center_x"), F.col("last.y").alias("center_y"), F.col("last.total").alias("total_count"))
     found = radial.centred_profiles(to_pixels(centred, deal=False, carry=("center_x", "center_y", "total_count")), s.height, s.width, s.radius, s.bins)
@@ -162,9 +170,10 @@ class Kernel:
         return [float(t / k) if k else None for t, k in zip(total, n)]
 
 
-def process_frames(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings, salts: int = 16) -> DataFrame:
+def process_frames(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings, sampled: DataFrame | None = None, salts: int = 16) -> DataFrame:
     """The columns RESULT of each frame by the frame path: one row a frame, a frame that fails keeps its error.
 
+    Statistics are of a sample of the frames, or of those in ``sampled``.
     Background and masks are one frame in size and go to all tasks. The medians of a group
     are one row beside each of its frames (see `with_statistics`). Kernels work on one frame
     after the other; a task holds an Arrow batch of frames, which
@@ -180,7 +189,7 @@ def process_frames(frames: DataFrame, background: DataFrame, masks: DataFrame, s
 
     constants = spark.sparkContext.broadcast((image(background, "bg"), image(masks, "keep"), image(masks, "bkg")))
     all_ = checked(frames, s.height, s.width)
-    known = with_statistics(all_, all_.where("error IS NULL"), background, s, salts)
+    known = with_statistics(all_, _sample(all_.where("error IS NULL"), sampled, s), background, s, salts)
 
     def run(batches):
         kernel = Kernel(s, *constants.value)
@@ -214,7 +223,7 @@ def screening_image(frames: DataFrame, background: DataFrame, s: Settings, k: in
     chosen = frames.join(grouping.nth_group(sizes, k).select("xps_value"), "xps_value", "left_semi")
     picked = grouping.evenly_spaced(chosen.select("frame_id", "xps_value", "filename"), size, order="filename")
     some = frames.join(picked.select("frame_id"), "frame_id", "left_semi")
-    stats = statistics(some, background, s)
+    stats = statistics(bg.sample_frames(some, s.sample, s.seed), background, s)
     return bg.mean_image(remove_background(to_pixels(some), background, stats, s.sigma, s.ratio), skip_missing)
 
 
@@ -224,11 +233,15 @@ def run_directory(spark: SparkSession, path: str, out: str, background: DataFram
     ``process`` is the form of the chain: `process_frames`, or `process_pixels`.
 
     The output folder must not exist: a run never mixes with another. Files that can't be
-    read and frames that can't be processed are in the failures; the others go on. Every file
-    is decoded once: ``out/all`` has a row for each, and results and failures come from it.
+    read and frames that can't be processed are in the failures; the others go on. ``out/all``
+    has a row for each file, and results and failures come from it. The sample for the
+    statistics is chosen by the files' names, so only its files are decoded for them; one that
+    can't be read leaves the sample smaller.
     """
     frames = read_frames(spark, path).where("xps_value IS NOT NULL")
-    process(frames, background, masks, s).write.mode("errorifexists").parquet(f"{out}/all")
+    chosen = bg.chosen_frames(list_files(spark, path).where("xps_value IS NOT NULL"), s.sample, s.seed)
+    sampled = read_frames(spark, path, only=chosen)
+    process(frames, background, masks, s, sampled=sampled).write.mode("errorifexists").parquet(f"{out}/all")
     done, failed = split_failures(spark.read.schema(RESULT).parquet(f"{out}/all"))
     save_results(done.drop("frame_id"), f"{out}/results", s.bins, mode="errorifexists")
     save_failures(failed, f"{out}/failed")

@@ -177,14 +177,15 @@ def _decoded(pdf: pd.DataFrame) -> pd.DataFrame:
     return made.assign(path=list(pdf["path"]))
 
 
-def read_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_frames(spark: SparkSession, path: str | list[str], only: DataFrame | None = None) -> DataFrame:
     """frames of all .tif and .tiff files of a folder (or of the given files).
 
     frame_id is a hash of the path. A file that can't be decoded has an error and no pixels.
-    Paths, sizes and times are known before contents are read: a filter on `path` or
-    `filename` keeps other files unread.
+    ``only`` (path) names the files to decode, all if it isn't given.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path)
+    if only is not None:
+        files = files.join(only.select("path").distinct(), "path", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -213,8 +214,10 @@ def write_frames(frames: DataFrame, path: str, dtype: str = "float64", compress:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path) of the TIFF files of a folder; contents stay unread."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path).select("path")
+    """(path, frame_id, filename, xps_value) of the TIFF files of a folder, as `read_frames` has them; contents stay unread."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(path)
+    name = base_name(F.col("path"))
+    return files.select("path", F.xxhash64("path").alias("frame_id"), name.alias("filename"), scan_value(name).alias("xps_value"))
 
 
 def failures(frames: DataFrame) -> DataFrame:
