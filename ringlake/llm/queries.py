@@ -1,10 +1,10 @@
-"""Queries op1 to op10 and their SQL where DuckDB can express them."""
+"""Queries op1 to op13 and their SQL where DuckDB can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringlake.llm import chat_format, doc_fingerprints, language_id, lm_scoring, quality_rules, sentencepiece_codec, source_mixing, token_counts, toxicity
+from ringlake.llm import chat_format, doc_fingerprints, language_id, lm_scoring, quality_rules, sentencepiece_codec, source_mixing, token_counts, toxicity, vector_codes
 from ringlake.llm.common import table
 from ringlake.llm.simhash_dedup import near_duplicates
 
@@ -54,6 +54,10 @@ def op10_doc_fingerprints(spark, sf_dir):
     return doc_fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -65,9 +69,11 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_doc_fingerprints": op10_doc_fingerprints,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLE = {
     "op3_chat_format": chat_format.ORACLE,
     "op5_source_mixing": source_mixing.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
