@@ -24,12 +24,14 @@ COLUMNS = {
     "op9": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
     "op10": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op11": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op13": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 TYPES = {
     "op1": {"held_out": "boolean", "lang_pred": "string", "score": "double"}, "op4": {"fingerprint": "string", "component_id": "bigint"},
     "op5": {"size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"}, "op6": {"held_out": "boolean", "score": "double", "predicted": "int"},
     "op9": {**dict.fromkeys(COLUMNS["op9"], "bigint"), "base_failed": "boolean", "kept": "boolean"}, "op10": {"n_chars": "bigint", "near_edited": "double", "near_next": "double", "edited_sha256": "string"},
     "op11": {"code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+    "op13": {**dict.fromkeys(COLUMNS["op13"], "bigint"), "rank": "int"},
 }
 
 
@@ -40,7 +42,7 @@ def test_each_query_returns_all_rows_with_its_columns(spark, name):
     assert found.columns[: len(COLUMNS[op])] == COLUMNS[op]
     assert TYPES.get(op, {}).items() <= dict(found.dtypes).items()
     rows = found.collect()
-    if op not in ("op3", "op11"):
+    if op not in ("op3", "op11", "op13"):
         ids = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
         assert sorted(r.doc_id for r in rows) == sorted(ids)
     modulus, rest = {"op1": (4, 2), "op6": (5, 0)}.get(op, (1, 0))
