@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ringlake.sources.scratch import checkpoint, new_folder
 
-__all__ = ["checkpoint", "crc_mod", "hashed_bits", "hex16", "labelled_sample", "map_texts", "new_folder", "packed_bits", "segment_sum", "slices", "starts_of", "table"]
+__all__ = ["checkpoint", "crc_mod", "hashed_bits", "hex16", "join_heavy", "labelled_sample", "map_texts", "new_folder", "packed_bits", "segment_sum", "slices", "starts_of", "table"]
 
 #: The word of all contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +49,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return found.groupBy("doc_id", label).agg(F.min("text").alias("text"))
 
 
+def join_heavy(rows: DataFrame, found: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the columns of ``found`` (key, weight, ...), which has each of their keys once, with its number of rows as ``weight``.
+
+    A key of over a thousandth of all rows would fill one task. There can be a thousand such
+    keys at most, so theirs are broadcast; the rows of the others are joined by a shuffle.
+    """
+    total = found.agg(F.sum(weight)).first()[0] or 0
+    names = [c for c in found.columns if c not in (key, weight)]
+    heavy = found.where(F.col(weight) * 1000 > total).select(key, F.struct(*names).alias("__found"))
+    met = rows.join(F.broadcast(heavy), key, "left")
+    own = [F.col(c) for c in rows.columns]
+    others = met.where("__found IS NULL").select(*own).join(found.where(F.col(weight) * 1000 <= total), key)
+    return met.where("__found IS NOT NULL").select(*own, "__found.*").unionByName(others.select(*own, *names))
+
+
 def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text each, one row at least."""
     start, total = 0, 0

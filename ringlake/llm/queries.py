@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringlake.llm import chat_format, doc_fingerprints, hard_negatives, language_id, lm_scoring, quality_rules, sentencepiece_codec, source_mixing, token_counts, toxicity, vector_codes
+from ringlake.llm import bbit_minhash, chat_format, doc_fingerprints, hard_negatives, language_id, lm_scoring, quality_rules, sentencepiece_codec, source_mixing, token_counts, toxicity, vector_codes
 from ringlake.llm.common import table
 from ringlake.llm.simhash_dedup import near_duplicates
 
@@ -58,6 +58,10 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_minhash_near_dedup(spark, sf_dir):
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("set_id")
+
+
 def op13_hard_negatives(spark, sf_dir):
     return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_doc_fingerprints": op10_doc_fingerprints,
     "op11_vector_codes": op11_vector_codes,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -81,5 +86,6 @@ ORACLE = {
     "op3_chat_format": chat_format.ORACLE,
     "op5_source_mixing": source_mixing.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
+    "op12_minhash_near_dedup": bbit_minhash.ORACLE,
     "op13_hard_negatives": hard_negatives.ORACLE,
 }

@@ -24,6 +24,7 @@ COLUMNS = {
     "op9": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
     "op10": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op11": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op12": ["doc_id", "n_shingles", "component_id", "kept"],
     "op13": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 TYPES = {
@@ -31,6 +32,7 @@ TYPES = {
     "op5": {"size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"}, "op6": {"held_out": "boolean", "score": "double", "predicted": "int"},
     "op9": {**dict.fromkeys(COLUMNS["op9"], "bigint"), "base_failed": "boolean", "kept": "boolean"}, "op10": {"n_chars": "bigint", "near_edited": "double", "near_next": "double", "edited_sha256": "string"},
     "op11": {"code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
+    "op12": {"n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
     "op13": {**dict.fromkeys(COLUMNS["op13"], "bigint"), "rank": "int"},
 }
 
