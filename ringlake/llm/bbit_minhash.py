@@ -30,6 +30,8 @@ ODD = _rng.integers(0, 1 << 64, MINIMA, dtype=np.uint64) | np.uint64(1)
 SIZE_STEP = 1.02
 #: Bits of a filter for each key in it, and the most bits of one (16 MB).
 BITS_A_KEY, MOST_BITS = 16, 1 << 27
+#: Buckets of up to so many sets make all pairs that are still open.
+SMALL_BUCKET = 12
 #: Sets that are compared with one copy of another.
 COMPARED = 512
 
@@ -248,8 +250,8 @@ def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int)
     Sets link at a Jaccard similarity of ``percent`` or more, exact over their shingles.
     Candidates share a band. First one set of each bucket is compared with the others: the
     one that meets the most others over all buckets, which most near copies of one text are
-    near to. What then is in one bucket but not connected is compared where rare shingles
-    allow a link. So large groups of near copies don't make all their pairs, and no pair of a
+    near to. What then is in one bucket but not connected is compared: all of a bucket of up
+    to SMALL_BUCKET sets, and those of larger ones where rare shingles allow a link. So large groups of near copies don't make all their pairs, and no pair of a
     bucket is left out that could join two groups. Signatures leave out what is far from the
     similarity before any set is made or sent.
     """
@@ -269,14 +271,19 @@ def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int)
     roots = components(edges)
 
     rooted = weighed.join(roots, weighed["sid"] == roots["node"], "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    held = checkpoint(rooted.join(open_, "key", "left_semi").select("sid", "root", "n").distinct())
-    if held.isEmpty():
+    ends = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
+    open_ = checkpoint(rooted.join(ends.select("key", "m"), "key"))
+    # where few are left their pairs are few too; a bucket of two has met its leader already
+    small = open_.where(F.col("m").between(3, SMALL_BUCKET)).select("key", "sid", "n", "root")
+    others = small.select("key", F.col("sid").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("root2"))
+    within = small.join(others, "key").where("sid < other AND root <> root2").select("sid", "n", "other", "other_n").distinct()
+    held = checkpoint(open_.where(F.col("m") > SMALL_BUCKET).select("sid", "root", "n").distinct())
+    across = within if held.isEmpty() else within.unionByName(prefix_pairs(checkpoint(sets_of(docs, checkpoint(held.join(meets.select("sid", "h"), "sid").select("sid", "h")), words)), held, percent))
+    rest = checkpoint(promising(able(across, percent), meets, percent).join(tested, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
         return roots
-    more = held.join(sets.select("sid"), "sid", "left_anti").join(meets.select("sid", "h"), "sid").select("sid", "h")
-    sets = checkpoint(sets.unionByName(sets_of(docs, checkpoint(more), words)))
-    rest = promising(able(prefix_pairs(sets, held, percent), percent), meets, percent).join(tested, ["a", "b"], "left_anti")
-    return components(edges.union(checkpoint(linked(checkpoint(rest), sets, percent))))
+    more = rest.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(meets.select("sid", "h"), "sid")
+    return components(edges.union(checkpoint(linked(rest, checkpoint(sets_of(docs, checkpoint(more), words)), percent))))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:

@@ -106,18 +106,20 @@ class LanguageModel:
 def train(docs: DataFrame, per_language: int = 3000) -> LanguageModel:
     """A model from the texts of rows that have a language and aren't held out.
 
-    ``per_language`` bounds the sample: each language gives about so many of its documents,
-    chosen by the hash of their id, or all if it has fewer. The model holds 2^BITS numbers a
+    ``per_language`` bounds the sample: each language gives about so many of its documents, or
+    all if it has fewer. A document is an id with a text: they are chosen by the hash of
+    both, so that texts that share an id, or have none, are in the sample or not one by one,
+    and repeated rows count as one of it. The model holds 2^BITS numbers a
     language, whatever the corpus holds: features that share a bucket share their count, which
     blurs rare n-grams. The sample's bound keeps the features few for that; a word has some
     twenty, so that one shared bucket seldom decides. Feature counts are added up in tasks
     before they are shuffled.
     """
-    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = usable.groupBy("lang").count().collect()  # a row for each language
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang", F.xxhash64("text").alias("h"))
+    sizes = usable.select("lang", "doc_id", "h").distinct().groupBy("lang").count().collect()  # a row for each language
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], per_language / r["count"])])[F.col("lang")] if sizes else F.lit(0.0)
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.where(spread < share).select("lang", "text")
+    spread = F.pmod(F.xxhash64("doc_id", "h", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    sample = usable.where(spread < share).groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches):
         held: dict[str, np.ndarray] = {}

@@ -64,8 +64,10 @@ def corpus(seed=1):
     return rows
 
 
-def test_components_are_those_of_all_pairs(docs_of, monkeypatch):
+@pytest.mark.parametrize("small", [0, 4, 12])
+def test_components_are_those_of_all_pairs(docs_of, monkeypatch, small):
     monkeypatch.setattr(bbit_minhash, "COMPARED", 3)  # groups of more than three are dealt into parts
+    monkeypatch.setattr(bbit_minhash, "SMALL_BUCKET", small)  # open buckets by their pairs, or by rare shingles
     rows = list(enumerate(corpus()))
     found = near_duplicates(docs_of(rows).repartition(3)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(plain(rows))
