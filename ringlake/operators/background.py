@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringlake.operators.frames import strict
 from ringlake.operators.outliers import mad_chunk_filter
+from ringlake.operators.selection import radix_median
 
 #: Fixed value: side of the square around the beam that statistics leave out.
 CENTRE_BOX = 40
@@ -15,11 +16,14 @@ CENTRE_BOX = 40
 def mean_background(pixels: DataFrame, method: str = "mean") -> DataFrame:
     """(r, c, bg): per-pixel mean (or median) of all frames, null as soon as a frame misses the pixel.
 
-    Means are added up in tasks before they are shuffled: one row a pixel and task.
+    Means are added up in tasks before they are shuffled: one row a pixel and task. Medians
+    are found by `radix_median`, which shuffles counts and keeps no pixel's values together.
     """
     if method not in ("mean", "median"):
         raise ValueError("method is mean or median")
-    return pixels.groupBy("r", "c").agg(strict(F.avg("v") if method == "mean" else F.median("v")).alias("bg"))
+    if method == "median":
+        return radix_median(pixels, ("r", "c"), name="bg")
+    return pixels.groupBy("r", "c").agg(strict(F.avg("v")).alias("bg"))
 
 
 def filtered_background(pixels: DataFrame, chunk: int = 64, sigma: float = 8.0, beam: float = 5000, shape: tuple[int, int] | None = None) -> DataFrame:

@@ -65,10 +65,22 @@ def to_pixels(frames: DataFrame, deal: bool = True, beside: Sequence[str] = (),
 
 
 def to_frames(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """The inverse of to_pixels; pixels without a row are null."""
-    listed = pixels.groupBy("frame_id", "xps_value").agg(F.map_from_entries(F.collect_list(F.struct((F.col("r") * width + F.col("c")).alias("p"), "v"))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda p: F.col("m")[p])
-    return listed.select("frame_id", "xps_value", F.lit(height).alias("height"), F.lit(width).alias("width"), filled.alias("pixels"))
+    """The inverse of to_pixels; pixels without a row are null. A pixel that is there twice, or outside, is an error.
+
+    Values are sorted by place; the nulls between two known places are as many as their
+    numbers leave out, so the work grows with the pixels alone.
+    """
+    listed = pixels.groupBy("frame_id", "xps_value").agg(F.array_sort(F.collect_list(F.struct((F.col("r") * width + F.col("c")).alias("p"), "v"))).alias("s"))
+    nothing = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
+    before = lambda i: F.coalesce(F.get("s", i - 1)["p"], F.lit(-1))
+    gaps = F.flatten(F.transform("s", lambda x, i: F.concat(nothing(x["p"] - before(i) - 1), F.array(x["v"]))))
+    end = nothing(F.lit(height * width - 1) - F.element_at("s", -1)["p"])
+    whole = (F.size("s") == height * width) & (F.element_at("s", 1)["p"] == 0) & (F.element_at("s", -1)["p"] == height * width - 1)
+    filled = F.when(whole, F.col("s")["v"]).otherwise(F.concat(gaps, end))
+    sized = listed.select("frame_id", "xps_value", filled.alias("pixels"))
+    error = F.raise_error(F.concat(F.lit("not one value for each pixel of frame "), F.col("frame_id").cast("string"))).cast("array<double>")
+    exact = F.when(F.size("pixels") == height * width, F.col("pixels")).otherwise(error)
+    return sized.select("frame_id", "xps_value", F.lit(height).alias("height"), F.lit(width).alias("width"), exact.alias("pixels"))
 
 
 def require_one_shape(frames: DataFrame) -> DataFrame:
