@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from ringlake.functions import geometry, naming
 from ringlake.operators import background as bg
+from ringlake.operators import blocks as bl
 from ringlake.operators import centroid, grouping, lookups, morphology, outliers, radial, summary
 from ringlake.operators.frames import normalise, of_frame, shift, subtract, to_frames, to_pixels
-from ringlake.operators.fitting import fitted_centres, gaussian_centres
+from ringlake.operators.fitting import NAMES, centred_frames, gaussian_centres
 from ringlake.operators.masking import apply_masks
-from ringlake.plans.pipeline import Settings, process_frames, process_pixels, screening_image, split_failures
+from ringlake.plans.pipeline import Settings, process_blocks, process_frames, process_pixels, screening_image, split_failures
 from ringlake.plans.run import merged_frames, run_configured
 from ringlake.sources.files import write_files
 from ringlake.sources.masks import mask_pixels, read_masks, write_images
-from ringlake.sources.results import RunConfig, load_config, load_results, parse_configs, save_config, save_failures, save_report, save_results, save_results_csv
+from ringlake.sources.results import RunConfig, load_configs, load_results, parse_configs, save_configs, save_failures, save_report, save_results, save_results_csv
 from ringlake.sources.scratch import new_folder
 from ringlake.sources.tiff import encode, read_frames, write_frames
 
@@ -84,6 +85,11 @@ def pixels(spark: SparkSession, sf_dir: str, deal: bool = True) -> DataFrame:
     return to_pixels(frames(spark, sf_dir), deal)
 
 
+def met(spark: SparkSession, sf_dir: str, lookup: DataFrame) -> DataFrame:
+    """The pixels that a lookup (r, c, ...), one frame in size, has, with its columns."""
+    return pixels(spark, sf_dir, deal=False).join(F.broadcast(lookup), ["r", "c"])
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select(F.concat(F.lit("/data/run/"), "filename", F.lit(".tiff")).alias("path"))
 
@@ -113,10 +119,11 @@ def p4(spark, sf_dir):
     return subtract(p, bg.mean_background(p)).select("frame_id", "r", "c", r6("v").alias("v"))
 
 
-@query("p8_distance_grid", f"{PX_SQL} SELECT r, c, round(d, 6) AS d FROM grid")
+@query("p8_distance_grid", f"{PX_SQL} SELECT frame_id, round(sum(v * d), 6) + 0.0 AS weighted, round(max(d), 6) AS farthest FROM px JOIN grid USING (r, c) GROUP BY frame_id")
 def p8(spark, sf_dir):
     x, y = geometry.mask_centre(SIDE, SIDE)
-    return lookups.grid(spark, SIDE, SIDE).select("r", "c", r6(geometry.distance(F.col("r"), F.col("c"), x, y)).alias("d"))
+    grid = lookups.grid(spark, SIDE, SIDE).select("r", "c", geometry.distance(F.col("r"), F.col("c"), x, y).alias("d"))
+    return met(spark, sf_dir, grid).groupBy("frame_id").agg(r6(F.sum(F.col("v") * F.col("d"))).alias("weighted"), r6(F.max("d")).alias("farthest"))
 
 
 @query("p9_minmax_normalize", f"{PX_SQL} SELECT frame_id, r, c, round(coalesce((v - lo) / nullif(hi - lo, 0), 0), 6) AS v FROM (SELECT *, min(v) OVER (PARTITION BY frame_id) AS lo, max(v) OVER (PARTITION BY frame_id) AS hi FROM px)")
@@ -135,10 +142,12 @@ def p10(spark, sf_dir):
     return bg.fill_missing(m).select("r", "c", r6("bg").alias("bg"))
 
 
-@query("p11_gaussian_model", f"{PX_SQL} SELECT r, c, round(5.0::DOUBLE * exp(-((c - 3.5) * (c - 3.5) + (r - 4.25) * (r - 4.25))::DOUBLE / (2 * 2.5::DOUBLE * 2.5::DOUBLE)) + 0.75, 6) AS v FROM grid")
+@query("p11_gaussian_model", f"{PX_SQL}, model AS (SELECT r, c, 5.0::DOUBLE * exp(-((c - 3.5) * (c - 3.5) + (r - 4.25) * (r - 4.25))::DOUBLE / (2 * 2.5::DOUBLE * 2.5::DOUBLE)) + 0.75 AS m FROM grid) SELECT frame_id, round(sum(v * m), 6) + 0.0 AS product, round(sum((v - m) * (v - m)), 6) AS residual FROM px JOIN model USING (r, c) GROUP BY frame_id")
 def p11(spark, sf_dir):
     d = geometry.distance(F.col("r"), F.col("c"), 3.5, 4.25)
-    return lookups.grid(spark, SIDE, SIDE).select("r", "c", r6(geometry.circular_gaussian(d * d, 5.0, 2.5, 0.75)).alias("v"))
+    model = lookups.grid(spark, SIDE, SIDE).select("r", "c", geometry.circular_gaussian(d * d, 5.0, 2.5, 0.75).alias("m"))
+    rest = F.col("v") - F.col("m")
+    return met(spark, sf_dir, model).groupBy("frame_id").agg(r6(F.sum(F.col("v") * F.col("m"))).alias("product"), r6(F.sum(rest * rest)).alias("residual"))
 
 
 @query("p12_integer_shift", f"{PX_SQL} SELECT frame_id, (r + 1)::INT AS r, (c - 2)::INT AS c, round(v, 6) + 0.0 AS v FROM px WHERE r + 1 BETWEEN 0 AND 7 AND c - 2 BETWEEN 0 AND 7")
@@ -176,9 +185,11 @@ def s5_typed(spark, sf_dir):
 # lookups and masks
 
 
-@query("s3a_corner_mask", f"{PX_SQL} SELECT r, c, 1 AS keep, CASE WHEN (r < 2 OR r >= 6) AND (c < 2 OR c >= 6) THEN 0 ELSE 1 END AS bkg FROM grid")
+@query("s3a_corner_mask", f"{PX_SQL}, k AS (SELECT *, (r < 2 OR r >= 6) AND (c < 2 OR c >= 6) AS corner FROM px) SELECT frame_id, count(*) FILTER (corner) AS n_corner, round(sum(v) FILTER (corner), 6) + 0.0 AS corner_sum, round(sum(v), 6) + 0.0 AS kept_sum FROM k GROUP BY frame_id")
 def s3a(spark, sf_dir):
-    return lookups.corner_masks(spark, SIDE, SIDE, 2)
+    corner, kept = (F.when(F.col(x) == n, F.col("v")) for x, n in (("bkg", 0), ("keep", 1)))
+    known = met(spark, sf_dir, lookups.corner_masks(spark, SIDE, SIDE, 2))
+    return known.groupBy("frame_id").agg(F.count(corner).alias("n_corner"), r6(F.sum(corner)).alias("corner_sum"), r6(F.sum(kept)).alias("kept_sum"))
 
 
 @query("s6_threshold_mask", f"{PX_SQL} SELECT frame_id, r, c, CASE WHEN v * 255 + 128 >= 128 THEN 1 ELSE 0 END AS mask FROM px")
@@ -186,28 +197,33 @@ def s6(spark, sf_dir):
     return lookups.threshold_mask(pixels(spark, sf_dir).withColumn("v", F.col("v") * 255 + 128))
 
 
-@query("f6_ring_lookup", f"{PX_SQL} SELECT r, c, round(d, 6) AS d FROM grid WHERE d BETWEEN 1 AND 3")
+@query("f6_ring_lookup", f"{PX_SQL} SELECT frame_id, count(*) AS n, round(sum(v), 6) + 0.0 AS total, round(sum(v * d), 6) + 0.0 AS weighted FROM px JOIN grid USING (r, c) WHERE d BETWEEN 1 AND 3 GROUP BY frame_id")
 def f6(spark, sf_dir):
-    return lookups.ring(spark, SIDE, SIDE, *RING).select("r", "c", r6("d").alias("d"))
+    ring = met(spark, sf_dir, lookups.ring(spark, SIDE, SIDE, *RING))
+    return ring.groupBy("frame_id").agg(F.count("*").alias("n"), r6(F.sum("v")).alias("total"), r6(F.sum(F.col("v") * F.col("d"))).alias("weighted"))
 
 
-@query("f7_radial_lookup", f"{PX_SQL} SELECT r, c, floor(d / 0.5)::INT AS bin FROM grid WHERE d < 4")
+@query("f7_radial_lookup", f"{PX_SQL} SELECT frame_id, floor(d / 0.5)::INT AS bin, count(*) AS n, round(sum(v), 6) + 0.0 AS total FROM px JOIN grid USING (r, c) WHERE d < 4 GROUP BY ALL")
 def f7(spark, sf_dir):
-    return lookups.radial(spark, SIDE, SIDE, 4, 8)
+    return met(spark, sf_dir, lookups.radial(spark, SIDE, SIDE, 4, 8)).groupBy("frame_id", "bin").agg(F.count("*").alias("n"), r6(F.sum("v")).alias("total"))
 
 
-@query("f8_bin_counts", f"{PX_SQL} SELECT floor(d / 0.5)::INT AS bin, count(*) AS n_pixels, sum(r * 8 + c)::BIGINT AS index_sum FROM grid WHERE d < 4 GROUP BY 1")
+@query("f8_bin_counts", f"{PX_SQL}, n AS (SELECT floor(d / 0.5)::INT AS bin, count(*) AS n_pixels, sum(r * 8 + c)::BIGINT AS index_sum FROM grid WHERE d < 4 GROUP BY 1), t AS (SELECT frame_id, floor(d / 0.5)::INT AS bin, sum(v) AS total FROM px JOIN grid USING (r, c) WHERE d < 4 GROUP BY ALL) SELECT frame_id, bin, n_pixels, index_sum, round(total / n_pixels, 6) + 0.0 AS mean FROM t JOIN n USING (bin)")
 def f8(spark, sf_dir):
-    total = F.aggregate("pixel_index", F.lit(0).cast("long"), lambda a, x: a + x)
-    return lookups.bin_counts(spark, SIDE, SIDE, 4, 8).select("bin", "n_pixels", total.alias("index_sum"))
+    """Each frame's bins as means over the pixels that the lookup counts for them."""
+    index = F.aggregate("pixel_index", F.lit(0).cast("long"), lambda a, x: a + x)
+    counts = lookups.bin_counts(spark, SIDE, SIDE, 4, 8).select("bin", "n_pixels", index.alias("index_sum"))
+    sums = met(spark, sf_dir, lookups.radial(spark, SIDE, SIDE, 4, 8)).groupBy("frame_id", "bin").agg(F.sum("v").alias("total"))
+    return sums.join(F.broadcast(counts), "bin").select("frame_id", "bin", "n_pixels", "index_sum", r6(F.col("total") / F.col("n_pixels")).alias("mean"))
 
 
-@query("u2_mask_union", f"{PX_SQL}, a AS (SELECT r, c, (d < 2)::INT AS a, (r < 4)::INT AS b FROM grid) SELECT r, c, greatest(a, b) AS either, least(a, b) AS both FROM a")
+@query("u2_mask_union", f"{PX_SQL}, a AS (SELECT r, c, (d < 2)::INT AS a, (r < 4)::INT AS b FROM grid) SELECT frame_id, round(sum(v * greatest(a, b)), 6) + 0.0 AS either, round(sum(v * least(a, b)), 6) + 0.0 AS both FROM px JOIN a USING (r, c) GROUP BY frame_id")
 def u2(spark, sf_dir):
     g = lookups.grid(spark, SIDE, SIDE)
     x, y = geometry.mask_centre(SIDE, SIDE)
     near = g.withColumn("keep", (geometry.distance(F.col("r"), F.col("c"), x, y) < 2).cast("int"))
-    return lookups.combine(near, g.withColumn("keep", (F.col("r") < 4).cast("int")))
+    masks = lookups.combine(near, g.withColumn("keep", (F.col("r") < 4).cast("int")))
+    return met(spark, sf_dir, masks).groupBy("frame_id").agg(*[r6(F.sum(F.col("v") * F.col(c))).alias(c) for c in ("either", "both")])
 
 
 @query("f5_drift_mask", f"{PX_SQL}, k AS (SELECT *, (r < 2 OR r >= 6) AND (c < 2 OR c >= 6) AS corner FROM px) SELECT frame_id, r, c, CASE WHEN (r + c) % 3 <> 0 THEN round(v - avg(CASE WHEN corner THEN v END) OVER (PARTITION BY frame_id), 6) + 0.0 END AS v FROM k")
@@ -271,6 +287,26 @@ def m1(spark, sf_dir):
     return flagged.select("frame_id", "r", "c", morphology.dilated("hit").alias("near"))
 
 
+#: Blocks of three pixels a side: every frame is nine of them, and most neighbours are in another one.
+BLOCKS = bl.Layout(SIDE, SIDE, 3)
+
+
+def _block_pixels(blocks, value: str) -> DataFrame:
+    """(frame_id, r, c, v) of the array ``value`` of blocks."""
+    whole = bl.from_blocks(blocks.select("frame_id", "xps_value", "br", "bc", F.col(value).alias("v")), BLOCKS)
+    return to_pixels(whole, deal=False).select("frame_id", "r", "c", "v")
+
+
+def hit_blocks(spark, sf_dir, level: float) -> DataFrame:
+    return bl.to_blocks(frames(spark, sf_dir), BLOCKS).withColumn("hit", F.transform("v", lambda v: (v > level).cast("double")))
+
+
+@query("m1_dilation_blocks", ORACLE["m1_dilation"])
+def m1_blocks(spark, sf_dir):
+    near = bl.dilated_blocks(hit_blocks(spark, sf_dir, 0.3), BLOCKS)
+    return _block_pixels(near, "near").select("frame_id", "r", "c", (F.col("v") == 1).alias("near"))
+
+
 STATS_SQL = """,
 med AS (SELECT xps_value, r, c, median(v) AS med FROM px GROUP BY ALL),
 st AS (SELECT xps_value, r, c, med, median(abs(v - med)) AS mad FROM px JOIN med USING (xps_value, r, c) GROUP BY ALL)"""
@@ -336,6 +372,11 @@ def m2(spark, sf_dir):
     return morphology.size_histogram(morphology.cluster_sizes(morphology.clusters(hits)))
 
 
+@query("m2_cluster_blocks", ORACLE["m2_cluster_sizes"])
+def m2_blocks(spark, sf_dir):
+    return morphology.size_histogram(morphology.cluster_sizes(bl.cluster_blocks(hit_blocks(spark, sf_dir, 0.15), BLOCKS)))
+
+
 def _box_sql(weights: list[str], half: int) -> str:
     taps = ", ".join(f"({k - half}, {w}::DOUBLE)" for k, w in enumerate(weights))
     mirror = lambda x: f"CASE WHEN {x} < 0 THEN -{x} - 1 WHEN {x} > 7 THEN 15 - {x} ELSE {x} END"
@@ -350,6 +391,11 @@ def m5(spark, sf_dir):
     return to_pixels(morphology.box_mean(frames(spark, sf_dir), 3)).select("frame_id", "r", "c", r6("v").alias("v"))
 
 
+@query("m5_box_blocks", ORACLE["m5_box_mean"])
+def m5_blocks(spark, sf_dir):
+    return _block_pixels(bl.box_blocks(bl.to_blocks(frames(spark, sf_dir), BLOCKS), BLOCKS, 3), "v").withColumn("v", r6("v"))
+
+
 def _gauss(sigma: float) -> list[str]:
     from math import exp
 
@@ -363,6 +409,11 @@ def m4(spark, sf_dir):
     return to_pixels(morphology.gaussian_blur(frames(spark, sf_dir), 0.75)).select("frame_id", "r", "c", r6("v").alias("v"))
 
 
+@query("m4_gaussian_blocks", ORACLE["m4_gaussian_blur"])
+def m4_blocks(spark, sf_dir):
+    return _block_pixels(bl.gaussian_blocks(bl.to_blocks(frames(spark, sf_dir), BLOCKS), BLOCKS, 0.75), "v").withColumn("v", r6("v"))
+
+
 # backgrounds, centres, profiles
 
 
@@ -436,34 +487,49 @@ def i2(spark, sf_dir):
 
 def planted(spark, sf_dir):
     """Frames that hold a planted circular Gaussian around (3.6, 4.3) plus a hundredth of their own noise."""
-    d = geometry.distance(F.col("r"), F.col("c"), 3.6, 4.3)
-    return pixels(spark, sf_dir).withColumn("v", geometry.circular_gaussian(d * d, 100.0, 2.0, 5.0) + F.col("v") / 100)
+
+    def value(v, p):
+        d = geometry.distance(F.floor(p / SIDE), p % SIDE, 3.6, 4.3)
+        return geometry.circular_gaussian(d * d, 100.0, 2.0, 5.0) + v / 100
+
+    return frames(spark, sf_dir).withColumn("pixels", F.transform("pixels", value))
 
 
 START = (80.0, 4.0, 4.0, 1.5, 0.0)
+PLANTED_SQL = f"{PX_SQL}, pl AS MATERIALIZED (SELECT frame_id, r, c, 100.0::DOUBLE * exp(-((c - 3.6::DOUBLE) * (c - 3.6::DOUBLE) + (r - 4.3::DOUBLE) * (r - 4.3::DOUBLE)) / 8) + 5 + v / 100 AS v FROM px)"
 
 
-@query("i3_gaussian_fit", "SELECT vec_id AS frame_id, true AS success, 64::BIGINT AS n_pixels, true AS near FROM embeddings")
+def _gauss_newton_sql(steps: int) -> str:
+    """Gauss-Newton steps from the planted parameters p0 to p4: normal equations as sums over pixels, solved by elimination."""
+    ctes = ["fit0 AS (SELECT vec_id AS frame_id, 100.0::DOUBLE AS p0, 3.6::DOUBLE AS p1, 4.3::DOUBLE AS p2, 2.0::DOUBLE AS p3, 5.0::DOUBLE AS p4 FROM embeddings)"]
+    for i in range(steps):
+        ctes.append(f"e{i} AS (SELECT frame_id, p0, p1, p2, p3, p4, v, c - p1 AS dx, r - p2 AS dy, exp(-((c - p1) * (c - p1) + (r - p2) * (r - p2)) / (2 * p3 * p3)) AS e FROM fit{i} JOIN pl USING (frame_id))")
+        ctes.append(f"j{i} AS (SELECT frame_id, p0, p1, p2, p3, p4, v - p0 * e - p4 AS y, e AS d0, p0 * e * dx / (p3 * p3) AS d1, p0 * e * dy / (p3 * p3) AS d2, p0 * e * (dx * dx + dy * dy) / (p3 * p3 * p3) AS d3, 1.0::DOUBLE AS d4 FROM e{i})")
+        sums = ", ".join([f"sum(d{a} * d{b}) AS m{a}{b}" for a in range(5) for b in range(5)] + [f"sum(d{a} * y) AS m{a}5" for a in range(5)])
+        ctes.append(f"n{i}_0 AS (SELECT frame_id, p0, p1, p2, p3, p4, {sums} FROM j{i} GROUP BY ALL)")
+        for k in range(5):
+            cells = ", ".join(f"m{k}{b} / m{k}{k} AS m{k}{b}" if a == k else f"m{a}{b} - m{a}{k} * m{k}{b} / m{k}{k} AS m{a}{b}" for a in range(5) for b in range(k + 1, 6))
+            ctes.append(f"n{i}_{k + 1} AS (SELECT frame_id, p0, p1, p2, p3, p4, {cells} FROM n{i}_{k})")
+        ctes.append(f"fit{i + 1} AS MATERIALIZED (SELECT frame_id, {', '.join(f'p{k} + m{k}5 AS p{k}' for k in range(5))} FROM n{i}_5)")
+    return ", ".join(ctes)
+
+
+@query("i3_gaussian_fit", f"{PLANTED_SQL}, {_gauss_newton_sql(4)}, t AS (SELECT frame_id, count(*) AS n_pixels, sum(v) AS total FROM pl GROUP BY frame_id) SELECT frame_id, true AS success, n_pixels, {', '.join(f'round(p{k}, 6) AS {n}' for k, n in enumerate(('amplitude', 'x0', 'y0', 'sigma', '\"offset\"')))}, round(total, 6) AS total_intensity FROM fit4 JOIN t USING (frame_id)")
 def i3(spark, sf_dir):
-    """The fit finds the planted parameters of every frame, each to a hundredth of its value."""
+    """The parameters of every frame's fit, which begins far from the planted ones; the SQL solves the same least squares from near by."""
     found = gaussian_centres(planted(spark, sf_dir), START, SIDE, SIDE, 0, 6)
-    wanted = {"amplitude": 100.0, "x0": 3.6, "y0": 4.3, "sigma": 2.0, "offset": 5.0}
-    near = F.lit(True)
-    for name, value in wanted.items():
-        near = near & (F.abs(F.col(name) - value) < value / 100)
-    return found.select("frame_id", "success", "n_pixels", near.alias("near"))
+    return found.select("frame_id", "success", "n_pixels", *[r6(n).alias(n) for n in (*NAMES, "total_intensity")])
 
 
-@query("i4_fitted_profile", f"""{PX_SQL}, pl AS (SELECT frame_id, r, c, 100.0::DOUBLE * exp(-((c - 3.6::DOUBLE) * (c - 3.6::DOUBLE) + (r - 4.3::DOUBLE) * (r - 4.3::DOUBLE)) / 8) + 5 + v / 100 AS v FROM px),
+@query("i4_fitted_profile", f"""{PLANTED_SQL},
 b AS (SELECT frame_id, floor(d)::INT AS bin, avg(v) AS mean FROM pl JOIN grid USING (r, c) WHERE d < 4 GROUP BY ALL),
 t AS (SELECT frame_id, sum(v) AS total_count FROM pl GROUP BY frame_id)
 SELECT frame_id, bin, round(mean, 6) AS mean, round(total_count, 6) AS total_count FROM b JOIN t USING (frame_id)""")
 def i4(spark, sf_dir):
-    """A fitted centre, rounded to whole pixels as profiles do, feeds the profile of its frame."""
-    p = planted(spark, sf_dir)
-    centres = fitted_centres(p, START, SIDE, SIDE, 0, 6)
-    found = radial.azimuthal_average(p, centres, SIDE, SIDE, 4, 4).join(centres, "frame_id")
-    return found.select("frame_id", "bin", r6("mean").alias("mean"), r6("total_count").alias("total_count"))
+    """A fitted centre, rounded to whole pixels as profiles do, goes with its frame into the profile."""
+    centred = centred_frames(planted(spark, sf_dir), START, SIDE, SIDE, 0, 6)
+    found = radial.centred_profiles(to_pixels(centred, carry=("center_x", "center_y", "total_count")), SIDE, SIDE, 4, 4)
+    return found.select("frame_id", F.posexplode("radial_profile").alias("bin", "mean"), "total_count").select("frame_id", "bin", r6("mean").alias("mean"), r6("total_count").alias("total_count"))
 
 
 def _fixed_centres(f: DataFrame, x: float, y: float) -> DataFrame:
@@ -732,6 +798,12 @@ def o3(spark, sf_dir):
     return rounded(process_frames(f, zero, masks, s))
 
 
+@query("o1_process_blocks", CHAIN_SQL)
+def o1_blocks(spark, sf_dir):
+    f, zero, masks, s = chain_inputs(spark, sf_dir)
+    return rounded(process_blocks(f, zero, masks, s, side=3))
+
+
 @query("o8_screening_image", f"""{RAISED_SQL},
 sizes AS (SELECT xps_text, count(*) AS n FROM frames GROUP BY 1),
 second AS (SELECT xps_text FROM sizes ORDER BY n DESC, xps_text LIMIT 1 OFFSET 1),
@@ -802,12 +874,15 @@ def k5(spark, sf_dir):
     return spark.read.option("header", True).csv(folder)
 
 
-@query("k6_config", "SELECT '/out' AS result_directory, 5.0::DOUBLE AS sigma, 0.5::DOUBLE AS ratio, 40.0::DOUBLE AS inner_radius")
+@query("k6_config", "SELECT '/out/' || vec_id::VARCHAR AS result_directory, label + 0.5::DOUBLE AS sigma, 1 / (label + 1)::DOUBLE AS ratio, 40.0::DOUBLE AS inner_radius FROM embeddings")
 def k6(spark, sf_dir):
+    """A configuration for each frame, written as text and read again with its types; what isn't given is the default."""
     folder = new_folder(spark, "config")
-    save_config(spark, RunConfig.of({"result_directory": "/out", "xray_removal_param": [5.0, 0.5]}), folder)
-    c = load_config(spark, folder)
-    return spark.range(1).select(F.lit(c.result_directory).alias("result_directory"), *[F.lit(float(x)).alias(n) for x, n in zip((*c.xray_removal_param, c.center_fitting_param[0]), ("sigma", "ratio", "inner_radius"))])
+    label = F.col("label").cast("double")
+    given = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("/out/"), F.col("vec_id").cast("string")).alias("result_directory"), F.array(label + 0.5, 1 / (label + 1)).alias("xray_removal_param"))
+    save_configs(given, folder)
+    params = F.col("xray_removal_param")
+    return load_configs(spark, folder).select("result_directory", params[0].alias("sigma"), params[1].alias("ratio"), F.col("center_fitting_param")[0].alias("inner_radius"))
 
 
 @query("k7_report_counts", f"WITH {FRAMES_SQL} SELECT filename, printf('%.3f', embedding[3]::DOUBLE) AS total_count FROM frames")
@@ -853,3 +928,10 @@ def s8(spark, sf_dir):
 def drift(spark, sf_dir):
     known = pixels(spark, sf_dir).join(F.broadcast(lookups.corner_masks(spark, SIDE, SIDE, 2)), ["r", "c"])
     return known.select("frame_id", r6(F.avg(F.when(F.col("bkg") == 0, F.col("v"))).over(of_frame())).alias("drift")).distinct()
+
+
+@query("s8_block_round_trip", ORACLE["s8_frame_round_trip"])
+def s8_blocks(spark, sf_dir):
+    back = bl.from_blocks(bl.to_blocks(frames(spark, sf_dir), BLOCKS), BLOCKS)
+    checksum = F.aggregate(F.transform("pixels", lambda v, p: v * p), F.lit(0.0), lambda a, x: a + x)
+    return back.select("frame_id", F.size("pixels").cast("long").alias("n"), r6(checksum).alias("checksum"))

@@ -1,7 +1,8 @@
-"""From frames to results: the whole chain in two physical forms with one meaning.
+"""From frames to results: the whole chain in three physical forms with one meaning.
 
 The pixel path is declarative, a row per pixel; the frame path keeps a frame in one row and
-runs small array kernels on it, a frame at a time, for frames of a million pixels.
+runs small array kernels on it, a frame at a time, for frames of a million pixels; the block
+path cuts frames into blocks, which clean one frame in many tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.types import StructType
 from ringlake.functions.geometry import mask_centre
 from ringlake.operators import background as bg
 from ringlake.operators import centroid, grouping, lookups, radial
+from ringlake.operators.blocks import SIDE, Layout, from_blocks, marked_blocks, rejected_blocks, table_blocks, to_blocks
 from ringlake.operators.frames import checked, subtract, to_frames, to_pixels
 from ringlake.operators.masking import apply_masks
 from ringlake.operators.outliers import reject_hits, remove_background
@@ -170,6 +172,51 @@ class Kernel:
         return [float(t / k) if k else None for t, k in zip(total, n)]
 
 
+def _constants(spark: SparkSession, background: DataFrame, masks: DataFrame, s: Settings):
+    """Background and both masks as arrays of one frame, for all tasks."""
+
+    def image(rows: DataFrame, column: str) -> np.ndarray:
+        out = np.full((s.height, s.width), np.nan)
+        pdf = rows.select("r", "c", F.col(column).cast("double").alias("x")).toPandas()
+        out[pdf["r"], pdf["c"]] = pdf["x"]
+        return out
+
+    return spark.sparkContext.broadcast((image(background, "bg"), image(masks, "keep"), image(masks, "bkg")))
+
+
+def process_blocks(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings, sampled: DataFrame | None = None, side: int = SIDE, salts: int = 16) -> DataFrame:
+    """The columns RESULT of each frame by the block path; a frame that has an error, no pixels or another shape keeps that error.
+
+    Subtraction, rejection of hits and the sums of the drift run on blocks of ``side`` pixels
+    a side, which exchange the borders of their hits; blocks then meet once, by frame, for
+    centre and profile. Statistics are joined by group and block, each split into ``salts`` parts.
+    """
+    at = Layout(s.height, s.width, side)
+    all_ = checked(frames, s.height, s.width)
+    good = all_.where("error IS NULL")
+    constants = _constants(frames.sparkSession, background, masks, s)
+    fixed = table_blocks(background.join(masks, ["r", "c"]), ("bg", "bkg"), at)
+    stats = table_blocks(statistics(_sample(good, sampled, s), background, s), ("med", "mad"), at, ("xps_value",))
+    stats = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = to_blocks(good, at).withColumn("salt", F.pmod(F.xxhash64("frame_id"), F.lit(salts)).cast("int"))
+    known = dealt.join(stats, ["xps_value", "br", "bc", "salt"], "left").join(F.broadcast(fixed), ["br", "bc"])
+    cleaned = from_blocks(rejected_blocks(marked_blocks(known, at, s.sigma, s.ratio), fixed, at), at, ("drift_sum", "drift_n"))
+
+    def run(batches):
+        kernel = Kernel(s, *constants.value)
+        for pdf in batches:
+            rows = []
+            for f in pdf.itertuples(index=False):
+                v = np.asarray(f.pixels, dtype=float).reshape(s.height, s.width)
+                v = np.where(kernel.keep, v - (f.drift_sum / f.drift_n if f.drift_n else np.nan), np.nan)
+                x, y, total = kernel.centre(v)
+                rows.append((f.frame_id, x, y, total, kernel.profile(v, x, y)))
+            yield pd.DataFrame(rows, columns=["frame_id", "center_x", "center_y", "total_count", "radial_profile"])
+
+    found = cleaned.select("frame_id", "pixels", "drift_sum", "drift_n").mapInPandas(run, "frame_id long, center_x double, center_y double, total_count double, radial_profile array<double>")
+    return all_.select("frame_id", "filename", "xps_value", "error").join(found, "frame_id", "left").select(*StructType.fromDDL(RESULT).names)
+
+
 def process_frames(frames: DataFrame, background: DataFrame, masks: DataFrame, s: Settings, sampled: DataFrame | None = None, salts: int = 16) -> DataFrame:
     """The columns RESULT of each frame by the frame path: one row a frame, a frame that fails keeps its error.
 
@@ -179,15 +226,7 @@ def process_frames(frames: DataFrame, background: DataFrame, masks: DataFrame, s
     after the other; a task holds an Arrow batch of frames, which
     ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds.
     """
-    spark = frames.sparkSession
-
-    def image(rows: DataFrame, column: str) -> np.ndarray:
-        out = np.full((s.height, s.width), np.nan)
-        pdf = rows.select("r", "c", F.col(column).cast("double").alias("x")).toPandas()
-        out[pdf["r"], pdf["c"]] = pdf["x"]
-        return out
-
-    constants = spark.sparkContext.broadcast((image(background, "bg"), image(masks, "keep"), image(masks, "bkg")))
+    constants = _constants(frames.sparkSession, background, masks, s)
     all_ = checked(frames, s.height, s.width)
     known = with_statistics(all_, _sample(all_.where("error IS NULL"), sampled, s), background, s, salts)
 

@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ringlake.functions.naming import PLAIN_BIN, group_name
 from ringlake.operators.frames import strict
@@ -46,6 +47,19 @@ def load_config(spark: SparkSession, path: str) -> RunConfig:
     return RunConfig.of(row.asDict())
 
 
+def save_configs(rows: DataFrame, path: str) -> None:
+    """A line of JSON for each row of configurations; columns that they don't have get their defaults."""
+    given = asdict(RunConfig())
+    types = StructType.fromDDL(CONFIG)
+    full = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(given[f.name]).cast(f.dataType) for f in types]
+    rows.select(*[c.alias(f.name) for c, f in zip(full, types)]).write.mode("overwrite").json(path)
+
+
+def load_configs(spark: SparkSession, path: str) -> DataFrame:
+    """The configurations of a folder, typed: a row each."""
+    return spark.read.schema(CONFIG).json(path)
+
+
 def parse_configs(rows: DataFrame, column: str) -> DataFrame:
     """Configurations held as JSON text, as one struct column `config`."""
     return rows.withColumn("config", F.from_json(column, CONFIG))

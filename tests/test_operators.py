@@ -206,7 +206,7 @@ def test_gaussian_fit(frames_of):
     a = 100 * np.exp(-((c - 14.4) ** 2 + (r - 15.7) ** 2) / (2 * 6.0**2)) + 3
     broken = a.copy()
     broken[15, 20] = np.nan
-    got = {x.frame_id: x for x in fitting.gaussian_centres(to_pixels(frames_of([a, broken])), (80.0, 15.0, 15.0, 5.0, 1.0), 30, 30, 3, 12).collect()}
+    got = {x.frame_id: x for x in fitting.gaussian_centres(frames_of([a, broken]), (80.0, 15.0, 15.0, 5.0, 1.0), 30, 30, 3, 12).collect()}
     assert got[0].success and [got[0][n] for n in fitting.NAMES] == pytest.approx([100, 14.4, 15.7, 6.0, 3], abs=1e-4)
     assert not got[1].success and got[1].x0 is None and got[1].total_intensity is None
 
@@ -383,3 +383,41 @@ def test_subtract_keeps_missing_pixels(frames_of, spark):
     a = np.array([[1.0, np.nan], [3.0, 4.0]])
     one = lookups.grid(spark, 2, 2).withColumn("bg", F.lit(1.0))
     assert np.allclose(image(subtract(to_pixels(frames_of([a])), one), (2, 2)), a - 1, equal_nan=True)
+
+
+def test_fits_of_many_frames_are_those_of_each(frames_of):
+    """Stacked steps give what one frame alone gives; parameters stop at their bounds; each frame ends on its own."""
+    rng = np.random.default_rng(6)
+    r, c = np.mgrid[:24, :24]
+    start = (80.0, 12.0, 11.0, 5.0, 1.0)
+    images = [a * np.exp(-((c - x) ** 2 + (r - y) ** 2) / (2 * s * s)) + 2 + rng.normal(size=r.shape) / 4 for a, x, y, s in ((100, 12.5, 11.1, 5, ), (900, 12.0, 11.0, 5), (60, 9.0, 14.0, 3), (90, 12.0, 12.0, 0.4))]
+    images.append(np.full(r.shape, 3.0))
+    x, y, v = c.ravel().astype(float), r.ravel().astype(float), np.stack([m.ravel() for m in images])
+    good, p, errors = fitting.fit_rings(x, y, v, start, 24, 24)
+    low, high = fitting.bounds_of(start, 24, 24)
+    assert good.all() and (p >= low).all() and (p <= high).all() and p[1, 0] == 400 and p[3, 3] == 1.0
+    for i in range(len(images)):
+        alone = fitting.fit_rings(x, y, v[i : i + 1], start, 24, 24)
+        assert alone[1][0] == pytest.approx(p[i], rel=1e-9) and alone[2][0] == pytest.approx(errors[i], rel=1e-6, nan_ok=True)
+    for i in (0, 2):  # at a free optimum no small step lowers the cost
+        f = lambda q: ((fitting._model(q[None], x, y)[0][0] - v[i]) ** 2).sum()  # noqa: B023, E731
+        assert all(f(p[i] + d) >= f(p[i]) for d in np.concatenate([np.eye(5), -np.eye(5)]) * 1e-5)
+        assert 0 < errors[i, 1] < 0.1
+
+
+def test_frames_without_a_fit(frames_of, spark):
+    """Other sizes, no pixels, too few pixels in the ring, a start outside its bounds: a row each, without success."""
+    f = frames_of([np.ones((8, 8))] * 3).withColumn("pixels", F.when(F.col("frame_id") == 1, F.slice("pixels", 1, 9)).when(F.col("frame_id") == 0, F.col("pixels")))
+    got = {x.frame_id: x for x in fitting.gaussian_centres(f, (1.0, 4.0, 4.0, 2.0, 0.0), 8, 8, 0, 3).collect()}
+    assert (got[0].success, got[1].success, got[2].success) == (True, False, False) and got[1].n_pixels == got[2].n_pixels == 0
+    for start, ring in (((1.0, 4.0, 4.0, 2.0, 0.0), (0, 1)), ((-1.0, 4.0, 4.0, 2.0, 0.0), (0, 3)), ((1.0, 40.0, 4.0, 2.0, 0.0), (0, 90))):
+        assert not any(x.success for x in fitting.gaussian_centres(f, start, 8, 8, *ring).collect())
+    assert fitting.gaussian_centres(f.limit(0), (1.0, 4.0, 4.0, 2.0, 0.0), 8, 8).collect() == []
+
+
+def test_one_fit_feeds_the_profile(spark):
+    """The fit is in the plan once, and frames meet no join."""
+    from ringlake.plans.catalog import QUERIES
+
+    plan = QUERIES["i4_fitted_profile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
