@@ -21,10 +21,11 @@ from ringlake.operators.masking import apply_masks
 from ringlake.plans.pipeline import Settings, process_blocks, process_frames, process_pixels, screening_image, split_failures
 from ringlake.plans.run import merged_frames, run_configured
 from ringlake.sources.files import write_files
+from ringlake.sources.formats import frame_source
 from ringlake.sources.masks import mask_pixels, read_masks, write_images
 from ringlake.sources.results import RunConfig, load_configs, load_results, parse_configs, save_configs, save_failures, save_report, save_results, save_results_csv
 from ringlake.sources.scratch import new_folder
-from ringlake.sources.tiff import encode, read_frames, write_frames
+from ringlake.sources.tiff import encode, encode_pages, read_frames, write_frames
 
 SIDE = 8
 RING = (1, 3)
@@ -838,6 +839,39 @@ def s1(spark, sf_dir):
     return read_frames(spark, folder).select("filename", "xps_value", "height", "width", "dtype", r6(checksum).alias("checksum"), "error")
 
 
+#: (compression, predictor, tile, byte order) of the files that frames are written to in turn.
+LAYOUTS = (
+    ("plain", 1, None, "<"), ("plain", 2, (16, 16), ">"), ("lzw", 1, None, ">"), ("lzw", 2, (3, 5), "<"), ("deflate", 1, (4, 4), "<"), ("deflate", 2, None, ">"),
+    ("deflate", 3, None, "<"), ("deflate", 3, (3, 3), ">"), ("packbits", 1, (8, 8), "<"), ("packbits", 2, None, ">"), ("lzw", 3, (5, 3), "<"), ("packbits", 3, None, "<"),
+)
+
+
+@query("s1_tiff_layouts", f"{PX_SQL}, t AS (SELECT frame_id, sum(round_even(v * 1000, 0) * (r * 8 + c + 1))::DOUBLE AS checksum FROM px GROUP BY frame_id) SELECT filename || '.tiff' AS filename, page::INT AS page, 8 AS height, 8 AS width, CASE WHEN frame_id % 12 IN (6, 7, 10, 11) THEN 'float64' ELSE 'int32' END AS dtype, checksum * (page + 1) + 0.0 AS checksum, NULL::VARCHAR AS error FROM frames JOIN t USING (frame_id), (SELECT unnest([0, 1]) AS page)")
+def s1_layouts(spark, sf_dir):
+    """Files of every layout, two images each, written by tasks and read as a frame an image."""
+    folder = new_folder(spark, "layouts")
+
+    def content(f) -> bytes:
+        compression, predictor, tile, order = LAYOUTS[f.frame_id % len(LAYOUTS)]
+        a = np.rint(np.asarray(f.pixels, dtype=float) * 1000).reshape(f.height, f.width).astype("f8" if predictor == 3 else "i4")
+        return encode_pages([a, a * 2], compression, predictor, tile, order)
+
+    rows = frames(spark, sf_dir).select("frame_id", "height", "width", "pixels", F.concat("filename", F.lit(".tiff")).alias("filename"))
+    write_files(rows, folder, "filename", content)
+    checksum = F.aggregate(F.transform("pixels", lambda v, p: v * (p + 1)), F.lit(0.0), lambda a, x: a + x) + 0.0
+    return read_frames(spark, folder, pages=True).select("filename", "page", "height", "width", "dtype", checksum.alias("checksum"), "error")
+
+
+@query("s2_filtered_source", f"{PX_SQL}, t AS (SELECT frame_id, round(sum(v * (r * 8 + c)), 6) + 0.0 AS checksum FROM px GROUP BY frame_id) SELECT filename || '.tiff' AS filename, xps_text::DOUBLE AS xps_value, checksum FROM frames JOIN t USING (frame_id) WHERE xps_text::DOUBLE BETWEEN 120.005 AND 120.0125 AND contains(filename, '_scan1')")
+def s2_filtered(spark, sf_dir):
+    """A folder as a data source: scan positions and names are filtered in its planning, other files stay closed."""
+    folder = new_folder(spark, "source")
+    write_frames(frames(spark, sf_dir), folder)
+    chosen = frame_source(spark, folder).where("xps_value BETWEEN 120.005 AND 120.0125 AND contains(filename, '_scan1')")
+    checksum = F.aggregate(F.transform("pixels", lambda v, p: v * p), F.lit(0.0), lambda a, x: a + x)
+    return chosen.select("filename", "xps_value", r6(checksum).alias("checksum"))
+
+
 @query("s2_broken_files", f"WITH {FRAMES_SQL} SELECT filename || '.tiff' AS filename, frame_id % 5 = 0 AS broken FROM frames")
 def s2(spark, sf_dir):
     """A folder in which every fifth file is cut short: a row with an error for each, the others whole."""

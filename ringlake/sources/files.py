@@ -1,30 +1,26 @@
-"""A sink of small files: one for each row, written by the task that holds it."""
+"""A sink of small files: one for each row, made by the task that holds it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyarrow.fs import FileSystem
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ringlake.sources.formats import save_files
 
-def write_files(rows: DataFrame, path: str, name: str, content: Callable[..., bytes]) -> int:
+
+def write_files(rows: DataFrame, path: str, name: str, content: Callable[..., bytes], overwrite: bool = False) -> int:
     """Write ``content(row)`` of each row to the file in its column ``name`` in the folder ``path``, a URI; returns the number of rows.
 
-    A task that is run again writes the same files again.
+    Files appear when all tasks are done, or not at all; a task that is run again replaces
+    what it wrote. Two rows of one name are an error, as is a name that is there already
+    unless it is to be overwritten.
     """
-    place = path if ":" in path else f"file://{path}"
-
-    def run(batches):
-        system, folder = FileSystem.from_uri(place)
-        system.create_dir(folder, recursive=True)
-        n = 0
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                with system.open_output_stream(f"{folder}/{getattr(row, name)}") as f:
-                    f.write(content(row))
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    return rows.mapInPandas(run, "n long").groupBy().sum("n").first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pandas().itertuples(index=False):
+                yield pa.RecordBatch.from_arrays([pa.array([getattr(row, name)], pa.string()), pa.array([content(row)], pa.binary())], names=["name", "content"])
+
+    return save_files(rows.mapInArrow(run, "name string, content binary"), path, overwrite)

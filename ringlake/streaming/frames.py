@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ringlake.functions.naming import base_name, scan_value
 from ringlake.sources.results import save_results
-from ringlake.sources.tiff import _decoded
+from ringlake.sources.tiff import READ, _decoded
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -18,7 +18,7 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 def frame_stream(spark: SparkSession, path: str, files_a_batch: int = 500) -> DataFrame:
     """A stream of frames, ``files_a_batch`` files a batch at most."""
     files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").option("maxFilesPerTrigger", files_a_batch).load(path)
-    decoded = files.select("path", "content").mapInPandas(lambda batches: (_decoded(b) for b in batches), "height int, width int, dtype string, pixels array<double>, error string, path string")
+    decoded = files.select("path", "content").mapInPandas(lambda batches: (_decoded(b) for b in batches), READ)
     name = base_name(F.col("path"))
     return decoded.select(F.xxhash64("path").alias("frame_id"), "path", name.alias("filename"), scan_value(name).alias("xps_value"), "height", "width", "dtype", "pixels", "error")
 
