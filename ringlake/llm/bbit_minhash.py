@@ -31,7 +31,7 @@ SIZE_STEP = 1.02
 #: Bits of a filter for each key in it, and the most bits of one (16 MB).
 BITS_A_KEY, MOST_BITS = 16, 1 << 27
 #: Buckets of up to so many sets make all pairs that are still open.
-SMALL_BUCKET = 12
+SMALL_BUCKET = 4
 #: Sets that are compared with one copy of another.
 COMPARED = 512
 
@@ -244,6 +244,35 @@ def prefix_pairs(sets: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return small.join(large, ["g", "class"]).where(order & (F.col("root") != F.col("root2"))).select("sid", "n", "other", "other_n")
 
 
+def _two_steps(edges: DataFrame) -> DataFrame:
+    """(node, root) of each node of ``edges`` (a, b): the least node within two steps."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy("a").agg(F.least("a", F.min("b")).alias("l"))
+    second = both.join(first.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.least("a", F.min("l")).alias("root"))
+    return second.withColumnRenamed("a", "node")
+
+
+def near_labels(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """(node, root) of each node of ``edges`` (a, b); nodes of equal root are connected, but not all that are connected have an equal one.
+
+    Around one central node two steps are all. A further round takes two steps between what
+    is apart then. That leaves out most of what is linked already, at a known cost.
+    """
+    labels, left = None, edges
+    for k in range(rounds):
+        found = checkpoint(_two_steps(left))
+        if labels is None:
+            labels = found
+        else:
+            on = found.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            labels = labels.join(on, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+        if k + 1 < rounds:
+            of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+            apart = left.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
+            left = checkpoint(apart.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    return labels
+
+
 def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of each set that is linked to another; root is the least sid that links reach.
 
@@ -268,9 +297,8 @@ def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int)
     wanted = tested.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(meets.select("sid", "h"), "sid")
     sets = checkpoint(sets_of(docs, checkpoint(wanted), words))
     edges = checkpoint(linked(tested, sets, percent))
-    roots = components(edges)
-
-    rooted = weighed.join(roots, weighed["sid"] == roots["node"], "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    near = near_labels(edges)
+    rooted = weighed.join(near, weighed["sid"] == near["node"], "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
     ends = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
     open_ = checkpoint(rooted.join(ends.select("key", "m"), "key"))
     # where few are left their pairs are few too; a bucket of two has met its leader already
@@ -281,7 +309,7 @@ def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int)
     across = within if held.isEmpty() else within.unionByName(prefix_pairs(checkpoint(sets_of(docs, checkpoint(held.join(meets.select("sid", "h"), "sid").select("sid", "h")), words)), held, percent))
     rest = checkpoint(promising(able(across, percent), meets, percent).join(tested, ["a", "b"], "left_anti"))
     if rest.isEmpty():
-        return roots
+        return components(edges)
     more = rest.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(meets.select("sid", "h"), "sid")
     return components(edges.union(checkpoint(linked(rest, checkpoint(sets_of(docs, checkpoint(more), words)), percent))))
 
