@@ -6,6 +6,7 @@ Rows of `embeddings` stand in for frames: 64 values are an 8 x 8 frame, the labe
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,18 +15,19 @@ from pyspark.sql import functions as F
 from ringlake.functions import geometry, naming
 from ringlake.operators import background as bg
 from ringlake.operators import blocks as bl
-from ringlake.operators import centroid, grouping, lookups, morphology, outliers, radial, summary
+from ringlake.operators import centroid, grouping, lookups, moments, morphology, outliers, radial, summary
 from ringlake.operators.frames import normalise, of_frame, shift, subtract, to_frames, to_pixels
 from ringlake.operators.fitting import NAMES, centred_frames, gaussian_centres
 from ringlake.operators.masking import apply_masks
 from ringlake.plans.pipeline import Settings, process_blocks, process_frames, process_pixels, screening_image, split_failures
-from ringlake.plans.run import merged_frames, run_configured
+from ringlake.plans.run import merged_frames, run_configured, run_groups
 from ringlake.sources.files import write_files
 from ringlake.sources.formats import frame_source
 from ringlake.sources.masks import mask_pixels, read_masks, write_images
 from ringlake.sources.results import RunConfig, load_configs, load_results, parse_configs, save_configs, save_failures, save_report, save_results, save_results_csv
 from ringlake.sources.scratch import new_folder
 from ringlake.sources.tiff import encode, encode_pages, read_frames, write_frames
+from ringlake.streaming.statistics import latest_state, merge_batches
 
 SIDE = 8
 RING = (1, 3)
@@ -938,19 +940,92 @@ def k8(spark, sf_dir):
 FOLDER_SQL = _results_sql(f"{RAISED_SQL}, cl AS MATERIALIZED ({DRIFT_SQL} FROM up)", 1.0, ".tiff")
 
 
+def constants(spark: SparkSession, out: str, level: DataFrame, masks: DataFrame) -> None:
+    """Background and masks as the files that a configured run finds beside its results."""
+    made = level.join(masks, ["r", "c"]).select(F.explode(F.array(*[F.struct(F.lit(i).alias("frame_id"), F.col(v).cast("double").alias("v"), F.lit(n).alias("filename")) for i, (v, n) in enumerate((("bg", "background"), ("keep", "data_mask"), ("bkg", "background_mask")))])).alias("x"), "r", "c")
+    made = to_frames(made.select("x.frame_id", "x.v", F.col("x.filename").alias("xps_value"), "r", "c"), SIDE, SIDE)
+    write_frames(made.withColumnRenamed("xps_value", "filename"), out)
+
+
 @query("o5_run_of_a_folder", FOLDER_SQL)
 def o5(spark, sf_dir):
     """A configured run: frames, background and masks are files, found by the configuration's rules."""
     data, out = new_folder(spark, "data"), new_folder(spark, "out")
     f, level, masks, _ = chain_inputs(spark, sf_dir)
     write_frames(f, data)
-    constants = level.join(masks, ["r", "c"]).select(F.explode(F.array(*[F.struct(F.lit(i).alias("frame_id"), F.col(v).cast("double").alias("v"), F.lit(n).alias("filename")) for i, (v, n) in enumerate((("bg", "background"), ("keep", "data_mask"), ("bkg", "background_mask")))])).alias("x"), "r", "c")
-    constants = to_frames(constants.select("x.frame_id", "x.v", F.col("x.filename").alias("xps_value"), "r", "c"), SIDE, SIDE)
-    write_frames(constants.withColumnRenamed("xps_value", "filename"), out)
+    constants(spark, out, level, masks)
     config = RunConfig(out, "default", "default", xray_removal_param=[4, 0.5], center_fitting_param=[*RING, *GUESS], azimuthal_avg_param=[4, 4])
     return rounded(load_results(spark, f"{run_configured(spark, config, data, SIDE, SIDE)}/results", 4))
 
 
+class Stopped(BaseException):
+    """A run that is ended from outside."""
+
+
+@query("o5_resumed_run", FOLDER_SQL)
+def o5_resumed(spark, sf_dir):
+    """A run that is stopped after its first groups and called again: the rows of one run."""
+    data, out = new_folder(spark, "data"), f"{new_folder(spark, 'out')}/run"
+    f, level, masks, s = chain_inputs(spark, sf_dir)
+    s = replace(s, box=40, tolerance=1.0)
+    write_frames(f, data)
+    calls = []
+
+    def stopping(*args, **options):
+        calls.append(1)
+        if len(calls) == 2:
+            raise Stopped
+        return process_frames(*args, **options)
+
+    try:
+        run_groups(spark, data, out, level, masks, s, stopping, at_once=4)
+    except Stopped:
+        run_groups(spark, data, out, level, masks, s, at_once=8)
+    return rounded(load_results(spark, f"{out}/results", 4))
+
+
+@query("o10_merged_run", f"""SELECT f.filename, m.xps_value, center_x, center_y, total_count, {', '.join(f'radial_bin_{i:03d}' for i in range(4))} FROM ({FOLDER_SQL}) f
+  JOIN ({MERGED_SQL}, kept AS (SELECT merged_value FROM merged ORDER BY merged_value LIMIT 2) SELECT filename || '.tiff' AS filename, round(merged_value, 9) AS xps_value FROM frames JOIN placed p ON xps_text::DOUBLE = p.xps_value JOIN merged USING (cluster) WHERE merged_value IN (SELECT merged_value FROM kept)) m ON m.filename = f.filename""")
+def o10_run(spark, sf_dir):
+    """A folder whose groups are merged as its configuration says; the first two are processed."""
+    data, out = new_folder(spark, "data"), new_folder(spark, "out")
+    f, level, masks, _ = chain_inputs(spark, sf_dir)
+    write_frames(f, data)
+    constants(spark, out, level, masks)
+    config = RunConfig(out, "default", "default", xps_grouping_param=[49, 0.0025], xray_removal_param=[4, 0.5], center_fitting_param=[*RING, *GUESS], azimuthal_avg_param=[4, 4])
+    found = load_results(spark, f"{run_configured(spark, config, data, SIDE, SIDE, merged=True, first=2)}/results", 4)
+    return rounded(found).withColumn("xps_value", F.round("xps_value", 9))
+
+
+@query("a9_merged_batches", ORACLE["a9_profile_stats"])
+def a9_batches(spark, sf_dir):
+    """Frames in five batches, each a state of its own, merged into one."""
+    cut = profiles(spark, sf_dir).withColumn("cut", F.col("frame_id") % 5)
+    states = moments.moments(cut, ("cut", *moments.PROFILE[0]), moments.PROFILE[1]).drop("cut")
+    s = moments.profile_statistics_of(moments.merged(states, *moments.PROFILE))
+    return s.select("xps_value", "bin", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@query("a9_profile_stream", ORACLE["a9_profile_stats"])
+def a9_stream(spark, sf_dir):
+    """Profiles that arrive as files, a few a batch, and are merged batch by batch."""
+    folder = new_folder(spark, "arriving")
+    profiles(spark, sf_dir).repartition(6).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("frame_id long, xps_value double, bin int, bin_center double, mean double").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    merge_batches(stream, *moments.PROFILE, f"{folder}/state", f"{folder}/marks").awaitTermination()
+    s = moments.profile_statistics_of(latest_state(spark, f"{folder}/state"))
+    return s.select("xps_value", "bin", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@query("a10_merged_batches", ORACLE["a10_run_summary"])
+def a10_batches(spark, sf_dir):
+    counted = pixels(spark, sf_dir).groupBy("frame_id", "xps_value").agg(F.sum(F.col("v") + 1).alias("total_count"), F.max(F.col("r") * F.col("v")).alias("center_y"))
+    results = counted.withColumn("center_x", F.lit(0.0)).join(radial.as_array(profiles(spark, sf_dir)), "frame_id")
+    states = [moments.run_state(results.where(F.col("frame_id") % 3 == i)) for i in range(3)]
+    s = moments.run_summary_of(moments.merged(states[0].unionByName(states[1]).unionByName(states[2]), *moments.RUN))
+    return s.select("xps_value", "n_frames", *[r6(c).alias(c) for c in ("mean_center_y", "std_center_y", "mean_total_count", "std_total_count", "profile_max", "profile_min")])
+
+
 @query("s8_frame_round_trip", f"{PX_SQL} SELECT frame_id, count(*) AS n, round(sum(v * (r * 8 + c)), 6) + 0.0 AS checksum FROM px GROUP BY frame_id")
 def s8(spark, sf_dir):
     back = to_frames(pixels(spark, sf_dir), SIDE, SIDE)

@@ -1,16 +1,20 @@
-"""Runs of whole folders: what a configuration names is found and read, and groups are processed or merged first."""
+"""Runs of whole folders: what a configuration names is found and read, groups are merged or not, and a run that stopped goes on."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ringlake.functions.naming import base_name
+from ringlake.functions.naming import group_name
+from ringlake.operators import background as bg
 from ringlake.operators import grouping, lookups
 from ringlake.operators.frames import checked
-from ringlake.plans.pipeline import Settings, process_frames, run_directory
-from ringlake.sources.results import RunConfig
+from ringlake.plans.pipeline import RESULT, Settings, process_frames, split_failures
+from ringlake.sources.formats import frame_source
+from ringlake.sources.results import RunConfig, save_failures, save_results
 from ringlake.sources.tiff import list_files, read_frames
 
 # The word for files beside the results, and their names.
@@ -19,15 +23,11 @@ BACKGROUND, DATA_MASK, DRIFT_MASK = "background.tiff", "data_mask.tiff", "backgr
 
 
 def listed_files(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of the TIFF files right in a folder: .tiff before .tif, in order of names; none if it isn't there. Contents stay unread."""
-    try:
-        files = list_files(spark, folder)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return []
-    short = F.lower(base_name(F.col("path"))).endswith(".tif").cast("int")
-    return [r.path for r in files.orderBy(short, "path").collect()]
+    """Paths of the TIFF files right in a folder: .tiff before .tif, in order of names; none if it isn't there. Contents and folders in it stay unread."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath().toString() for f in system.listStatus(path) if f.isFile()] if system.exists(path) else []
+    return sorted((f for f in found if f.lower().endswith((".tif", ".tiff"))), key=lambda f: (f.lower().endswith(".tif"), f))
 
 
 def constant_pixels(spark: SparkSession, path: str, height: int, width: int, name: str) -> DataFrame:
@@ -73,10 +73,99 @@ def settings_of(config: RunConfig, height: int, width: int) -> Settings:
     return Settings(height, width, (x, y), ring=(inner, outer), radius=radius, bins=int(bins), sigma=sigma, ratio=ratio)
 
 
-def run_configured(spark: SparkSession, config: RunConfig, frames: str, height: int, width: int, name: str = "run") -> str:
-    """Everything of one configuration: find background and masks, process the folder ``frames``, return the folder of the results."""
+MANIFEST = "key string, n_files long, error string"
+
+
+def planned_groups(files: DataFrame, merge: tuple[int, float] | None = None, first: int | None = None) -> DataFrame:
+    """(key, xps_value, n_files, own) of the groups of a listing: own positions each, or merged ones with (large, gap); all, or the ``first`` in order.
+
+    ``key`` is the position to five places, the name of the group's folder; ``own`` are the
+    positions in its files' names. A row a group.
+    """
+    sizes = files.where("xps_value IS NOT NULL").groupBy("xps_value").agg(F.count("*").alias("n_files"))
+    if merge is not None:
+        sizes = grouping.merge_groups(sizes, int(merge[0]), merge[1]).select(F.col("xps_value").alias("own"), F.col("merged_value").alias("xps_value"), "n_files")
+    else:
+        sizes = sizes.withColumn("own", F.col("xps_value"))
+    keyed = sizes.withColumn("key", group_name(F.col("xps_value")))
+    groups = keyed.groupBy("key").agg(F.min("xps_value").alias("xps_value"), F.sum("n_files").alias("n_files"), F.array_sort(F.collect_list("own")).alias("own"))
+    return groups if first is None else grouping.first_rows(groups, first, "xps_value")
+
+
+def finished_groups(spark: SparkSession, out: str) -> DataFrame:
+    """(key, n_files) of the groups whose results are complete."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{out}/manifest").where("error IS NULL").select("key", "n_files").distinct()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "key string, n_files long")
+
+
+def run_groups(
+    spark: SparkSession, path: str, out: str, background: DataFrame, masks: DataFrame, s: Settings,
+    process: Callable[..., DataFrame] = process_frames, merge: tuple[int, float] | None = None, first: int | None = None, at_once: int = 16,
+) -> DataFrame:
+    """Process the groups of a folder of TIFF files that aren't finished yet; returns the manifest's rows (key, n_files, error) of this call.
+
+    ``at_once`` groups make one job, whose results replace what these groups had in
+    ``out/all``; only then is each noted in ``out/manifest``. So a run that stops anywhere is
+    gone on with by the same call: groups in the manifest are left alone, unless they have
+    another number of files by now. If a job fails its groups are tried one by one, and one
+    that fails then is noted with its error; the others go on, and the next call tries it
+    again. Files of other groups are never opened. At the end ``out/results`` and
+    ``out/failed`` are made again from all finished groups.
+    """
+    files = list_files(spark, path).where("xps_value IS NOT NULL")
+    groups = planned_groups(files, merge, first)
+    open_ = groups.join(finished_groups(spark, out), ["key", "n_files"], "left_anti").orderBy("xps_value").collect()  # a row a group
+    noted: list[tuple] = []
+
+    def note(some: Sequence[Row], error: str | None) -> None:
+        rows = [(g.key, g.n_files, error) for g in some]
+        spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{out}/manifest")
+        noted.extend(rows)
+
+    def work(some: Sequence[Row]) -> None:
+        own = [v for g in some for v in g.own]
+        values = F.create_map(*[F.lit(x) for g in some for v in g.own for x in (v, g.xps_value)])
+        frames = frame_source(spark, path).where(F.col("xps_value").isin(own)).withColumns({"frame_id": F.xxhash64("path"), "xps_value": values[F.col("xps_value")]})
+        listed = files.where(F.col("xps_value").isin(own)).withColumn("xps_value", values[F.col("xps_value")])
+        chosen = bg.chosen_frames(listed, s.sample, s.seed).select("filename")
+        done = process(frames, background, masks, s, sampled=frames.join(chosen, "filename", "left_semi"))
+        keyed = done.withColumn("xps_key", group_name(F.col("xps_value")))
+        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("xps_key").parquet(f"{out}/all")
+        note(some, None)
+
+    for i in range(0, len(open_), at_once):
+        some = open_[i : i + at_once]
+        try:
+            work(some)
+        except Exception:
+            for g in some:
+                try:
+                    work([g])
+                except Exception as e:  # one bad group must not stop the others
+                    note([g], f"{type(e).__name__}: {e}"[:2000])
+    kept = finished_groups(spark, out)
+    if not kept.isEmpty():
+        rows = spark.read.schema(f"{RESULT}, xps_key string").parquet(f"{out}/all")
+        done, failed = split_failures(rows.join(kept.select(F.col("key").alias("xps_key")), "xps_key", "left_semi").drop("xps_key"))
+        save_results(done.drop("frame_id"), f"{out}/results", s.bins, mode="overwrite")
+        save_failures(failed, f"{out}/failed", mode="overwrite")
+    return spark.createDataFrame(noted, MANIFEST)
+
+
+def run_configured(spark: SparkSession, config: RunConfig, frames: str, height: int, width: int, name: str = "run", merged: bool = False, first: int | None = None, process: Callable[..., DataFrame] = process_frames) -> str:
+    """Everything of one configuration: find background and masks, process the folder ``frames``, return the folder of the results.
+
+    Groups are those of the files' positions; with ``merged`` they are merged first, by the
+    configuration's xps_grouping_param (large, gap), which counts for nothing otherwise.
+    ``first`` leaves all but the first groups out. Called again, it goes on with what isn't finished.
+    """
     out = f"{config.result_directory}/{name}"
-    run_directory(spark, frames, out, resolve_background(spark, config, height, width), resolve_masks(spark, config, height, width), settings_of(config, height, width))
+    large, gap = config.xps_grouping_param
+    run_groups(spark, frames, out, resolve_background(spark, config, height, width), resolve_masks(spark, config, height, width), settings_of(config, height, width), process, (int(large), gap) if merged else None, first)
     return out
 
 

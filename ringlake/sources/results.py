@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from ringlake.functions.naming import PLAIN_BIN, group_name
 from ringlake.operators.frames import strict
 from ringlake.operators.radial import wide
+from ringlake.sources.scratch import checkpoint
 
 
 @dataclass
@@ -85,10 +86,11 @@ def save_results_csv(results: DataFrame, path: str, bins: int) -> None:
     wide(results, bins, PLAIN_BIN).write.mode("append").option("header", True).csv(path)
 
 
-def save_failures(failed: DataFrame, path: str) -> None:
-    """(filename, error) as CSV; nothing is written if there is none."""
-    if not failed.isEmpty():
-        failed.select("filename", "error").write.mode("append").option("header", True).csv(path)
+def save_failures(failed: DataFrame, path: str, mode: str = "append") -> None:
+    """(filename, error) as CSV; nothing is written if there is none. The rows are kept first, so that what made them runs once."""
+    rows = checkpoint(failed.select("filename", "error"))
+    if not rows.isEmpty():
+        rows.write.mode(mode).option("header", True).csv(path)
 
 
 def report(results: DataFrame, bins: int) -> dict[str, DataFrame]:
