@@ -310,3 +310,43 @@ def test_toxicity_edge_cases(docs_of, labels_of):
     assert toxicity.predict(docs_of([]), model).count() == 0
     blank = toxicity.train(docs_of(docs), labels_of([]))
     assert all(0 <= r.score <= 1 for r in toxicity.predict(docs_of(rows), blank).collect())
+
+
+# rows that share an id
+
+
+@pytest.mark.parametrize("shared", [None, 0, 1, 3])
+def test_language_of_rows_that_share_an_id_is_learned(docs_of, shared):
+    """Most rows of one language have one id, or none; it is learned all the same, from a bounded sample."""
+    rng = random.Random(4)
+    rows = [(10 + i, sentence(rng, "xx", 12), "xx", "s") for i in range(200)] + [(shared, sentence(rng, "yy", 12), "yy", "s") for _ in range(800)]
+    docs = docs_of(rows)
+    model = language_id.train(docs)
+    assert model.languages == ("xx", "yy")
+    found = language_id.predict(docs, model).collect()
+    assert sum(r.lang_pred == "yy" for r in found if r.doc_id == shared) > 780 and sum(r.lang_pred == "xx" for r in found) > 190
+
+
+def sampled(docs, monkeypatch, **options):
+    """The texts of each language that a model is trained from."""
+    seen = {}
+    real = type(docs).mapInArrow
+
+    def noting(self, *args, **kwargs):
+        if self.columns == ["lang", "text"]:
+            for r in self.collect():
+                seen.setdefault(r.lang, []).append(r.text)
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noting)
+    language_id.train(docs, **options)
+    return seen
+
+
+def test_the_sample_is_bounded_whatever_ids_are_shared(docs_of, monkeypatch):
+    """Of 2000 rows of one id about 300 are in the sample; 500 copies of one row are one row of it."""
+    rng = random.Random(5)
+    same = sentence(rng, "zz", 9)
+    rows = [(1, sentence(rng, "yy", 12), "yy", "s") for _ in range(2000)] + [(3, same, "zz", "s")] * 500 + [(100 + i, sentence(rng, "xx", 5), "xx", "s") for i in range(50)]
+    seen = sampled(docs_of(rows), monkeypatch, per_language=300)
+    assert 230 < len(seen["yy"]) < 370 and seen["zz"] == [same] and 25 < len(seen["xx"]) <= 50
