@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ START = 0x110000
 LOOK_CHARS, SCORE_CHARS = 500_000, 40_000
 #: Distinct n-grams that a counting task holds before it sends them on.
 HELD_GRAMS = 2_000_000
-#: Distinct n-grams of a slice that a scoring task holds at once.
+#: N-grams of a slice that a scoring task holds and indexes at once.
 PART_GRAMS = 4_000_000
 #: (longest text, texts together) in a slice: 256 million characters at most, mostly far fewer; a longer text is a slice.
 SLICE_SIZES = ((16_384, 16_384), (1_048_576, 256))
@@ -111,52 +111,62 @@ class Lookup:
 class Answers:
     """What the corpus has of the n-grams of one slice of texts: a table of files in the shared folder.
 
-    Read in parts of PART_GRAMS; a slice of one part, as is usual, is read once.
+    A slice of up to PART_GRAMS n-grams is read and indexed once. The n-grams of a larger one
+    go past once for each run of texts that asks for so many of them (see `prepare`), and
+    only those asked for are kept and indexed.
     """
 
     folder: str
     part: int
     slice: int
-    held: list = field(default_factory=list)
+    large: bool = False
+    held: tuple[Lookup, np.ndarray, np.ndarray] | None = None
 
-    def _parts(self) -> Iterator[tuple[int, Lookup, np.ndarray, np.ndarray]]:
-        """(first number, lookup, counts in the target, counts in the corpus) of each part."""
-        if self.held:
-            yield from self.held
-            return
+    def _batches(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, counts in the target, counts in the corpus) of the slice, file by file; a key may come again."""
         system, path = FileSystem.from_uri(f"{self.folder}/part={self.part}")
-        found = ds.dataset(path, filesystem=system, format="parquet").to_batches(columns=["key", "target", "background"], filter=ds.field("slice") == self.slice, use_threads=False)
-        waiting, size, first, several = [], 0, 0, False
-        for batch in found:
+        for batch in ds.dataset(path, filesystem=system, format="parquet").to_batches(columns=["key", "target", "background"], filter=ds.field("slice") == self.slice, use_threads=False):
+            key, *counts = (batch.column(c).to_numpy() for c in ("key", "target", "background"))
+            yield key.view(np.uint64), *counts
+
+    def _whole(self) -> bool:
+        """Read and index the slice, if it is small enough."""
+        waiting, size = [], 0
+        for batch in self._batches():
             waiting.append(batch)
-            size += len(batch)
-            if size >= PART_GRAMS:
-                several = True
-                yield self._part(waiting, first)
-                first += size
-                waiting, size = [], 0
-        if waiting or not several:
-            last = self._part(waiting, first)
-            if not several:
-                self.held.append(last)
-            yield last
-
-    @staticmethod
-    def _part(batches, first: int) -> tuple[int, Lookup, np.ndarray, np.ndarray]:
-        columns = [np.concatenate([np.zeros(0, dtype=np.int64), *(b.column(c).to_numpy() for b in batches)]) for c in ("key", "target", "background")]
-        keys, at = np.unique(columns[0].view(np.uint64), return_index=True)
-        return first, Lookup(keys), columns[1][at], columns[2][at]
+            size += len(batch[0])
+            if size > PART_GRAMS:
+                return False
+        empty = [(np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 2)]
+        keys, target, background = (np.concatenate(c) for c in zip(*(empty + waiting)))
+        keys, at = np.unique(keys, return_index=True)
+        self.held = Lookup(keys), target[at], background[at]
+        return True
+
+    def prepare(self, texts: Sequence[str | None]) -> None:
+        """Have the answers for ``texts`` at hand: those of the whole slice, or of their own n-grams."""
+        if not self.large:
+            if self.held is not None or self._whole():
+                return
+            self.large = True
+        asked = np.unique(np.concatenate([_grams(texts)[0].ravel(), START_KEYS]))
+        target, background = (np.zeros(len(asked), dtype=np.int64) for _ in range(2))
+        for key, t, b in self._batches():
+            at = np.minimum(np.searchsorted(asked, key), len(asked) - 1)
+            hit = asked[at] == key
+            target[at[hit]], background[at[hit]] = t[hit], b[hit]
+        self.held = Lookup(asked), target, background
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number, count in the target, count in the corpus) of each key; equal keys have equal numbers."""
-        number, target, background = (np.zeros(len(keys), dtype=np.int64) for _ in range(3))
-        for first, look, t, b in self._parts():
-            at = look(keys)
-            if len(t) and at.min(initial=0) >= 0:
-                return at + first, t[at], b[at]
-            hit = np.flatnonzero(at >= 0)
-            number[hit], target[hit], background[hit] = at[hit] + first, t[at[hit]], b[at[hit]]
-        return number, target, background
+        """(number, count in the target, count in the corpus) of each key of prepared texts; equal keys have equal numbers."""
+        look, target, background = self.held
+        at = look(keys)
+        if len(target) and at.min(initial=0) >= 0:
+            return at, target[at], background[at]
+        number, *counts = (np.zeros(len(keys), dtype=np.int64) for _ in range(3))
+        hit = np.flatnonzero(at >= 0)
+        number[hit], counts[0][hit], counts[1][hit] = at[hit], target[at[hit]], background[at[hit]]
+        return number, *counts
 
 
 @dataclass(frozen=True)
@@ -308,22 +318,31 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     return _scored(texts, Totals(t or 0, b or 0, max(v, 1)), f"{folder}/counts")
 
 
+def _runs(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    """((part, slice), rows) of runs of rows of one slice, of about ``limit`` bytes of text."""
+    for a, b in slices(batch.column("text"), limit):
+        piece = batch.slice(a, b - a)
+        place = np.column_stack([piece.column(c).to_numpy() for c in ("part", "slice")])
+        cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+            yield tuple(place[x].tolist()), piece.slice(x, y - x)
+
+
 def _scored(texts: DataFrame, totals: Totals, folder: str) -> DataFrame:
     def work(batches) -> Iterator[pa.RecordBatch]:
         answers = None
         for batch in batches:
-            for a, b in slices(batch.column("text"), SCORE_CHARS):
-                piece = batch.slice(a, b - a)
-                place = np.column_stack([piece.column(c).to_numpy() for c in ("part", "slice")])
-                cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
-                for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
-                    run = piece.slice(x, y - x)
+            for at, wide in _runs(batch, PART_GRAMS // ORDER):
+                if answers is None or (answers.part, answers.slice) != at:
+                    answers = Answers(folder, *at)
+                known = False
+                for _, run in _runs(wide, SCORE_CHARS):
                     given = run.column("text").to_pylist()
                     n, losses = np.array([len(t) for t in given], dtype=np.int64), [np.zeros(len(given))] * 2
                     if n.any():
-                        at = tuple(place[x].tolist())
-                        if answers is None or (answers.part, answers.slice) != at:
-                            answers = Answers(folder, *at)
+                        if not known:
+                            answers.prepare(wide.column("text").to_pylist())
+                            known = True
                         *each, starts = totals.losses(given, run.column("target").to_numpy(), answers)
                         losses = [segment_sum(e, starts) / np.maximum(n, 1) for e in each]
                     yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.array(losses[1] - losses[0]), pa.array(n), *map(pa.array, losses)], names=["doc_id", "score", "n_tokens", "target_loss", "background_loss"])

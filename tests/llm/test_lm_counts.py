@@ -52,3 +52,27 @@ def test_keys_of_different_grams_differ():
     pad = "\0" * 4 + text
     for k in range(1, lm_scoring.ORDER + 1):
         assert len(np.unique(keys[k - 1])) == len(Counter(pad[i + 5 - k : i + 5] for i in range(len(text))))
+
+
+def test_a_large_slice_goes_past_once_for_many_pieces(spark, tmp_path, monkeypatch):
+    """A slice of ten times the n-grams that are held is read once a run of texts, not once a piece, and answers the same."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdefghijkl "), 400)) for _ in range(60)]
+    keys = np.unique(np.concatenate([lm_scoring._grams(texts)[0].ravel(), lm_scoring.START_KEYS]))
+    more = np.unique(np.concatenate([keys, rng.integers(0, 1 << 63, 300_000).astype(np.uint64)]))
+    counts = {int(k): (i % 7, i % 7 + i % 11) for i, k in enumerate(more)}
+    rows = [(0, int(np.uint64(k).view(np.int64)), *counts[int(k)]) for k in more]
+    spark.createDataFrame(rows, "slice long, key long, target long, background long").repartition(3).write.parquet(f"{tmp_path}/part=0")
+    monkeypatch.setattr(lm_scoring, "PART_GRAMS", 20_000)
+    read = []
+    real = lm_scoring.Answers._batches
+    monkeypatch.setattr(lm_scoring.Answers, "_batches", lambda self: read.append(1) or real(self))
+    answers = lm_scoring.Answers(f"file://{tmp_path}", 0, 0)
+    for i in range(0, 60, 20):
+        answers.prepare(texts[i : i + 20])
+        for text in texts[i : i + 20]:
+            asked = np.concatenate([lm_scoring._grams([text])[0].ravel(), lm_scoring.START_KEYS])
+            number, t, b = answers(asked)
+            assert [(int(x), int(y)) for x, y in zip(t, b)] == [counts[int(k)] for k in asked]
+            assert len(np.unique(number)) == len(np.unique(asked))
+    assert answers.large and len(read) == 4  # one look at its size, and one a run
