@@ -35,14 +35,22 @@ def _whole_chunks(chunk: int, shape: tuple[int, int] | None) -> None:
         require_divisible(*shape, chunk)
 
 
+def _of_whole_chunk(chunk: int, w: Window) -> Column:
+    """v, or an error at run time where the frame ends inside a chunk."""
+    text = F.concat(F.lit("frame "), F.col("frame_id").cast("string"), F.lit(f" has no whole chunks of {chunk}"))
+    return F.when(F.count(F.lit(1)).over(w) == chunk * chunk, F.col("v")).otherwise(F.raise_error(text).cast("double"))
+
+
 def mad_chunk_filter(pixels: DataFrame, chunk: int = 32, sigma: float = SIGMA, beam: float = CHUNK_BEAM, shape: tuple[int, int] | None = None) -> DataFrame:
     """Median and unscaled MAD per chunk; where any pixel exceeds med + sigma mad, all above med + 0.75 sigma mad go.
 
     Chunks brighter than ``beam`` (in the median) and chunks with a missing pixel stay as they are.
-    ``shape`` (height, width), if given, must be whole chunks.
+    A frame that isn't made of whole chunks is an error at run time, or at once where its
+    ``shape`` (height, width) is given.
     """
     _whole_chunks(chunk, shape)
     *_, w = chunks(chunk)
+    pixels = pixels.withColumn("v", _of_whole_chunk(chunk, w))
     whole = F.count("v").over(w) == F.count(F.lit(1)).over(w)
     first = pixels.withColumn("med", F.median("v").over(w)).withColumn("ok", whole)
     second = first.withColumn("mad", F.median(F.abs(F.col("v") - F.col("med"))).over(w))
@@ -55,11 +63,12 @@ def mad_chunk_filter(pixels: DataFrame, chunk: int = 32, sigma: float = SIGMA, b
 def sigma_chunk_filter(pixels: DataFrame, chunk: int = 64, sigma: float = CLIP_SIGMA, beam: float = CLIP_BEAM, shape: tuple[int, int] | None = None) -> DataFrame:
     """Mean and population deviation per chunk; pixels above mean + sigma std go. Adds ``removed``; v keeps the value.
 
-    Chunks brighter than ``beam`` in the mean stay as they are. ``shape`` (height, width), if
-    given, must be whole chunks.
+    Chunks brighter than ``beam`` in the mean stay as they are. A frame that isn't made of
+    whole chunks is an error at run time, or at once where its ``shape`` (height, width) is given.
     """
     _whole_chunks(chunk, shape)
     *_, w = chunks(chunk)
+    pixels = pixels.withColumn("v", _of_whole_chunk(chunk, w))
     mean, std = F.avg("v").over(w), F.stddev_pop("v").over(w)
     gone = (mean <= beam) & (F.col("v") > mean + sigma * std)
     return pixels.withColumn("removed", F.coalesce(gone, F.lit(False)))

@@ -421,3 +421,11 @@ def test_one_fit_feeds_the_profile(spark):
 
     plan = QUERIES["i4_fitted_profile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("filtered", [outliers.mad_chunk_filter, outliers.sigma_chunk_filter])
+def test_frames_of_no_whole_chunks_are_an_error(frames_of, filtered):
+    """Without the shape being told: 6 x 8 pixels are no chunks of 4, 8 x 8 are."""
+    with pytest.raises(Exception, match="frame 0 has no whole chunks of 4"):
+        filtered(to_pixels(frames_of([np.ones((6, 8))])), 4).collect()
+    assert filtered(to_pixels(frames_of([np.ones((8, 8))])), 4).count() == 64
