@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringlake.functions.geometry import distance, half_even, mask_centre, radial_bin
@@ -11,27 +11,26 @@ from ringlake.operators.frames import strict
 from ringlake.operators.lookups import DISC
 
 
-def _complete(means: DataFrame, centres: DataFrame, bins: int) -> DataFrame:
-    """A row for every bin of every frame of ``centres``, one row per frame at first: bins are generated, not joined."""
-    held = means.groupBy(F.col("frame_id").alias("held_id")).agg(F.map_from_entries(F.collect_list(F.struct("bin", "mean"))).alias("m"))
-    every = centres.select("frame_id").join(held, F.col("frame_id") == F.col("held_id"), "left")
-    return every.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "m").select("frame_id", "bin", F.col("m")[F.col("bin")].alias("mean"))
+def _complete(binned: DataFrame, mean: Column, bins: int) -> DataFrame:
+    """(frame_id, bin, mean) for every bin of every frame in ``binned`` (frame_id, bin, v), where a null bin counts for none: bins are generated, not joined."""
+    means = binned.groupBy("frame_id", "bin").agg(mean.alias("mean"))
+    held = means.groupBy("frame_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "mean")))).alias("m"))
+    return held.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "m").select("frame_id", "bin", F.col("m")[F.col("bin")].alias("mean"))
 
 
 def azimuthal_average(pixels: DataFrame, centres: DataFrame, height: int, width: int, radius: float = DISC[0], bins: int = DISC[1]) -> DataFrame:
     """(frame_id, bin, bin_center, mean) around the rounded centre; missing pixels are skipped, empty bins null.
 
-    ``centres`` is (frame_id, center_x, center_y). The frame is moved by whole pixels under
-    bins around the mask centre; pixels that leave the frame by that are lost.
+    ``centres`` is (frame_id, center_x, center_y); all bins of each of its frames are there,
+    with or without pixels. The frame is moved by whole pixels under bins around the mask
+    centre; pixels that leave the frame by that are lost.
     """
     mx, my = mask_centre(height, width)
-    placed = pixels.join(centres.select("frame_id", "center_x", "center_y"), "frame_id")
+    placed = centres.select("frame_id", "center_x", "center_y").join(pixels, "frame_id", "left")
     c, r = F.col("c") - half_even(F.col("center_x") - mx), F.col("r") - half_even(F.col("center_y") - my)
     inside = c.between(0, width - 1) & r.between(0, height - 1)
-    binned = placed.where(inside).select("frame_id", radial_bin(distance(r, c, mx, my), radius, bins).alias("bin"), "v")
-    means = binned.where("bin IS NOT NULL").groupBy("frame_id", "bin").agg(F.avg("v").alias("mean"))
+    full = _complete(placed.select("frame_id", F.when(inside, radial_bin(distance(r, c, mx, my), radius, bins)).alias("bin"), "v"), F.avg("v"), bins)
     step = radius / bins
-    full = _complete(means, centres, bins)
     return full.select("frame_id", "bin", ((F.col("bin") * step + (F.col("bin") + 1) * step) / 2).alias("bin_center"), "mean")
 
 
@@ -54,12 +53,10 @@ def azimuthal_average_exact(pixels: DataFrame, centres: DataFrame, radius: float
 
     All bins of every frame of ``centres``, with or without pixels.
     """
-    placed = pixels.join(centres.select("frame_id", "center_x", "center_y"), "frame_id")
+    placed = centres.select("frame_id", "center_x", "center_y").join(pixels, "frame_id", "left")
     d = distance(F.col("r"), F.col("c"), F.col("center_x"), F.col("center_y"))
-    means = placed.select("frame_id", radial_bin(d, radius, bins).alias("bin"), "v").where("bin IS NOT NULL").groupBy("frame_id", "bin").agg(strict(F.avg("v")).alias("mean"))
-    known = means.withColumn("mean", F.struct("mean"))
+    full = _complete(placed.select("frame_id", radial_bin(d, radius, bins).alias("bin"), "v"), F.struct(strict(F.avg("v")).alias("mean")), bins)
     step = radius / bins
-    full = _complete(known, centres, bins)
     return full.select("frame_id", "bin", ((F.col("bin") * step + (F.col("bin") + 1) * step) / 2).alias("bin_center"), F.when(F.col("mean").isNull(), 0.0).otherwise(F.col("mean.mean")).alias("mean"))
 
 

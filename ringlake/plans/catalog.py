@@ -936,6 +936,14 @@ def k8(spark, sf_dir):
     return mask_pixels(read_masks(spark, folder)).select(naming.base_name(F.col("path")).alias("name"), "r", "c", "keep")
 
 
+@query("k8_coloured_images", f"{PX_SQL}, e AS (SELECT frame_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1), z AS (SELECT frame_id, r, c, (v - lo) / (hi - lo) AS z FROM px JOIN e USING (frame_id)), rgb AS (SELECT frame_id, r, c, round_even(CASE WHEN z <= 0.5 THEN 510 * z ELSE 255 END, 0)::BIGINT AS red, round_even(CASE WHEN z > 0.5 THEN 510 * (z - 0.5) ELSE 0 END, 0)::BIGINT AS green FROM z) SELECT filename || '.png' AS name, r, c, ((red * 299 + green * 587) // 1000 >= 128)::INT AS keep FROM rgb JOIN frames USING (frame_id)")
+def k8_coloured(spark, sf_dir):
+    """Frames from black over red to yellow, read again as masks: colours are weighed to grey."""
+    folder = new_folder(spark, "coloured")
+    write_images(frames(spark, sf_dir), folder, colours=((0, 0, 0), (255, 0, 0), (255, 255, 0)))
+    return mask_pixels(read_masks(spark, folder)).select(naming.base_name(F.col("path")).alias("name"), "r", "c", "keep")
+
+
 #: The whole square of 40 around the guess is left out, so no pixel is a hit; the default step ends the centres.
 FOLDER_SQL = _results_sql(f"{RAISED_SQL}, cl AS MATERIALIZED ({DRIFT_SQL} FROM up)", 1.0, ".tiff")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -61,12 +62,12 @@ def decode_png(data: bytes) -> np.ndarray:
     return out[..., 0]
 
 
-def write_images(frames: DataFrame, path: str, low: float | None = None, high: float | None = None) -> int:
-    """Each frame as a grey ``filename``.png in the folder ``path``, written by its task; returns the number of files."""
+def write_images(frames: DataFrame, path: str, low: float | None = None, high: float | None = None, colours: Sequence[tuple[int, int, int]] | None = None) -> int:
+    """Each frame as ``filename``.png in the folder ``path``, grey or in ``colours``, written by its task; returns the number of files."""
 
     def content(row) -> bytes:
         values = np.array([np.nan if v is None else v for v in row.pixels], dtype=float)
-        return image_of_frame(values.reshape(row.height, row.width), low, high)
+        return image_of_frame(values.reshape(row.height, row.width), low, high, colours)
 
     rows = frames.select("height", "width", "pixels", F.concat("filename", F.lit(".png")).alias("filename"))
     return write_files(rows, path, "filename", content)
@@ -113,10 +114,21 @@ def mask_pixels(masks: DataFrame) -> DataFrame:
     return rows.select("path", F.floor(F.col("p") / F.col("width")).cast("int").alias("r"), (F.col("p") % F.col("width")).cast("int").alias("c"), "keep")
 
 
-def image_of_frame(frame: np.ndarray, low: float | None = None, high: float | None = None) -> bytes:
-    """A grey PNG of a frame clamped to [low, high] (its own range where not given); a constant frame is black."""
+def coloured(scaled: np.ndarray, colours: Sequence[tuple[int, int, int]]) -> np.ndarray:
+    """Red, green and blue of values from 0 to 1, between evenly spaced colours."""
+    places = np.linspace(0, 1, len(colours))
+    return np.stack([np.interp(scaled, places, [c[k] for c in colours]) for k in range(3)], axis=-1)
+
+
+def image_of_frame(frame: np.ndarray, low: float | None = None, high: float | None = None, colours: Sequence[tuple[int, int, int]] | None = None) -> bytes:
+    """A PNG of a frame clamped to [low, high] (its own range where not given); a constant frame is of the lowest colour.
+
+    Grey from black to white, or in ``colours``, two or more from lowest to highest.
+    """
     if frame.ndim != 2:
         raise ValueError("a two-dimensional frame is needed")
+    if colours is not None and len(colours) < 2:
+        raise ValueError("two colours at least are needed")
     lo, hi = np.nanmin(frame) if low is None else low, np.nanmax(frame) if high is None else high
     scaled = np.zeros(frame.shape) if hi == lo else (np.clip(np.nan_to_num(frame, nan=lo), lo, hi) - lo) / (hi - lo)
-    return encode_png(np.rint(scaled * 255))
+    return encode_png(np.rint(scaled * 255 if colours is None else coloured(scaled, colours)))
