@@ -189,6 +189,12 @@ def common_sizes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column("a"), b], names=["a", "b"]).filter(pa.array(good))
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(sid) of all that are in a pair (a, b), once each; made distinct before both ends meet."""
+    first, second = (pairs.select(F.col(c).alias("sid")).distinct() for c in "ab")
+    return first.unionByName(second).distinct()
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity.
 
@@ -196,7 +202,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     set is dealt into parts of about COMPARED, each with one copy of that set: however many
     texts are compared with one, no task gets them all and no set is copied beside each.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("m"))
+    times = [pairs.groupBy(F.col(c).alias("sid")).agg(F.count("*").alias("m")) for c in "ab"]
+    ends = times[0].unionByName(times[1]).groupBy("sid").agg(F.sum("m").alias("m"))
     left, right = (ends.select(F.col("sid").alias(c), F.col("m").alias(f"m_{c}")) for c in "ab")
     first = F.struct("m_a", "a") >= F.struct("m_b", "b")
     turned = pairs.join(left, "a").join(right, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("m_a", "m_b").alias("m"))
@@ -294,7 +301,7 @@ def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int)
     leaders = weighed.groupBy("key").agg(F.min_by(F.struct("sid", "n"), F.struct(-F.col("w"), F.xxhash64("sid"))).alias("l"))
     pairs = weighed.join(leaders, "key").where("sid <> l.sid").select("sid", "n", F.col("l.sid").alias("other"), F.col("l.n").alias("other_n"))
     tested = checkpoint(promising(able(pairs, percent), meets, percent))
-    wanted = tested.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(meets.select("sid", "h"), "sid")
+    wanted = ends_of(tested).join(meets.select("sid", "h"), "sid")
     sets = checkpoint(sets_of(docs, checkpoint(wanted), words))
     edges = checkpoint(linked(tested, sets, percent))
     near = near_labels(edges)
@@ -310,7 +317,7 @@ def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int)
     rest = checkpoint(promising(able(across, percent), meets, percent).join(tested, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return components(edges)
-    more = rest.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(meets.select("sid", "h"), "sid")
+    more = ends_of(rest).join(meets.select("sid", "h"), "sid")
     return components(edges.union(checkpoint(linked(rest, checkpoint(sets_of(docs, checkpoint(more), words)), percent))))
 
 
