@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringlake.llm.common import checkpoint, hashed_bits, hex16, map_texts, packed_bits, segment_sum, starts_of
+from ringlake.llm.common import checkpoint, hashed_bits, hex16, join_heavy, map_texts, packed_bits, segment_sum, starts_of
 from ringlake.llm.hamming import close_pairs, components
 
 SEED = 42
@@ -65,17 +65,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, blocks: in
     are many; the links of one fingerprint are bounded by the number of 64-bit numbers in
     its ball.
 
+    A fingerprint of over a thousandth of all rows meets its component by broadcast.
     Null and empty texts have fingerprint zero and link like any other. Rows with a null
     doc_id get the smallest doc_id of their component, null if it has none. Repeated rows
     each return a row. Other columns are ignored. An empty table gives no rows.
     """
     marked = checkpoint(fingerprint(docs, words))
-    classes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")))
     roots = components(close_pairs(classes.select("fp"), classes.select("fp"), radius, blocks, ordered=True))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "m", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = checkpoint(rooted.select("fp", "root").join(groups, "root").select("fp", "root", "component_id"))
-    return marked.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", hex16(F.col("root")).alias("root"))
+    named = checkpoint(rooted.select("fp", "root", "m").join(groups, "root").select("fp", "root", "component_id", "m"))
+    return join_heavy(marked, named, "fp", "m").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", hex16(F.col("root")).alias("root"))
 
 
 def deduplicate(docs: DataFrame, words: int = 3, **options) -> DataFrame:
