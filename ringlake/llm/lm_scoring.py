@@ -340,9 +340,9 @@ def _scored(texts: DataFrame, totals: Totals, folder: str) -> DataFrame:
                     given = run.column("text").to_pylist()
                     n, losses = np.array([len(t) for t in given], dtype=np.int64), [np.zeros(len(given))] * 2
                     if n.any():
-                        if not known:
+                        if not known and (answers.large or answers.held is None):
                             answers.prepare(wide.column("text").to_pylist())
-                            known = True
+                        known = True
                         *each, starts = totals.losses(given, run.column("target").to_numpy(), answers)
                         losses = [segment_sum(e, starts) / np.maximum(n, 1) for e in each]
                     yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.array(losses[1] - losses[0]), pa.array(n), *map(pa.array, losses)], names=["doc_id", "score", "n_tokens", "target_loss", "background_loss"])
