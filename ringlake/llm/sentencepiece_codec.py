@@ -25,7 +25,10 @@ from ringlake.llm.common import map_texts, starts_of
 SPACE = "▁"
 #: The model file's default place; any BPE model of the library's format will do.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_CHUNKS = 400_000
+#: Chunks whose ids are kept, some 220 bytes each in a worker.
+CACHE_CHUNKS = 200_000
+#: Characters of text that are cut into chunks at once, one text at least.
+RUN_CHARS = 250_000
 BATCH_CHARS = 200_000
 BLOCK_CHARS = 400_000
 #: Longer chunks are relaxed one by one with a heap, the others together round by round.
@@ -283,7 +286,20 @@ class Codec:
         return ids.astype(np.int32), np.bincount(chunk, minlength=len(chunks))
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, starts): the ids of all texts, those of text i at starts[i]:starts[i + 1]."""
+        """(ids, starts): the ids of all texts, those of text i at starts[i]:starts[i + 1].
+
+        Chunks are held for a run of RUN_CHARS characters only; what is kept of all texts is numbers.
+        """
+        sizes = starts_of([len(t or "") for t in texts])
+        parts, a = [], 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + RUN_CHARS, side="right")) - 1)
+            parts.append(self._encode_run(texts[a:b]))
+            a = b
+        counts = [np.diff(starts) for _, starts in parts]
+        return np.concatenate([np.zeros(0, dtype=np.int32), *(ids for ids, _ in parts)]), starts_of(np.concatenate([np.zeros(0, dtype=np.int64), *counts]))
+
+    def _encode_run(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > CACHE_CHUNKS:
             self.clear()
         lists = [self.chunks.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -318,8 +334,7 @@ def encode(docs: DataFrame, path: str = MODEL, carry: Sequence[str] = ("doc_id",
     def work(texts):
         made or made.append(Codec(shared.value))
         ids, starts = made[0].encode(texts)
-        values = ids.tolist()
-        same = [made[0].decode(values[a:b]) == (t or "") for t, a, b in zip(texts, starts.tolist(), starts[1:].tolist())]
+        same = [made[0].decode(ids[a:b].tolist()) == (t or "") for t, a, b in zip(texts, starts.tolist(), starts[1:].tolist())]
         return [pa.array(np.diff(starts)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)), pa.array(same)]
 
     return map_texts(docs, work, "n_tokens long, ids array<int>, round_trip boolean", carry)

@@ -72,6 +72,16 @@ def test_small_caches_and_batches_change_nothing(library, model, monkeypatch):
         assert codec.encode([t])[0].tolist() == library.encode(t)
 
 
+def test_a_worker_holds_the_chunks_of_a_run_of_texts_only(library, model, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(sentencepiece_codec, "RUN_CHARS", 200, raising=False)
+    texts = [f"w{i}x w{i}y w{i}z" for i in range(300)] + [None, "", "q" * 500]
+    codec = sentencepiece_codec.Codec(model)
+    ids, starts = codec.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [library.encode(t or "") for t in texts]
+    assert len(codec.known) < 300 and codec.encode([])[1].tolist() == [0]
+
+
 def test_encode_and_decode_tables(spark, docs_of):
     rows = [(i, t) for i, t in enumerate(HARD)] + [(None, None), (3, "a▁b"), (3, "a▁b"), (99, "word " * 30_000)]
     encoded = sentencepiece_codec.encode(docs_of(rows), carry=("doc_id", "size"))
