@@ -44,9 +44,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    Pairs at 0.8 differ in some 10 of 64 SimHash bits, too many for block tables, so that
-    this stage takes its candidates from MinHash bands and packed signatures, as op12 does. Null and empty texts are copies of each
-    other. Repeated rows count once; rows of one id but different texts are told apart; of equal
+    SimHash fingerprints of 3 or fewer differing bits, found by block tables as in op4, link
+    first, where their sets reach 0.8. Pairs at 0.8 differ in some 10 bits, too many for block
+    tables: what the fingerprints leave apart is searched by MinHash bands and packed
+    signatures, as in op12. Null and empty texts are copies of each other. Repeated rows count once; rows of one id but different texts are told apart; of equal
     smallest ids the smallest set hash stays. A null id comes after all others. An empty
     table gives no rows.
     """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ringlake.llm.common import checkpoint, join_heavy, map_texts, segment_sum, slices, starts_of
 from ringlake.llm.hamming import components
-from ringlake.llm.simhash_dedup import shingle_hashes
+from ringlake.llm.simhash_dedup import shingle_hashes, voted
 
 #: A pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS: 5e-8 at 0.8, less above.
 BANDS, ROWS = 32, 4
@@ -38,7 +38,11 @@ COMPARED = 512
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
-    return [np.unique(np.array(shingle_hashes(t, words), dtype=np.uint64)) for t in texts]
+    return distinct_hashes([shingle_hashes(t, words) for t in texts])
+
+
+def distinct_hashes(hashes: list[list[int]]) -> list[np.ndarray]:
+    return [np.unique(np.array(h, dtype=np.uint64)) for h in hashes]
 
 
 def set_ids(sets: list[np.ndarray]) -> np.ndarray:
@@ -96,17 +100,20 @@ def least_estimate(percent: int) -> float:
     return (agree - DEVIATIONS * (agree * (1 - agree) / MINIMA) ** 0.5 - chance) / (1 - chance)
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h, sid, n, bands, bits) of each row: text hash, set hash, size of the set, band keys and packed signature."""
+def signatures(docs: DataFrame, words: int, simhash: bool = False) -> DataFrame:
+    """(doc_id, h, sid, n, bands, bits) of each row: text hash, set hash, size of the set, band keys and packed signature; with ``simhash`` also fp, the text's SimHash of the same shingles."""
 
     def work(texts):
-        sets = shingle_sets(texts, words)
+        hashes = [shingle_hashes(t, words) for t in texts]
+        sets = distinct_hashes(hashes)
         n = np.array([len(s) for s in sets], dtype=np.int64)
         least = minima(sets)
         lists = [pa.ListArray.from_arrays(pa.array(starts_of(np.where(n > 0, size, 0)).astype(np.int32)), pa.array(x.ravel())) for size, x in ((BANDS, band_keys(least)), (WORDS, packed(least)))]
-        return [pa.array(set_ids(sets)), pa.array(n), *lists]
+        votes = [pa.array(voted(hashes).view(np.int64))] if simhash else []
+        return [pa.array(set_ids(sets)), pa.array(n), *lists, *votes]
 
-    return map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), work, "sid long, n long, bands array<long>, bits array<long>", ("doc_id", "h"))
+    made = "sid long, n long, bands array<long>, bits array<long>" + (", fp long" if simhash else "")
+    return map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), work, made, ("doc_id", "h"))
 
 
 class Filter:
@@ -280,7 +287,7 @@ def near_labels(edges: DataFrame, rounds: int = 2) -> DataFrame:
     return labels
 
 
-def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int) -> DataFrame:
+def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of each set that is linked to another; root is the least sid that links reach.
 
     Sets link at a Jaccard similarity of ``percent`` or more, exact over their shingles.
@@ -290,20 +297,36 @@ def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int)
     to SMALL_BUCKET sets, and those of larger ones where rare shingles allow a link. So large groups of near copies don't make all their pairs, and no pair of a
     bucket is left out that could join two groups. Signatures leave out what is far from the
     similarity before any set is made or sent.
+
+    ``first`` may give pairs (sid, n, other, other_n) of another search, from rows (sid, n, fp).
+    They are checked before all others; only buckets that they leave apart go on then, and
+    only pairs of what is apart.
     """
-    sized = marked.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.min("h").alias("h"))
+    votes = [] if first is None else [F.min_by("fp", "h").alias("fp")]
+    sized = marked.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.min("h").alias("h"), *votes)
     sized = checkpoint(sized)
-    keys = sized.select("sid", F.explode("bands").alias("key"))
-    several = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    shared = checkpoint(keys.join(several, "key"))
+    known = None
+    if first is None:
+        keys = sized.select("sid", F.explode("bands").alias("key"))
+        several = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        shared = checkpoint(keys.join(several, "key").withColumn("root", F.col("sid")))
+    else:
+        tried = checkpoint(promising(able(first(sized.select("sid", "n", "fp")), percent), sized, percent))
+        known = checkpoint(linked(tried, checkpoint(sets_of(docs, checkpoint(ends_of(tried).join(sized.select("sid", "h"), "sid")), words)), percent))
+        labels = near_labels(known)
+        keys = sized.join(labels, sized["sid"] == labels["node"], "left").select("sid", F.coalesce("root", "sid").alias("root"), F.explode("bands").alias("key"))
+        several = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "m")
+        shared = checkpoint(keys.join(several, "key"))
     meets = checkpoint(shared.groupBy("sid").agg(F.sum("m").alias("w")).join(sized.select("sid", "n", "h", "bits"), "sid"))
-    weighed = checkpoint(shared.select("sid", "key").join(meets.select("sid", "n", "w"), "sid"))
-    leaders = weighed.groupBy("key").agg(F.min_by(F.struct("sid", "n"), F.struct(-F.col("w"), F.xxhash64("sid"))).alias("l"))
-    pairs = weighed.join(leaders, "key").where("sid <> l.sid").select("sid", "n", F.col("l.sid").alias("other"), F.col("l.n").alias("other_n"))
+    weighed = checkpoint(shared.select("sid", "key", F.col("root").alias("before")).join(meets.select("sid", "n", "w"), "sid"))
+    leaders = weighed.groupBy("key").agg(F.min_by(F.struct("sid", "n", "before"), F.struct(-F.col("w"), F.xxhash64("sid"))).alias("l"))
+    pairs = weighed.join(leaders, "key").where("before <> l.before").select("sid", "n", F.col("l.sid").alias("other"), F.col("l.n").alias("other_n"))
     tested = checkpoint(promising(able(pairs, percent), meets, percent))
     wanted = ends_of(tested).join(meets.select("sid", "h"), "sid")
     sets = checkpoint(sets_of(docs, checkpoint(wanted), words))
     edges = checkpoint(linked(tested, sets, percent))
+    if known is not None:
+        edges = checkpoint(edges.unionByName(known))
     near = near_labels(edges)
     rooted = weighed.join(near, weighed["sid"] == near["node"], "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
     ends = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")

@@ -1,4 +1,4 @@
-"""One document of each group of near-duplicates: the links of `bbit_minhash`, and whole rows that stay."""
+"""One document of each group of near-duplicates: SimHash block tables link first, `bbit_minhash` finds what they leave apart, and whole rows stay."""
 
 from __future__ import annotations
 
@@ -9,22 +9,44 @@ from pyspark.sql import functions as F
 
 from ringlake.llm.bbit_minhash import Filter, signatures, similar_roots
 from ringlake.llm.common import checkpoint
+from ringlake.llm.hamming import block_table
+
+
+def fingerprint_pairs(sized: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """(sid, n, other, other_n) of sets (sid, n, fp) whose fingerprints differ in ``radius`` bits or fewer.
+
+    One set stands for each fingerprint and is paired with the others that have it. Distinct
+    fingerprints go to block tables, as in op4; of each bucket that which comes first by its
+    hash is paired with the others within the radius. So a group of near copies makes as many
+    pairs as it has sets, not their square.
+    """
+    classes = checkpoint(sized.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("one")))
+    equal = sized.join(classes, "fp").where("sid <> one.sid").select("sid", "n", F.col("one.sid").alias("other"), F.col("one.n").alias("other_n"))
+    table = checkpoint(block_table(classes.select("fp"), radius, blocks))
+    heads = table.groupBy("block", "key").agg(F.min_by("fp", F.xxhash64("fp")).alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
+    met = table.join(heads, ["block", "key"]).where(F.col("fp") != F.col("head"))
+    near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= radius).select("fp", "head").distinct()
+    own, other = classes.select("fp", F.col("one").alias("a")), classes.select(F.col("fp").alias("head"), F.col("one").alias("b"))
+    apart = near.join(own, "fp").join(other, "head").select("a.sid", "a.n", F.col("b.sid").alias("other"), F.col("b.n").alias("other_n"))
+    return equal.unionByName(apart)
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of texts that are similar, directly or by links: that of the smallest doc_id; all columns.
 
     Texts are sets of ``words``-word shingles (A-Z in lower case; a shorter text is one
-    shingle) and link at a Jaccard similarity of ``percent`` in a hundred or more. Candidate
-    pairs come from MinHash bands and their packed signatures, which miss a pair at 0.8 with
-    probability 6e-8; each is then checked exactly. Null and empty texts are equal to each other and to no other.
+    shingle) and link at a Jaccard similarity of ``percent`` in a hundred or more. SimHash
+    fingerprints of the same shingles that differ in 3 bits or fewer are candidates first,
+    found by block tables. Pairs at 0.8 differ in some 10 bits, so that MinHash bands and packed
+    signatures then search what those links leave apart; they miss a pair at 0.8 with
+    probability 6e-8. Every pair is checked exactly. Null and empty texts are equal to each other and to no other.
 
     Texts that share an id are told apart and repeated rows count once. A null doc_id comes
     after all others: its row stays only where no row of the group has an id. An empty table
     gives no rows.
     """
-    marked = checkpoint(signatures(docs, words))
-    roots = similar_roots(docs, marked, words, percent)
+    marked = checkpoint(signatures(docs, words, simhash=True))
+    roots = similar_roots(docs, marked, words, percent, fingerprint_pairs)
     least = marked.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sid", "h")).alias("m"))
     named = least.join(roots, least["sid"] == roots["node"], "left").select("m", F.coalesce("root", "sid").alias("root"))
     stays = checkpoint(named.groupBy("root").agg(F.min("m").alias("m")).select(F.struct("m.doc_id", "m.h").alias("stays")))

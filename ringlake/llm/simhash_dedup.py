@@ -32,12 +32,16 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
 
 def fingerprints_of(texts: list[str | None], words: int = 3) -> np.ndarray:
     """Unsigned 64-bit SimHash of each text; a bit is set if set in over half of its shingles."""
-    hashes = [shingle_hashes(t, words) for t in texts]
+    return voted([shingle_hashes(t, words) for t in texts])
+
+
+def voted(hashes: list[list[int]]) -> np.ndarray:
+    """Unsigned 64-bit SimHash of each list of shingle hashes; zero of an empty one."""
     starts = starts_of([len(h) for h in hashes])
     flat = np.fromiter((x for h in hashes for x in h), dtype=np.uint64, count=int(starts[-1]))
-    votes = np.zeros((len(texts), 64), dtype=np.int64)
+    votes = np.zeros((len(hashes), 64), dtype=np.int64)
     step = 1 << 16  # bounds the unpacked bits
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    owner = np.repeat(np.arange(len(hashes)), np.diff(starts))
     for a in range(0, len(flat), step):
         own = owner[a : a + step]
         first, last = own[0], own[-1] + 1

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from ringlake.llm import shingle_dedup
+from ringlake.llm import shingle_dedup, simhash_dedup
 
 
 def shingles(text):
@@ -64,3 +64,23 @@ def test_rows_of_one_id_and_null_ids(docs_of):
     kept = shingle_dedup.deduplicate(docs)
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, x), (5, y), (None, z)]
     assert kept.columns == docs.columns and shingle_dedup.deduplicate(docs_of([])).count() == 0
+
+
+def test_simhash_links_first_and_the_rest_is_searched(spark, docs_of, monkeypatch):
+    """The stage's fingerprints are op4's, of five words; block tables give near copies, and bands get what is left apart."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base)] + [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in (0, 1, 398, 399)]
+    texts += near_copies(rng, 10, 2)
+    rows = list(enumerate(texts))
+    docs = docs_of(rows)
+    marked = shingle_dedup.signatures(docs, 5, simhash=True).collect()
+    prints = {r.doc_id: r.fp for r in simhash_dedup.fingerprint(docs, 5).collect()}
+    assert {r.doc_id: r.fp for r in marked} == prints
+    of = {r.sid: r for r in marked}
+    pairs = shingle_dedup.fingerprint_pairs(shingle_dedup.signatures(docs, 5, simhash=True).select("sid", "n", "fp")).collect()
+    assert pairs and all(bin((of[p.sid].fp ^ of[p.other].fp) & (1 << 64) - 1).count("1") <= 3 for p in pairs)
+    asked = []
+    search = shingle_dedup.fingerprint_pairs
+    monkeypatch.setattr(shingle_dedup, "fingerprint_pairs", lambda sized: asked.append(1) or search(sized))
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()) == kept_by_hand(rows) and asked
