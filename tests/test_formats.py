@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, StringContains
 
-from ringlake.sources import tiff
+from ringlake.sources import formats, tiff
 from ringlake.sources.files import write_files
 from ringlake.sources.formats import FrameReader, frame_source, save_files
 
@@ -106,6 +106,26 @@ def test_partitions_are_runs_of_files(tmp_path):
     assert len(one_each.partitions()) == 13 and names(one_each) == names(FrameReader({"path": path}))
 
 
+def test_small_files_fill_a_partition_by_their_number(tmp_path):
+    reader = FrameReader({"path": folder_of(tmp_path), "partitionbytes": str(4 * 32 * 1024)})
+    assert [len(p.paths) for p in reader.partitions()] == [4, 4, 4, 1]
+
+
+def test_a_task_reads_batches_of_bounded_size(tmp_path, monkeypatch):
+    path = folder_of(tmp_path)
+    (tmp_path / "a_broken.tiff").write_bytes(b"broken")
+    monkeypatch.setattr(formats, "BATCH_BYTES", 100, raising=False)
+    reader = FrameReader({"path": path})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert len(batches) > 3 and len(rows) == 14 and all(b.num_rows == 1 or sum(8 * len(x or ()) for x in b.column("pixels").to_pylist()) <= 100 for b in batches)
+    for r in rows:
+        if "broken" in r["filename"]:
+            assert r["error"] and r["pixels"] is None and r["height"] is None
+        else:
+            assert r["error"] is None and r["pixels"] == tiff.decode(open(r["path"], "rb").read()).astype(float).ravel().tolist()
+
+
 def test_files_that_a_filter_drops_are_not_opened(spark, tmp_path):
     """They can't be: they are folders' worth of nothing by then. The rows are those of the reader of binary files."""
     path = folder_of(tmp_path)
