@@ -11,8 +11,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringlake.llm.common import checkpoint, join_heavy, map_texts, segment_sum, slices, starts_of
-from ringlake.llm.hamming import components
+from ringlake.llm.common import join_heavy, map_texts, released, segment_sum, slices, starts_of
+from ringlake.llm.hamming import both_ways, components
 from ringlake.llm.simhash_dedup import shingle_hashes, voted
 
 #: A pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS: 5e-8 at 0.8, less above.
@@ -161,11 +161,19 @@ def able(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent)
 
 
+def near_enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, h_a, h_b), a < b, of the pairs (sid, h, bits, other, other_h, other_bits) whose signatures come near enough to ``percent``."""
+    rising = F.col("sid") < F.col("other")
+    one = lambda x, y: F.when(rising, F.col(x)).otherwise(F.col(y))
+    near = pairs.where(estimated(F.col("bits"), F.col("other_bits")) >= least_estimate(percent))
+    return near.select(one("sid", "other").alias("a"), one("other", "sid").alias("b"), one("h", "other_h").alias("h_a"), one("other_h", "h").alias("h_b"))
+
+
 def promising(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, once each, of the pairs (sid, other) whose signatures come near enough to ``percent``."""
-    ordered = pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-    left, right = (marks.select(F.col("sid").alias(c), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    return ordered.join(left, "a").join(right, "b").where(estimated(F.col("bits_a"), F.col("bits_b")) >= least_estimate(percent)).select("a", "b")
+    """`near_enough`, once each, of the pairs (sid, other), with what ``marks`` (sid, h, bits) has of both."""
+    ordered = pairs.select(F.least("sid", "other").alias("sid"), F.greatest("sid", "other").alias("other")).distinct()
+    others = marks.select(F.col("sid").alias("other"), F.col("h").alias("other_h"), F.col("bits").alias("other_bits"))
+    return near_enough(ordered.join(marks.select("sid", "h", "bits"), "sid").join(others, "other"), percent)
 
 
 def common_sizes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -197,9 +205,9 @@ def common_sizes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
-    """(sid) of all that are in a pair (a, b), once each; made distinct before both ends meet."""
-    first, second = (pairs.select(F.col(c).alias("sid")).distinct() for c in "ab")
-    return first.unionByName(second).distinct()
+    """(sid, h) of all that are in a pair (a, b, h_a, h_b), once each; tasks make them distinct before they meet."""
+    ends = [F.struct(F.col(c).alias("sid"), F.col(f"h_{c}").alias("h")) for c in "ab"]
+    return pairs.select(F.explode(F.array(*ends)).alias("e")).select("e.sid", "e.h").distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,13 +217,12 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     set is dealt into parts of about COMPARED, each with one copy of that set: however many
     texts are compared with one, no task gets them all and no set is copied beside each.
     """
-    times = [pairs.groupBy(F.col(c).alias("sid")).agg(F.count("*").alias("m")) for c in "ab"]
-    ends = times[0].unionByName(times[1]).groupBy("sid").agg(F.sum("m").alias("m"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("m"))
     left, right = (ends.select(F.col("sid").alias(c), F.col("m").alias(f"m_{c}")) for c in "ab")
     first = F.struct("m_a", "a") >= F.struct("m_b", "b")
     turned = pairs.join(left, "a").join(right, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.greatest("m_a", "m_b").alias("m"))
     parts = F.ceil(F.col("m") / F.lit(COMPARED)).cast("int")
-    dealt = checkpoint(turned.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part")))
+    dealt = released(turned.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part")))
     heads = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("sid", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
     members = dealt.join(sets.withColumnRenamed("sid", "b"), "b").select("a", "part", "b", "set")
     rows = heads.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -238,7 +245,7 @@ def prefix_pairs(sets: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     several = grams.groupBy("g").agg(F.count("*").alias("d")).where("d > 1")
     sorted_ = F.array_sort(F.collect_list(F.struct("d", "g")))
     ranked = grams.join(several, "g").groupBy("sid").agg(F.transform(sorted_, lambda x: x["g"]).alias("s"))
-    ranked = checkpoint(ranked.join(held, "sid"))
+    ranked = released(ranked.join(held, "sid"))
     n = F.col("n")
 
     def class_of(size):
@@ -249,7 +256,7 @@ def prefix_pairs(sets: DataFrame, held: DataFrame, percent: int) -> DataFrame:
         needed = F.ceil(percent * (n + least) / F.lit(100 + percent))
         return F.slice("s", F.lit(1), F.greatest((F.size("s") - needed + 1).cast("int"), F.lit(0)))
 
-    small = checkpoint(ranked.select("sid", "root", "n", class_of(n).alias("class"), F.explode(first(n)).alias("g")))
+    small = released(ranked.select("sid", "root", "n", class_of(n).alias("class"), F.explode(first(n)).alias("g")))
     classes = F.sequence(class_of(F.greatest(F.ceil(n * percent / F.lit(100)), F.lit(1))), class_of(n))
     large = ranked.select("sid", "root", "n", "s", F.explode(classes).alias("class"))
     least = F.greatest(F.floor(F.pow(F.lit(SIZE_STEP), F.col("class")) * (1 - 1e-9)), F.ceil(n * percent / F.lit(100)))
@@ -260,7 +267,7 @@ def prefix_pairs(sets: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 def _two_steps(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of ``edges`` (a, b): the least node within two steps."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = both_ways(edges)
     first = both.groupBy("a").agg(F.least("a", F.min("b")).alias("l"))
     second = both.join(first.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.least("a", F.min("l")).alias("root"))
     return second.withColumnRenamed("a", "node")
@@ -274,7 +281,7 @@ def near_labels(edges: DataFrame, rounds: int = 2) -> DataFrame:
     """
     labels, left = None, edges
     for k in range(rounds):
-        found = checkpoint(_two_steps(left))
+        found = released(_two_steps(left))
         if labels is None:
             labels = found
         else:
@@ -283,7 +290,7 @@ def near_labels(edges: DataFrame, rounds: int = 2) -> DataFrame:
         if k + 1 < rounds:
             of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
             apart = left.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
-            left = checkpoint(apart.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+            left = released(apart.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
     return labels
 
 
@@ -298,50 +305,48 @@ def similar_roots(docs: DataFrame, marked: DataFrame, words: int, percent: int,
     bucket is left out that could join two groups. Signatures leave out what is far from the
     similarity before any set is made or sent.
 
-    ``first`` may give pairs (sid, n, other, other_n) of another search, from rows (sid, n, fp).
+    ``first`` may give pairs of another search, once each, from rows (sid, n, fp, h, bits): (sid, n, h, bits, other, other_n, other_h, other_bits).
     They are checked before all others; only buckets that they leave apart go on then, and
     only pairs of what is apart.
     """
     votes = [] if first is None else [F.min_by("fp", "h").alias("fp")]
     sized = marked.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.min("h").alias("h"), *votes)
-    sized = checkpoint(sized)
+    sized = released(sized)
     known = None
     if first is None:
         keys = sized.select("sid", F.explode("bands").alias("key"))
         several = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        shared = checkpoint(keys.join(several, "key").withColumn("root", F.col("sid")))
+        shared = released(keys.join(several, "key").withColumn("root", F.col("sid")))
     else:
-        tried = checkpoint(promising(able(first(sized.select("sid", "n", "fp")), percent), sized, percent))
-        known = checkpoint(linked(tried, checkpoint(sets_of(docs, checkpoint(ends_of(tried).join(sized.select("sid", "h"), "sid")), words)), percent))
-        labels = near_labels(known)
+        tried = released(near_enough(able(first(sized.select("sid", "n", "fp", "h", "bits")), percent), percent))
+        known = released(linked(tried, released(sets_of(docs, released(ends_of(tried)), words)), percent))
+        labels = near_labels(known, rounds=1)
         keys = sized.join(labels, sized["sid"] == labels["node"], "left").select("sid", F.coalesce("root", "sid").alias("root"), F.explode("bands").alias("key"))
         several = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "m")
-        shared = checkpoint(keys.join(several, "key"))
-    meets = checkpoint(shared.groupBy("sid").agg(F.sum("m").alias("w")).join(sized.select("sid", "n", "h", "bits"), "sid"))
-    weighed = checkpoint(shared.select("sid", "key", F.col("root").alias("before")).join(meets.select("sid", "n", "w"), "sid"))
+        shared = released(keys.join(several, "key"))
+    meets = released(shared.groupBy("sid").agg(F.sum("m").alias("w")).join(sized.select("sid", "n", "h", "bits"), "sid"))
+    weighed = released(shared.select("sid", "key", F.col("root").alias("before")).join(meets.select("sid", "n", "w"), "sid"))
     leaders = weighed.groupBy("key").agg(F.min_by(F.struct("sid", "n", "before"), F.struct(-F.col("w"), F.xxhash64("sid"))).alias("l"))
     pairs = weighed.join(leaders, "key").where("before <> l.before").select("sid", "n", F.col("l.sid").alias("other"), F.col("l.n").alias("other_n"))
-    tested = checkpoint(promising(able(pairs, percent), meets, percent))
-    wanted = ends_of(tested).join(meets.select("sid", "h"), "sid")
-    sets = checkpoint(sets_of(docs, checkpoint(wanted), words))
-    edges = checkpoint(linked(tested, sets, percent))
+    tested = released(promising(able(pairs, percent), meets, percent))
+    sets = released(sets_of(docs, released(ends_of(tested)), words))
+    edges = released(linked(tested, sets, percent))
     if known is not None:
-        edges = checkpoint(edges.unionByName(known))
+        edges = released(edges.unionByName(known))
     near = near_labels(edges)
     rooted = weighed.join(near, weighed["sid"] == near["node"], "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
     ends = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
-    open_ = checkpoint(rooted.join(ends.select("key", "m"), "key"))
+    open_ = released(rooted.join(ends.select("key", "m"), "key"))
     # where few are left their pairs are few too; a bucket of two has met its leader already
     small = open_.where(F.col("m").between(3, SMALL_BUCKET)).select("key", "sid", "n", "root")
     others = small.select("key", F.col("sid").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("root2"))
     within = small.join(others, "key").where("sid < other AND root <> root2").select("sid", "n", "other", "other_n").distinct()
-    held = checkpoint(open_.where(F.col("m") > SMALL_BUCKET).select("sid", "root", "n").distinct())
-    across = within if held.isEmpty() else within.unionByName(prefix_pairs(checkpoint(sets_of(docs, checkpoint(held.join(meets.select("sid", "h"), "sid").select("sid", "h")), words)), held, percent))
-    rest = checkpoint(promising(able(across, percent), meets, percent).join(tested, ["a", "b"], "left_anti"))
+    held = released(open_.where(F.col("m") > SMALL_BUCKET).select("sid", "root", "n").distinct())
+    across = within if held.isEmpty() else within.unionByName(prefix_pairs(released(sets_of(docs, released(held.join(meets.select("sid", "h"), "sid").select("sid", "h")), words)), held, percent))
+    rest = released(promising(able(across, percent), meets, percent).join(tested, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return components(edges)
-    more = ends_of(rest).join(meets.select("sid", "h"), "sid")
-    return components(edges.union(checkpoint(linked(rest, checkpoint(sets_of(docs, checkpoint(more), words)), percent))))
+    return components(edges.union(released(linked(rest, released(sets_of(docs, released(ends_of(rest)), words)), percent))))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
@@ -357,11 +362,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     component, those of a set that has over a thousandth of all rows by broadcast. Rows of a null doc_id get the smallest doc_id
     of their component, null if it has none; such a row is kept only in the latter case. Repeated rows each return a row. Other columns are ignored. An empty table gives no rows.
     """
-    marked = checkpoint(signatures(docs, words))
+    marked = released(signatures(docs, words))
     roots = similar_roots(docs, marked, words, percent)
     least = marked.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
     rooted = least.join(roots, least["sid"] == roots["node"], "left").select("sid", "least", "m", F.coalesce("root", "sid").alias("root"))
-    named = checkpoint(join_heavy(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")), "root", "sets").select("sid", "component_id", "m"))
+    named = released(join_heavy(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")), "root", "sets").select("sid", "component_id", "m"))
     rows = marked.select("doc_id", F.col("n").alias("n_shingles"), "sid")
     found = join_heavy(rows.where("n_shingles > 0"), named, "sid", "m").unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("sid").alias("set_id"))

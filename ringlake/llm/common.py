@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ringlake.sources.scratch import checkpoint, new_folder
+from ringlake.sources.scratch import checkpoint, new_folder, released
 
-__all__ = ["checkpoint", "crc_mod", "hashed_bits", "hex16", "join_heavy", "labelled_sample", "map_texts", "new_folder", "packed_bits", "segment_sum", "slices", "starts_of", "table"]
+__all__ = ["checkpoint", "crc_mod", "hashed_bits", "hex16", "join_heavy", "labelled_sample", "map_texts", "new_folder", "packed_bits", "released", "segment_sum", "slices", "starts_of", "table"]
 
 #: The word of all contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringlake.llm.common import checkpoint
+from ringlake.llm.common import released
 
 BITS = 64
 
@@ -47,6 +47,12 @@ def close_pairs(left: DataFrame, right: DataFrame, radius: int, blocks: int, ord
     return a.join(b, rule).select("a", "b").distinct()
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(a, b) and (b, a) of each edge (a, b), in one pass over them."""
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    return edges.select(F.explode(F.array(F.struct("a", "b"), turned)).alias("e")).select("e.a", "e.b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b); root is the least node reached.
 
@@ -54,21 +60,23 @@ def components(edges: DataFrame) -> DataFrame:
     contracts the edges to what remains between different nodes; a component of any shape
     shrinks several times a round. Only per-node minima and equi-joins; no group is collected.
     """
-    edges = checkpoint(edges.where("a <> b").distinct())
-    labels = checkpoint(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
+    edges = released(edges.where("a <> b").distinct())
+    labels = None
     while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
+        hook = both_ways(edges).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
         for _ in range(2):
             up = hook.select(F.col("a").alias("q"), F.col("p").alias("pp"))
             hook = hook.join(up, hook["p"] == up["q"]).select("a", F.col("pp").alias("p"))
-        hook = checkpoint(hook)
+        hook = released(hook)
         left = hook.select("a", F.col("p").alias("pa"))
         right = hook.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        edges = checkpoint(
+        edges = released(
             edges.join(left, "a").join(right, "b").where("pa <> pb")
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         )
-        moved = hook.select(F.col("a").alias("root"), F.col("p").alias("new"))
-        labels = checkpoint(labels.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
-    return labels
+        if labels is None:  # the first round has hooked every node
+            labels = hook.select(F.col("a").alias("node"), F.col("p").alias("root"))
+        else:
+            moved = hook.select(F.col("a").alias("root"), F.col("p").alias("new"))
+            labels = released(labels.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels

@@ -8,26 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringlake.llm.bbit_minhash import Filter, signatures, similar_roots
-from ringlake.llm.common import checkpoint
+from ringlake.llm.common import released
 from ringlake.llm.hamming import block_table
 
 
 def fingerprint_pairs(sized: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(sid, n, other, other_n) of sets (sid, n, fp) whose fingerprints differ in ``radius`` bits or fewer.
+    """(sid, n, ..., other, other_n, ...), once each, of sets (sid, n, ..., fp) whose fingerprints differ in ``radius`` bits or fewer.
 
     One set stands for each fingerprint and is paired with the others that have it. Distinct
     fingerprints go to block tables, as in op4; of each bucket that which comes first by its
     hash is paired with the others within the radius. So a group of near copies makes as many
     pairs as it has sets, not their square.
     """
-    classes = checkpoint(sized.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("one")))
-    equal = sized.join(classes, "fp").where("sid <> one.sid").select("sid", "n", F.col("one.sid").alias("other"), F.col("one.n").alias("other_n"))
-    table = checkpoint(block_table(classes.select("fp"), radius, blocks))
+    carried = [c for c in sized.columns if c not in ("sid", "fp")]
+    one = lambda x: [F.col(f"{x}.{c}") for c in ("sid", *carried)]
+    other = lambda x: [F.col(f"{x}.sid").alias("other"), *[F.col(f"{x}.{c}").alias(f"other_{c}") for c in carried]]
+    classes = released(sized.groupBy("fp").agg(F.min(F.struct("sid", *carried)).alias("one")))
+    equal = sized.join(classes, "fp").where("sid <> one.sid").select("sid", *carried, *other("one"))
+    table = released(block_table(classes.select("fp"), radius, blocks))
     heads = table.groupBy("block", "key").agg(F.min_by("fp", F.xxhash64("fp")).alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
     met = table.join(heads, ["block", "key"]).where(F.col("fp") != F.col("head"))
-    near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= radius).select("fp", "head").distinct()
-    own, other = classes.select("fp", F.col("one").alias("a")), classes.select(F.col("fp").alias("head"), F.col("one").alias("b"))
-    apart = near.join(own, "fp").join(other, "head").select("a.sid", "a.n", F.col("b.sid").alias("other"), F.col("b.n").alias("other_n"))
+    near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= radius).select(F.least("fp", "head").alias("fp"), F.greatest("fp", "head").alias("head")).distinct()
+    of = lambda c, x: classes.select(F.col("fp").alias(c), F.col("one").alias(x))
+    apart = near.join(of("fp", "x"), "fp").join(of("head", "y"), "head").select(*one("x"), *other("y"))
     return equal.unionByName(apart)
 
 
@@ -45,15 +48,15 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     after all others: its row stays only where no row of the group has an id. An empty table
     gives no rows.
     """
-    marked = checkpoint(signatures(docs, words, simhash=True))
+    marked = released(signatures(docs, words, simhash=True))
     roots = similar_roots(docs, marked, words, percent, fingerprint_pairs)
     least = marked.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sid", "h")).alias("m"))
     named = least.join(roots, least["sid"] == roots["node"], "left").select("m", F.coalesce("root", "sid").alias("root"))
-    stays = checkpoint(named.groupBy("root").agg(F.min("m").alias("m")).select(F.struct("m.doc_id", "m.h").alias("stays")))
+    stays = released(named.groupBy("root").agg(F.min("m").alias("m")).select(F.struct("m.doc_id", "m.h").alias("stays")))
 
     # texts of keys that stay and come once needn't move; the filter lets a few of them through, and no other
     keys = marked.groupBy(F.struct("doc_id", "h").alias("key")).agg(F.count("*").alias("times")).join(stays, F.col("key").eqNullSafe(F.col("stays")), "left")
-    moving = Filter(checkpoint(keys.where("stays IS NULL OR times > 1").select(F.xxhash64("key.doc_id", "key.h").alias("k"))), "k")
+    moving = Filter(released(keys.where("stays IS NULL OR times > 1").select(F.xxhash64("key.doc_id", "key.h").alias("k"))), "k")
 
     @F.pandas_udf("boolean")
     def moves(k: pd.Series) -> pd.Series:
